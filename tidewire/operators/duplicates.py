@@ -97,7 +97,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     sort_key = F.struct(*order, row)
     picked = df.groupBy(*keys).agg(F.min_by(row, sort_key).alias("_row"))
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in others]).select(*df.columns)
+    out = picked.select(*keys, *[F.col("_row")[c].alias(c) for c in others])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def dedup_records(df: DataFrame, key: str = S.RID, prefer: str | None = None,

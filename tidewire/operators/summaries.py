@@ -105,6 +105,17 @@ def headline_summary(df: DataFrame, k: int = 3, rid: str = S.RID, url: str = S.U
                     "count_month", "Rank_Month", "Top_Month", "Headline_Source")
 
 
+def headline_sources(df: DataFrame, headline: str = S.HEADLINE, url: str = S.URL,
+                     date: str = S.DATE, rid: str = S.RID) -> DataFrame:
+    """One url per headline -- the earliest record (date, nulls last,
+    then record id) that has a url.  ``min`` of a struct is a partial/final
+    aggregate, so a hot headline is reduced map-side."""
+    key = F.struct(F.col(date).isNull().alias("n"), F.col(date).alias("d"),
+                   F.col(rid).alias("r"), F.col(url).alias("u"))
+    return (df.where(F.col(url).isNotNull() & F.col(headline).isNotNull())
+            .groupBy(headline).agg(F.min(key)["u"].alias("Headline_Source")))
+
+
 def sort_summary(df: DataFrame) -> DataFrame:
     """O1: Month, Rank_Month (nulls last), count_day descending."""
     return df.orderBy(F.col("Month").asc(), F.col("Rank_Month").asc_nulls_last(),
@@ -175,29 +186,41 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """A10: equal-width histogram as numpy/matplotlib compute it.
 
     Edges ``min + i*(max-min)/bins`` (last edge = max), the last bin closed;
-    min = max widens the range by 0.5 on both sides.  The global min/max are
-    scalar subqueries (one tiny job, no join); empty bins are emitted.
+    min = max widens the range by 0.5 on both sides.  The global min/max come
+    from one scalar subquery (a tiny separate job, no join); the bin index is
+    computed in staged projections so every intermediate value is an
+    attribute and the expression tree stays linear.  Empty bins are emitted.
     """
-    stats = df.agg(F.min(value).cast("double").alias("mn"), F.max(value).cast("double").alias("mx"))
-    mn0, mx0 = stats.select("mn").scalar(), stats.select("mx").scalar()
-    lo = F.when(mn0 == mx0, mn0 - 0.5).otherwise(mn0)
-    hi = F.when(mn0 == mx0, mx0 + 0.5).otherwise(mx0)
-    step = (hi - lo) / F.lit(float(bins))
+    stats = df.agg(F.struct(F.min(value).cast("double").alias("mn"),
+                            F.max(value).cast("double").alias("mx")).alias("s"))
+    s = stats.scalar()
+    nb = float(bins)
+
+    def bounds(frame):
+        f = frame.withColumn("_s", s)
+        f = f.withColumns({
+            "_lo": F.when(F.col("_s.mn") == F.col("_s.mx"), F.col("_s.mn") - 0.5).otherwise(F.col("_s.mn")),
+            "_hi": F.when(F.col("_s.mn") == F.col("_s.mx"), F.col("_s.mx") + 0.5).otherwise(F.col("_s.mx")),
+        }).drop("_s")
+        return f.withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(nb))
 
     def edge(i):
-        return F.when(i >= bins, hi).otherwise(i.cast("double") * step + lo)
-
-    x = F.col(value).cast("double")
-    i0 = F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int")
-    i0 = F.when(i0 >= bins, bins - 1).otherwise(i0)
-    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
-    i2 = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    counted = (df.where(F.col(value).isNotNull()).select(i2.alias("bin"))
-               .groupBy("bin").agg(F.count(F.lit(1)).alias("headlines")))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+        return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * F.col("_step") + F.col("_lo"))
+
+    x = F.col("_x")
+    f = bounds(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x")))
+    f = f.withColumn("_i", F.least(F.floor((x - F.col("_lo")) * (F.lit(nb) / (F.col("_hi") - F.col("_lo"))))
+                                   .cast("int"), F.lit(bins - 1)))
+    f = f.withColumn("_e", edge(F.col("_i")))
+    f = f.withColumn("_i", F.when(x < F.col("_e"), F.col("_i") - 1).otherwise(F.col("_i")))
+    f = f.withColumn("_e", edge(F.col("_i") + 1))
+    f = f.withColumn("bin", F.when((x >= F.col("_e")) & (F.col("_i") != bins - 1), F.col("_i") + 1)
+                     .otherwise(F.col("_i")))
+    counted = f.groupBy("bin").agg(F.count(F.lit(1)).alias("headlines"))
+    grid = bounds(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))
+    grid = grid.withColumn("bin_start", edge(F.col("bin"))).withColumn("bin_end", edge(F.col("bin") + 1))
     out = grid.join(counted, "bin", "left")
-    b = F.col("bin")
-    return out.select(b, edge(b).alias("bin_start"), edge(b + 1).alias("bin_end"),
+    return out.select("bin", "bin_start", "bin_end",
                       F.coalesce(F.col("headlines"), F.lit(0)).alias("headlines"))
 
 

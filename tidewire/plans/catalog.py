@@ -162,3 +162,193 @@ SELECT date, tone, daily_avg_tone, crime_keyword_count, crime_types, crime_type,
 FROM cleaned""")
 def q_clean_articles(spark, d):
     return C.clean_articles(enriched(spark, d))
+
+
+# ---------------------------------------------------------- duplicate logic
+@register("dup_flag", "WITH " + SQL_ARTICLES + """,
+h AS (SELECT headline, count(*) AS n FROM articles GROUP BY 1)
+SELECT a.GKGRECORDID, a.headline, h.n > 1 AS headline_is_duplicate
+FROM articles a LEFT JOIN h ON a.headline IS NOT DISTINCT FROM h.headline""")
+def q_dup_flag(spark, d):
+    return D.flag_duplicates(B.articles(spark, d)).select(S.RID, S.HEADLINE, S.DUP)
+
+
+@register("dup_flag_corrected", "WITH " + SQL_ENRICHED + """
+SELECT GKGRECORDID, headline, headline_is_duplicate FROM a2""")
+def q_dup_flag_corrected(spark, d):
+    a = D.correct_false_duplicates(D.flag_duplicates(B.articles(spark, d)))
+    return a.select(S.RID, S.HEADLINE, S.DUP)
+
+
+@register("same_article_groups", "WITH " + SQL_ARTICLES + f""",
+b AS (SELECT GKGRECORDID AS rid, V2SOURCECOMMONNAME AS source,
+             {O.article_id('V1DOCUMENTIDENTIFIER')} AS article_id FROM articles),
+c AS (SELECT source, article_id, min(rid) AS article_key, count(*) AS records_in_article
+      FROM b WHERE article_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
+SELECT b.source, b.article_id, b.rid, c.article_key, c.records_in_article
+FROM b JOIN c ON b.source = c.source AND b.article_id = c.article_id""")
+def q_same_article_groups(spark, d):
+    return D.same_article_groups(B.articles(spark, d))
+
+
+@register("dedup_record", "WITH " + SQL_ARTICLES + """,
+k AS (SELECT split_part(GKGRECORDID, '-', 1) || '-' || split_part(GKGRECORDID, '-', 2) AS okey,
+             V2SOURCECOMMONNAME < 'S5' AS is_cached, * EXCLUDE (GKGRECORDID) FROM articles)
+SELECT okey, is_cached, date, V2SOURCECOMMONNAME, V1DOCUMENTIDENTIFIER, headline, "V1.5TONE" FROM (
+  SELECT *, row_number() OVER (PARTITION BY okey ORDER BY is_cached DESC, date IS NULL, date,
+         is_cached, date, V2SOURCECOMMONNAME, V1DOCUMENTIDENTIFIER, headline, "V1.5TONE") AS z FROM k)
+WHERE z = 1""")
+def q_dedup_record(spark, d):
+    a = B.articles(spark, d)
+    k = a.select(F.concat_ws("-", F.split(S.RID, "-").getItem(0), F.split(S.RID, "-").getItem(1)).alias("okey"),
+                 (F.col(S.SOURCE) < "S5").alias("is_cached"), S.DATE, S.SOURCE, S.URL, S.HEADLINE, "`V1.5TONE`")
+    return D.dedup_records(k, key="okey", prefer="is_cached")
+
+
+@register("union_distinct", "WITH " + SQL_ENRICHED + """
+SELECT DISTINCT V2SOURCECOMMONNAME, headline, crime_types FROM enriched""")
+def q_union_distinct(spark, d):
+    return D.drop_exact_duplicates(enriched(spark, d).select(S.SOURCE, S.HEADLINE, S.TYPES))
+
+
+SQL_RECORDS = r"""
+records AS (
+  SELECT strftime(ts, '%Y%m%d%H%M%S') || '-' || CAST(doc_id AS VARCHAR) AS GKGRECORDID,
+         source AS V2SOURCECOMMONNAME,
+         'https://' || source || '.example.com/news/' || CAST(doc_id + 100000 AS VARCHAR) || '/story.html' AS V1DOCUMENTIDENTIFIER,
+         lang AS V1THEMES,
+         array_to_string(list_transform(list_filter(string_split_regex(upper(replace(text, 'ß', 'ss')), '[^A-Z]+'),
+                         lambda w: w <> ''), lambda w, i: w || ',' || CAST(i - 1 AS VARCHAR)), ';') AS V2ENHANCEDTHEMES,
+         lang AS V1LOCATIONS, text AS V2ENHANCEDLOCATIONS,
+         CAST(NULL AS VARCHAR) AS V1ORGANIZATIONS, CAST(NULL AS VARCHAR) AS V2ENHANCEDORGANIZATIONS,
+         printf('%d,%d,%d', n_chars % 21 - 10, n_chars, doc_id) AS "V1.5TONE",
+         ts AS date
+  FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 15 AS BIGINT)) AS ts FROM documents))"""
+
+
+@register("union_parts", "WITH " + SQL_ARTICLES + "," + SQL_RECORDS + """
+SELECT GKGRECORDID, date, V2SOURCECOMMONNAME, V1DOCUMENTIDENTIFIER FROM articles
+UNION ALL
+SELECT GKGRECORDID, date, V2SOURCECOMMONNAME, V1DOCUMENTIDENTIFIER FROM records""")
+def q_union_parts(spark, d):
+    cols = [S.RID, S.DATE, S.SOURCE, S.URL]
+    return B.articles(spark, d).select(*cols).unionByName(B.records(spark, d).select(*cols))
+
+
+# -------------------------------------------------------------------- tone
+SQL_TONE_EVENTS = """
+tev AS (SELECT event_id AS GKGRECORDID, ts AS date, event_type AS V2SOURCECOMMONNAME,
+               CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || ',1,2' AS "V1.5TONE" FROM events)"""
+
+
+@register("tone_extract", "WITH " + SQL_TONE_EVENTS + f"""
+SELECT GKGRECORDID, "V1.5TONE", {O.tone('"V1.5TONE"')} AS tone FROM tev""")
+def q_tone_extract(spark, d):
+    return TN.extract_tone(B.tone_events(spark, d)).select(S.RID, "`V1.5TONE`", "tone")
+
+
+@register("daily_avg_tone", "WITH " + SQL_TONE_EVENTS + f""",
+t AS (SELECT *, {O.tone('"V1.5TONE"')} AS tone FROM tev),
+dd AS (SELECT CAST(date AS DATE) AS d, avg(tone) AS daily_avg_tone FROM t WHERE date IS NOT NULL GROUP BY 1)
+SELECT t.GKGRECORDID, t.date, t.tone, dd.daily_avg_tone FROM t LEFT JOIN dd ON CAST(t.date AS DATE) = dd.d""")
+def q_daily_avg_tone(spark, d):
+    t = TN.add_daily_avg_tone(TN.extract_tone(B.tone_events(spark, d)))
+    return t.select(S.RID, S.DATE, "tone", "daily_avg_tone")
+
+
+@register("daily_tone_series", "WITH " + SQL_TONE_EVENTS + f"""
+SELECT CAST(date AS DATE) AS "Date", avg({O.tone('"V1.5TONE"')}) AS "Tone" FROM tev
+WHERE date IS NOT NULL GROUP BY 1""")
+def q_daily_tone_series(spark, d):
+    return TN.daily_tone_series(TN.extract_tone(B.tone_events(spark, d)))
+
+
+# ------------------------------------------------------- summaries (parts)
+@register("duplicate_frequency", "WITH " + SQL_CLEANED + """
+SELECT headline, count(DISTINCT GKGRECORDID) AS dup_count FROM cleaned
+WHERE upper(trim(CAST(headline_is_duplicate AS VARCHAR))) = 'TRUE' AND headline IS NOT NULL
+GROUP BY 1 HAVING count(DISTINCT GKGRECORDID) >= 3""")
+def q_duplicate_frequency(spark, d):
+    return SU.duplicate_frequency(cleaned(spark, d))
+
+
+@register("duplicate_histogram", "WITH " + SQL_CLEANED + """,
+fr AS (SELECT headline, CAST(count(DISTINCT GKGRECORDID) AS DOUBLE) AS x FROM cleaned
+       WHERE upper(trim(CAST(headline_is_duplicate AS VARCHAR))) = 'TRUE' AND headline IS NOT NULL
+       GROUP BY 1 HAVING count(DISTINCT GKGRECORDID) >= 3),
+st AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM fr),
+g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(50)),
+e AS (SELECT bin, CASE WHEN bin >= 50 THEN hi ELSE CAST(bin AS DOUBLE) * ((hi - lo) / 50.0) + lo END AS b0,
+             CASE WHEN bin + 1 >= 50 THEN hi ELSE CAST(bin + 1 AS DOUBLE) * ((hi - lo) / 50.0) + lo END AS b1
+      FROM g, st),
+i0 AS (SELECT x, LEAST(CAST(floor((x - lo) * (50.0 / (hi - lo))) AS INTEGER), 49) AS i FROM fr, st),
+i1 AS (SELECT i0.x, CASE WHEN i0.x < e.b0 THEN i0.i - 1 ELSE i0.i END AS i FROM i0 JOIN e ON e.bin = i0.i),
+i2 AS (SELECT CASE WHEN i1.x >= e.b1 AND i1.i <> 49 THEN i1.i + 1 ELSE i1.i END AS bin FROM i1 JOIN e ON e.bin = i1.i),
+c AS (SELECT bin, count(*) AS headlines FROM i2 GROUP BY 1)
+SELECT e.bin, e.b0 AS bin_start, e.b1 AS bin_end, coalesce(c.headlines, 0) AS headlines
+FROM e LEFT JOIN c ON e.bin = c.bin""")
+def q_duplicate_histogram(spark, d):
+    return SU.duplicate_histogram(cleaned(spark, d))
+
+
+@register("crime_types_by_headline", "WITH " + SQL_ENRICHED + """
+SELECT headline, array_to_string(list_sort(list_distinct(list(crime_types))), ', ') AS crime_types_list
+FROM enriched WHERE headline IS NOT NULL GROUP BY 1""")
+def q_crime_types_by_headline(spark, d):
+    return SU.crime_types_by_headline(enriched(spark, d))
+
+
+@register("headline_source", "WITH " + SQL_ENRICHED + """
+SELECT headline, Headline_Source FROM (
+  SELECT headline, V1DOCUMENTIDENTIFIER AS Headline_Source,
+         row_number() OVER (PARTITION BY headline ORDER BY date IS NULL, date, GKGRECORDID, V1DOCUMENTIDENTIFIER) AS z
+  FROM enriched WHERE V1DOCUMENTIDENTIFIER IS NOT NULL AND headline IS NOT NULL) WHERE z = 1""")
+def q_headline_source(spark, d):
+    return SU.headline_sources(enriched(spark, d))
+
+
+@register("known_duplicates", "WITH " + SQL_CLEANED + """
+SELECT GKGRECORDID, date, headline, crime_type FROM cleaned
+WHERE upper(trim(CAST(headline_is_duplicate AS VARCHAR))) = 'TRUE'
+  AND upper(trim(crime_types)) IS DISTINCT FROM 'UNKNOWN'
+  AND trim(coalesce(headline, '')) <> '' AND date IS NOT NULL""")
+def q_known_duplicates(spark, d):
+    return SU.known_duplicates(cleaned(spark, d)).select(S.RID, S.DATE, S.HEADLINE, S.TYPE)
+
+
+@register("drop_unknown", "WITH " + SQL_ENRICHED + """
+SELECT GKGRECORDID, headline, crime_types FROM enriched
+WHERE upper(crime_types) IS DISTINCT FROM 'UNKNOWN'""")
+def q_drop_unknown(spark, d):
+    return FL.drop_unknown(enriched(spark, d)).select(S.RID, S.HEADLINE, S.TYPES)
+
+
+@register("explode_types", "WITH " + SQL_CLEANED + """
+SELECT GKGRECORDID, crime_types, crime_type FROM cleaned""")
+def q_explode_types(spark, d):
+    return C.explode_crime_types(enriched(spark, d)).select(S.RID, S.TYPES, S.TYPE)
+
+
+@register("headline_semi", "WITH " + SQL_CLEANED + """,
+f AS (SELECT date_trunc('month', date) AS Month, headline, GKGRECORDID AS rid FROM cleaned
+      WHERE upper(trim(CAST(headline_is_duplicate AS VARCHAR))) = 'TRUE'
+        AND upper(trim(crime_types)) IS DISTINCT FROM 'UNKNOWN'
+        AND trim(coalesce(headline, '')) <> '' AND date IS NOT NULL),
+mc AS (SELECT Month, headline, count(DISTINCT rid) AS count FROM f GROUP BY 1, 2),
+m3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Month ORDER BY count DESC, headline) AS rk FROM mc) WHERE rk <= 3)
+SELECT Month, headline, count, CAST(rk AS INTEGER) AS Rank_Month FROM m3
+WHERE headline IN (SELECT headline FROM f)""")
+def q_headline_semi(spark, d):
+    f = SU.known_duplicates(cleaned(spark, d)).withColumn("Month", X.month_start(F.col(S.DATE)))
+    mc = f.groupBy("Month", S.HEADLINE).agg(F.count_distinct(S.RID).alias("count"))
+    m3 = SU._top_k(mc, ["Month"], 3, "Rank_Month", "Top_Month").drop("Top_Month")
+    return SU.restrict_to_known(m3, f)
+
+
+@register("deliver_articles", "WITH " + SQL_ENRICHED + """
+SELECT * FROM enriched WHERE headline_is_duplicate IS NOT NULL""")
+def q_deliver_articles(spark, d):
+    e = enriched(spark, d)
+    C.date_column(e)
+    return FL.valid_flag_rows(e)
