@@ -352,3 +352,265 @@ def q_deliver_articles(spark, d):
     e = enriched(spark, d)
     C.date_column(e)
     return FL.valid_flag_rows(e)
+
+
+# ----------------------------------------------------- records and filters
+SITES, THEMES, LOCS = DI.BINDING_SITES, DI.BINDING_THEMES, DI.BINDING_LOCATIONS
+F_START, F_END = "2024-01-03 00:00:00", "2024-03-31 23:59:59"
+
+
+def _sql_in(values) -> str:
+    return ", ".join(O.lit(v) for v in values)
+
+
+THEME_RE = "(?i)(?:^|;)(?:" + "|".join(TM.escape(t) for t in THEMES) + ")(?:,|$)"
+SQL_LOC_COUNT = O.count_terms(O.upper("V2ENHANCEDLOCATIONS"), TM.word_terms(LOCS))
+SQL_THEME_COUNT = O.count_terms(O.upper("V2ENHANCEDTHEMES"), TM.substring_terms(THEMES))
+
+
+@register("location_mentions", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, {SQL_LOC_COUNT} AS london_mentions FROM records""")
+def q_location_mentions(spark, d):
+    r = FL.fill_upper(B.records(spark, d))
+    return r.select(S.RID, FL.location_mentions("V2ENHANCEDLOCATIONS", LOCS).alias("london_mentions"))
+
+
+@register("theme_mentions", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, {SQL_THEME_COUNT} AS crime_mentions FROM records""")
+def q_theme_mentions(spark, d):
+    r = FL.fill_upper(B.records(spark, d))
+    return r.select(S.RID, FL.theme_mentions("V2ENHANCEDTHEMES", THEMES).alias("crime_mentions"))
+
+
+@register("filter_theme", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID FROM records WHERE coalesce(regexp_matches(V2ENHANCEDTHEMES, {O.lit(THEME_RE)}), false)""")
+def q_filter_theme(spark, d):
+    return B.records(spark, d).where(FL.has_theme("V2ENHANCEDTHEMES", THEMES)).select(S.RID)
+
+
+@register("filter_source", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, V2SOURCECOMMONNAME FROM records WHERE upper(V2SOURCECOMMONNAME) IN ({_sql_in(SITES)})""")
+def q_filter_source(spark, d):
+    return B.records(spark, d).where(FL.source_in(S.SOURCE, SITES)).select(S.RID, S.SOURCE)
+
+
+@register("filter_date_range", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, date FROM records
+WHERE date BETWEEN TIMESTAMP '{F_START}' AND TIMESTAMP '{F_END}'""")
+def q_filter_date_range(spark, d):
+    r = B.records(spark, d)
+    return r.where(FL.date_between(S.DATE, F_START, F_END)).select(S.RID, S.DATE)
+
+
+SQL_FILTERED = "WITH " + SQL_RECORDS + f""",
+up AS (SELECT * REPLACE ({O.upper("coalesce(V2ENHANCEDTHEMES, '')")} AS V2ENHANCEDTHEMES,
+                         {O.upper("coalesce(V1LOCATIONS, '')")} AS V1LOCATIONS,
+                         {O.upper("coalesce(V2ENHANCEDLOCATIONS, '')")} AS V2ENHANCEDLOCATIONS,
+                         {O.upper("coalesce(V2SOURCECOMMONNAME, '')")} AS V2SOURCECOMMONNAME) FROM records),
+cand AS (SELECT * FROM up
+  WHERE date BETWEEN TIMESTAMP '{F_START}' AND TIMESTAMP '{F_END}'
+    AND V2SOURCECOMMONNAME IN ({_sql_in(SITES)})
+    AND coalesce(regexp_matches(V2ENHANCEDTHEMES, {O.lit(THEME_RE)}), false)),
+counted AS (SELECT *, {O.count_terms("V2ENHANCEDLOCATIONS", TM.word_terms(LOCS))} AS london_mentions,
+                      {O.count_terms("V2ENHANCEDTHEMES", TM.substring_terms(THEMES))} AS crime_mentions FROM cand)"""
+
+
+@register("filter_articles", SQL_FILTERED + """
+SELECT * FROM counted WHERE london_mentions >= 2 AND crime_mentions >= 2""")
+def q_filter_articles(spark, d):
+    return FL.filter_articles(B.records(spark, d), F_START, F_END, SITES, THEMES, LOCS)
+
+
+@register("project_article", SQL_FILTERED + """
+SELECT date, london_mentions, crime_mentions, V1DOCUMENTIDENTIFIER, V2ENHANCEDTHEMES, V2SOURCECOMMONNAME,
+       GKGRECORDID, V1THEMES, V1LOCATIONS, V2ENHANCEDLOCATIONS, V1ORGANIZATIONS, V2ENHANCEDORGANIZATIONS, "V1.5TONE"
+FROM counted WHERE london_mentions >= 2 AND crime_mentions >= 2""")
+def q_project_article(spark, d):
+    f = FL.filter_articles(B.records(spark, d), F_START, F_END, SITES, THEMES, LOCS)
+    return C.priority_order(C.drop_columns(f), S.ENRICHED_FIRST)
+
+
+@register("filter_funnel", "WITH " + SQL_RECORDS + f""",
+up AS (SELECT date, {O.upper("coalesce(V2SOURCECOMMONNAME, '')")} AS src,
+              {O.upper("coalesce(V2ENHANCEDTHEMES, '')")} AS th,
+              {O.upper("coalesce(V2ENHANCEDLOCATIONS, '')")} AS loc FROM records),
+p AS (SELECT date BETWEEN TIMESTAMP '{F_START}' AND TIMESTAMP '{F_END}' AS p1, src IN ({_sql_in(SITES)}) AS p2,
+             coalesce(regexp_matches(th, {O.lit(THEME_RE)}), false) AS p3,
+             {O.count_terms("loc", TM.word_terms(LOCS))} >= 2 AS p4,
+             {O.count_terms("th", TM.substring_terms(THEMES))} >= 2 AS p5 FROM up)
+SELECT count(*) AS "rows",
+       count_if(p1) AS date_kept, count_if(p1) AS date_alone,
+       count_if(p1 AND p2) AS site_kept, count_if(p2) AS site_alone,
+       count_if(p1 AND p2 AND p3) AS theme_kept, count_if(p3) AS theme_alone,
+       count_if(p1 AND p2 AND p3 AND p4) AS locations_kept, count_if(p4) AS locations_alone,
+       count_if(p1 AND p2 AND p3 AND p4 AND p5) AS themes2_kept, count_if(p5) AS themes2_alone
+FROM p""")
+def q_filter_funnel(spark, d):
+    r = FL.fill_upper(B.records(spark, d))
+    return FL.filter_funnel(r, {
+        "date": FL.date_between(S.DATE, F_START, F_END),
+        "site": FL.source_in(S.SOURCE, SITES),
+        "theme": FL.has_theme("V2ENHANCEDTHEMES", THEMES),
+        "locations": FL.location_mentions("V2ENHANCEDLOCATIONS", LOCS) >= 2,
+        "themes2": FL.theme_mentions("V2ENHANCEDTHEMES", THEMES) >= 2,
+    })
+
+
+# legacy profile (substring / regex semantics)
+LEGACY_SITES = ("SRC1", "SRC2.")
+SQL_LEG_BLOCKS = (f"len(list_filter(string_split(regexp_replace(coalesce(V2ENHANCEDTHEMES, ''), "
+                  f"'([^;,]+),([0-9]+)', '4#\\1#\\2', 'g'), ';'), lambda b: len(string_split(b, '#')) >= 3 "
+                  f"AND list_bool_or([contains(string_split(b, '#')[2], t) FOR t IN [{_sql_in(LOCS)}]])))")
+
+
+@register("filter_source_legacy", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, upper(V2SOURCECOMMONNAME) AS V2SOURCECOMMONNAME FROM records
+WHERE coalesce(regexp_matches(upper(V2SOURCECOMMONNAME), {O.lit('|'.join(LEGACY_SITES))}), false)""")
+def q_filter_source_legacy(spark, d):
+    r = FL.fill_upper(B.records(spark, d))
+    return r.where(FL.source_matches_legacy(S.SOURCE, LEGACY_SITES)).select(S.RID, S.SOURCE)
+
+
+@register("filter_theme_legacy", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID FROM records
+WHERE coalesce(regexp_matches(V2ENHANCEDTHEMES, {O.lit('(?i)(?:' + '|'.join(TM.escape(t) for t in ('ERTH', 'OUQUE')) + ')')}), false)""")
+def q_filter_theme_legacy(spark, d):
+    return B.records(spark, d).where(FL.has_theme_legacy("V2ENHANCEDTHEMES", ("ERTH", "OUQUE"))).select(S.RID)
+
+
+@register("filter_location_legacy", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID FROM records
+WHERE coalesce(regexp_matches(V1LOCATIONS, '(?i)(?:DE|FR)'), false)
+   OR coalesce(regexp_matches(V2ENHANCEDLOCATIONS, '(?i)(?:DE|FR)'), false)""")
+def q_filter_location_legacy(spark, d):
+    r = B.records(spark, d)
+    return r.where(FL.location_legacy("V1LOCATIONS", "V2ENHANCEDLOCATIONS", ("DE", "FR"))).select(S.RID)
+
+
+@register("location_blocks_legacy", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, CAST({SQL_LEG_BLOCKS} AS INTEGER) AS london_mentions FROM records""")
+def q_location_blocks_legacy(spark, d):
+    r = B.records(spark, d)
+    blocks = F.regexp_replace(F.coalesce(F.col("V2ENHANCEDTHEMES"), F.lit("")), r"([^;,]+),([0-9]+)", "4#$1#$2")
+    r = r.withColumn("_blocks", blocks)
+    return r.select(S.RID, FL.location_blocks_legacy("_blocks", LOCS).alias("london_mentions"))
+
+
+@register("theme_distinct_legacy", "WITH " + SQL_RECORDS + f"""
+SELECT GKGRECORDID, CAST(({' + '.join(f"CAST(contains(coalesce(V2ENHANCEDTHEMES, ''), {O.lit(t)}) AS INTEGER)" for t in dict.fromkeys(THEMES))}) AS INTEGER) AS crime_mentions
+FROM records""")
+def q_theme_distinct_legacy(spark, d):
+    r = B.records(spark, d)
+    return r.select(S.RID, FL.theme_distinct_legacy("V2ENHANCEDTHEMES", THEMES).alias("crime_mentions"))
+
+
+# --------------------------------------------------- classification / text
+TCATS = DI.BINDING_TEXT_CATEGORIES
+
+
+@register("classify_headline", f"""
+SELECT doc_id, {O.classify('text', TCATS)} AS crime_types FROM documents""")
+def q_classify_headline(spark, d):
+    doc = B.table(spark, d, "documents")
+    return doc.select("doc_id", F.array_join(TM.classify(F.col("text"), TCATS), ", ").alias("crime_types"))
+
+
+@register("keyword_count", f"""
+SELECT doc_id, {O.keyword_count('text', TCATS)} AS crime_keyword_count FROM documents""")
+def q_keyword_count(spark, d):
+    doc = B.table(spark, d, "documents")
+    kw = TM.pattern_terms(TM.keyword_patterns(TCATS))
+    return doc.select("doc_id", TM.count_terms(F.lower(F.coalesce(F.col("text"), F.lit(""))), kw)
+                      .alias("crime_keyword_count"))
+
+
+@register("record_time", "WITH " + SQL_RECORDS + """
+SELECT GKGRECORDID, try_strptime(substr(GKGRECORDID, 1, 14), '%Y%m%d%H%M%S') AS record_time FROM records""")
+def q_record_time(spark, d):
+    return B.records(spark, d).select(S.RID, X.record_time(F.col(S.RID)).alias("record_time"))
+
+
+@register("article_id", "WITH " + SQL_ARTICLES + "," + SQL_RECORDS + f""",
+u AS (SELECT url FROM pages UNION ALL SELECT V1DOCUMENTIDENTIFIER FROM articles
+      UNION ALL SELECT V1DOCUMENTIDENTIFIER FROM records)
+SELECT url, {O.article_id('url')} AS article_id FROM u""")
+def q_article_id(spark, d):
+    u = (B.table(spark, d, "pages").select("url")
+         .unionByName(B.articles(spark, d).select(F.col(S.URL).alias("url")))
+         .unionByName(B.records(spark, d).select(F.col(S.URL).alias("url"))))
+    return u.select("url", X.article_id(F.col("url")).alias("article_id"))
+
+
+ACR = sorted(DI.BINDING_ACRONYMS)
+
+
+def slug_urls(spark, d):
+    part = B.table(spark, d, "part")
+    slugs = part.select(F.concat(F.lit("https://news.example.com/"), F.lower("p_type"), F.lit("/"),
+                                 F.regexp_replace("p_name", " ", "-"), F.lit("-"),
+                                 (F.col("p_partkey") + 100000).cast("string"), F.lit(".html")).alias("url"))
+    return B.table(spark, d, "pages").select("url").unionByName(slugs)
+
+
+@register("headline_from_url", r"""
+WITH u AS (SELECT url FROM pages UNION ALL
+           SELECT 'https://news.example.com/' || lower(p_type) || '/' || replace(p_name, ' ', '-') || '-'
+                  || CAST(p_partkey + 100000 AS VARCHAR) || '.html' FROM part),
+p AS (SELECT url, regexp_replace(regexp_replace(regexp_extract(url,
+        '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', ''), '^/+|/+$', '', 'g') AS path FROM u),
+s AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1),
+        '\.html?$', ''), '-id[A-Za-z0-9]+$', ''), '-(\d{6,})$', '') AS slug FROM p),
+w AS (SELECT url, list_transform(list_filter(list_transform(string_split(slug, '-'),
+        lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}_-]', '', 'g'))), lambda x: x <> ''),
+        lambda x: CASE WHEN x IN (""" + _sql_in(ACR) + r""") THEN upper(x) ELSE x END) AS words FROM s)
+SELECT url, CASE WHEN url IS NULL OR len(words) = 0 THEN NULL ELSE array_to_string(words, ' ') END AS headline FROM w""")
+def q_headline_from_url(spark, d):
+    return slug_urls(spark, d).select("url", X.headline_from_url(F.col("url"), ACR).alias("headline"))
+
+
+@register("headline_from_html", None)
+def q_headline_from_html(spark, d):
+    pages = B.table(spark, d, "pages")
+    return pages.where(F.col("url").startswith("http")).select(
+        "page_id", "url", X.headline_from_html(F.col("html")).alias("headline"))
+
+
+@register("fix_mojibake", None)
+def q_fix_mojibake(spark, d):
+    doc = B.table(spark, d, "documents")
+    return doc.select("doc_id", X.fix_mojibake(F.col("text")).alias("text"))
+
+
+@register("normalize_text", """
+SELECT doc_id, translate(text, '，﹐､‚ˏ' || chr(160), ',,,,, ') AS text FROM documents""")
+def q_normalize_text(spark, d):
+    doc = B.table(spark, d, "documents")
+    return doc.select("doc_id", X.normalize_commas(F.col("text")).alias("text"))
+
+
+SQL_DATE_TEXT = """
+dt AS (SELECT o_orderkey, CASE o_orderpriority
+         WHEN '1-URGENT' THEN strftime(o_orderdate, '%m/%d/%Y')
+         WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+         WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%Y-%m-%d')
+         WHEN '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y%m%d%H%M%S')
+         ELSE 'bad ' || CAST(o_orderkey AS VARCHAR) END AS date_text FROM orders)"""
+
+
+@register("parse_dates", "WITH " + SQL_DATE_TEXT + """
+SELECT o_orderkey, date_text, coalesce(
+  try_strptime(trim(date_text), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(date_text), '%Y-%m-%dT%H:%M:%S'),
+  try_strptime(trim(date_text), '%Y-%m-%d %H:%M'), try_strptime(trim(date_text), '%Y-%m-%d'),
+  try_strptime(trim(date_text), '%m/%d/%Y %H:%M:%S'), try_strptime(trim(date_text), '%m/%d/%Y %H:%M'),
+  try_strptime(trim(date_text), '%m/%d/%Y'), try_strptime(trim(date_text), '%Y%m%d%H%M%S')) AS date
+FROM dt""")
+def q_parse_dates(spark, d):
+    o = B.table(spark, d, "orders")
+    p, od = F.col("o_orderpriority"), F.col("o_orderdate")
+    text = (F.when(p == "1-URGENT", F.date_format(od, "MM/dd/yyyy"))
+            .when(p == "2-HIGH", F.date_format(od, "yyyy-MM-dd HH:mm:ss"))
+            .when(p == "3-MEDIUM", F.date_format(od, "yyyy-MM-dd"))
+            .when(p == "4-NOT SPECIFIED", F.date_format(od, "yyyyMMddHHmmss"))
+            .otherwise(F.concat(F.lit("bad "), F.col("o_orderkey").cast("string"))))
+    t = o.select("o_orderkey", text.alias("date_text"))
+    return t.withColumn("date", X.parse_mixed_date(F.col("date_text")))
