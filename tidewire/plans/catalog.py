@@ -614,3 +614,238 @@ def q_parse_dates(spark, d):
             .otherwise(F.concat(F.lit("bad "), F.col("o_orderkey").cast("string"))))
     t = o.select("o_orderkey", text.alias("date_text"))
     return t.withColumn("date", X.parse_mixed_date(F.col("date_text")))
+
+
+# ------------------------------------------------------- grids and caches
+from ..operators import grid as G  # noqa: E402
+from ..operators import headlines as H  # noqa: E402
+from ..operators import indicators as IND  # noqa: E402
+
+
+def event_bounds(spark, d):
+    ev = B.table(spark, d, "events")
+    return ev.agg(G.floor_15min(F.min("ts")).alias("start"), G.floor_15min(F.max("ts")).alias("end"))
+
+
+SQL_GRID = """
+b AS (SELECT time_bucket(INTERVAL '15 minutes', min(ts)) AS s, time_bucket(INTERVAL '15 minutes', max(ts)) AS e FROM events),
+g AS (SELECT unnest(generate_series(s, e, INTERVAL '15 minutes')) AS ts FROM b)"""
+
+
+@register("interval_grid", "WITH " + SQL_GRID + """
+SELECT ts, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM g""")
+def q_interval_grid(spark, d):
+    return G.interval_grid(event_bounds(spark, d))
+
+
+@register("missing_intervals", "WITH " + SQL_GRID + """
+SELECT ts, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM g
+WHERE ts NOT IN (SELECT DISTINCT time_bucket(INTERVAL '15 minutes', ts) FROM events WHERE ts IS NOT NULL)""")
+def q_missing_intervals(spark, d):
+    ev = B.table(spark, d, "events").where(F.col("ts").isNotNull())
+    return G.missing_intervals(G.interval_grid(event_bounds(spark, d)), ev)
+
+
+@register("recent_grid", """
+WITH n AS (SELECT time_bucket(INTERVAL '15 minutes', max(ts)) AS now FROM events)
+SELECT CAST(i AS INTEGER) AS i, now - to_minutes(i * 15) AS ts, strftime(now - to_minutes(i * 15), '%Y%m%d%H%M%S') AS stamp
+FROM n, (SELECT range AS i FROM range(96))""")
+def q_recent_grid(spark, d):
+    now = B.table(spark, d, "events").agg(F.max("ts").alias("now"))
+    return G.recent_grid(now, hours_back=24)
+
+
+@register("months_to_process", """
+WITH b AS (SELECT make_date(year(min(ts)), 1, 1) AS s, make_date(year(max(ts)), 12, 31) AS e FROM events),
+m AS (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS DATE) AS month FROM b),
+done AS (SELECT DISTINCT CAST(date_trunc('month', ts) AS DATE) AS month FROM events WHERE ts IS NOT NULL)
+SELECT month, last_day(month) AS month_end FROM m WHERE month NOT IN (SELECT month FROM done)""")
+def q_months_to_process(spark, d):
+    """Months of the years covered by ``events`` that have no data yet."""
+    ev = B.table(spark, d, "events")
+    bounds = ev.agg(F.make_date(F.year(F.min("ts")), F.lit(1), F.lit(1)).alias("start"),
+                    F.make_date(F.year(F.max("ts")), F.lit(12), F.lit(31)).alias("end"))
+    done = ev.where(F.col("ts").isNotNull()).select(F.to_date("ts").alias("month"))
+    return G.months_to_process(bounds, done)
+
+
+@register("month_groups", """
+SELECT strftime(ts, '%Y%m') AS month_key, min(ts) AS start, max(ts) AS "end", count(*) AS "rows"
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+def q_month_groups(spark, d):
+    return G.month_groups(B.table(spark, d, "events"), ts="ts")
+
+
+def cache_names(spark, d):
+    o = B.table(spark, d, "orders")
+    good = o.select(F.concat(F.date_format(F.trunc("o_orderdate", "MM"), "yyyy-MM-dd"), F.lit("_to_"),
+                             F.date_format(F.last_day("o_orderdate"), "yyyy-MM-dd"),
+                             F.lit("_23-59-59.parquet")).alias("file_name"))
+    bad = o.select(F.concat(F.lit("bad_"), F.col("o_orderstatus"), F.lit(".parquet")).alias("file_name"))
+    return good.unionByName(bad).distinct()
+
+
+SQL_NAMES = """
+names AS (SELECT DISTINCT file_name FROM (
+  SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') || '_to_' || strftime(last_day(o_orderdate), '%Y-%m-%d')
+         || '_23-59-59.parquet' AS file_name FROM orders
+  UNION ALL SELECT 'bad_' || o_orderstatus || '.parquet' FROM orders)),
+parsed AS (SELECT file_name,
+  try_strptime(regexp_extract(file_name, '(?i)^(\\d{4}-\\d{2}-\\d{2})_to_(\\d{4}-\\d{2}-\\d{2}_\\d{2}-\\d{2}-\\d{2})\\.parquet$', 1), '%Y-%m-%d') AS s0,
+  try_strptime(regexp_extract(file_name, '(?i)^(\\d{4}-\\d{2}-\\d{2})_to_(\\d{4}-\\d{2}-\\d{2}_\\d{2}-\\d{2}-\\d{2})\\.parquet$', 2), '%Y-%m-%d_%H-%M-%S') AS e0
+  FROM names),
+ranges AS (SELECT file_name, CASE WHEN s0 IS NOT NULL AND e0 IS NOT NULL THEN s0 END AS start,
+                  CASE WHEN s0 IS NOT NULL AND e0 IS NOT NULL THEN e0 END AS "end" FROM parsed)""".replace("\\\\", "\\")
+REQ_START, REQ_END = "1996-03-15 00:00:00", "1997-02-10 23:59:59"
+
+
+@register("parse_range_name", "WITH " + SQL_NAMES + """
+SELECT file_name, start, "end" FROM ranges""")
+def q_parse_range_name(spark, d):
+    n = cache_names(spark, d)
+    r = n.select("file_name", X.range_from_name(F.col("file_name"), "parquet").alias("_r"))
+    return r.select("file_name", F.col("_r.start").alias("start"), F.col("_r.end").alias("end"))
+
+
+@register("cache_overlap", "WITH " + SQL_NAMES + f"""
+, ov AS (SELECT file_name FROM ranges WHERE start IS NOT NULL AND "end" >= TIMESTAMP '{REQ_START}' AND start <= TIMESTAMP '{REQ_END}'),
+rows AS (SELECT o_orderkey, o_orderdate AS date,
+                strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') || '_to_' || strftime(last_day(o_orderdate), '%Y-%m-%d')
+                || '_23-59-59.parquet' AS file_name FROM orders)
+SELECT o_orderkey, date, file_name FROM rows
+WHERE file_name IN (SELECT file_name FROM ov) AND date BETWEEN TIMESTAMP '{REQ_START}' AND TIMESTAMP '{REQ_END}'""")
+def q_cache_overlap(spark, d):
+    ranges = G.cached_ranges(cache_names(spark, d))
+    o = B.table(spark, d, "orders")
+    rows = o.select("o_orderkey", F.col("o_orderdate").alias("date"),
+                    F.concat(F.date_format(F.trunc("o_orderdate", "MM"), "yyyy-MM-dd"), F.lit("_to_"),
+                             F.date_format(F.last_day("o_orderdate"), "yyyy-MM-dd"),
+                             F.lit("_23-59-59.parquet")).alias("file_name"))
+    return G.slice_overlaps(rows, ranges, REQ_START, REQ_END)
+
+
+@register("cache_coverage", "WITH " + SQL_NAMES + f"""
+, ov AS (SELECT * FROM ranges WHERE start IS NOT NULL AND "end" >= TIMESTAMP '{REQ_START}' AND start <= TIMESTAMP '{REQ_END}'),
+days AS (SELECT CAST(unnest(generate_series(DATE '{REQ_START[:10]}', DATE '{REQ_END[:10]}', INTERVAL 1 DAY)) AS DATE) AS day),
+cov AS (SELECT DISTINCT CAST(unnest(generate_series(CAST(start AS DATE), CAST("end" AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM ov)
+SELECT min(start) AS min_start, max("end") AS max_end, count(*) AS ranges,
+       coalesce(min(start) <= TIMESTAMP '{REQ_START}' AND max("end") >= TIMESTAMP '{REQ_END}', false) AS covered_minmax,
+       (SELECT count(*) FROM days WHERE day NOT IN (SELECT day FROM cov)) AS gap_days
+FROM ov""")
+def q_cache_coverage(spark, d):
+    return G.cache_coverage(G.cached_ranges(cache_names(spark, d)), REQ_START, REQ_END)
+
+
+# ------------------------------------------------------- headline cache
+SQL_PAGE_CACHE = r"""
+oldc AS (SELECT url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS headline,
+                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id) AS seen_at FROM pages),
+newc AS (SELECT url, upper(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 'ß', 'ss')) AS headline,
+                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(500 - page_id) AS seen_at FROM pages)"""
+
+
+def page_caches(spark, d):
+    pages = B.table(spark, d, "pages")
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    old = pages.select("url", title.alias("headline"),
+                       (t0 + F.make_dt_interval(mins=F.col("page_id").cast("int"))).alias("seen_at"))
+    new = pages.select("url", F.upper(title).alias("headline"),
+                       (t0 + F.make_dt_interval(mins=(F.lit(500) - F.col("page_id")).cast("int"))).alias("seen_at"))
+    return old, new
+
+
+@register("headline_cache_upsert", "WITH " + SQL_PAGE_CACHE + """
+SELECT url, headline, seen_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY seen_at DESC, headline DESC) AS z
+  FROM (SELECT * FROM oldc UNION ALL SELECT * FROM newc)) WHERE z = 1""")
+def q_headline_cache_upsert(spark, d):
+    old, new = page_caches(spark, d)
+    return H.cache_upsert(old, new)
+
+
+@register("headline_resolve", None)
+def q_headline_resolve(spark, d):
+    """Article urls resolved through cache, pages and slug fallback."""
+    old, _ = page_caches(spark, d)
+    urls = slug_urls(spark, d)
+    return H.resolve_headlines(urls, B.table(spark, d, "pages"), old.where(F.col("seen_at") < "2024-01-01 02:00:00"),
+                               ACR)
+
+
+# ------------------------------------------------------- indicators
+SQL_IND = """
+ind AS (
+  SELECT n_name AS Country, year(o_orderdate) AS "Year",
+         CASE WHEN r_name = 'AMERICA' THEN '' ELSE r_name END AS Continent, r_name AS Region,
+         CAST(count(*) AS VARCHAR) AS "Wealth Index",
+         CASE WHEN count_if(o_orderpriority = '1-URGENT') = 0 THEN '' ELSE CAST(count_if(o_orderpriority = '1-URGENT') AS VARCHAR) END AS "GINI Index",
+         CASE WHEN count(DISTINCT c_custkey) < 3 THEN 'n/a' ELSE CAST(count(DISTINCT c_custkey) AS VARCHAR) END AS "Adult Literacy Rate (%)"
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+       JOIN region ON n_regionkey = r_regionkey
+  GROUP BY 1, 2, 3, 4)"""
+
+
+def indicators(spark, d):
+    o = B.table(spark, d, "orders")
+    c = B.table(spark, d, "customer")
+    n = B.table(spark, d, "nation")
+    r = B.table(spark, d, "region")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey) \
+         .join(r, n.n_regionkey == r.r_regionkey)
+    urgent = F.count_if(F.col("o_orderpriority") == "1-URGENT")
+    cust = F.count_distinct("c_custkey")
+    return j.groupBy(F.col("n_name").alias("Country"), F.year("o_orderdate").alias("Year"),
+                     F.when(F.col("r_name") == "AMERICA", F.lit("")).otherwise(F.col("r_name")).alias("Continent"),
+                     F.col("r_name").alias("Region")).agg(
+        F.count(F.lit(1)).cast("string").alias("Wealth Index"),
+        F.when(urgent == 0, F.lit("")).otherwise(urgent.cast("string")).alias("GINI Index"),
+        F.when(cust < 3, F.lit("n/a")).otherwise(cust.cast("string")).alias("Adult Literacy Rate (%)"))
+
+
+def _sql_js(col, gini=False):
+    blank = "CAST(NULL AS DOUBLE)" if gini else "0.0"
+    return (f"CASE WHEN {col} IS NULL OR trim({col}) = '' THEN {blank} "
+            f"ELSE coalesce(TRY_CAST(trim({col}) AS DOUBLE), CAST('NaN' AS DOUBLE)) END")
+
+
+@register("indicator_slice", "WITH " + SQL_IND + f""",
+s AS (SELECT Country, coalesce(nullif(Continent, ''), nullif(Region, ''), 'Other') AS Region,
+             {_sql_js('"Wealth Index"')} AS x, {_sql_js('"Adult Literacy Rate (%)"')} AS y
+      FROM ind WHERE "Year" = 1996),
+k AS (SELECT * FROM s WHERE x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL AND NOT isnan(y))
+SELECT Country, Region, x, y, printf('%.1f', x) AS x_label, printf('%.1f', y) AS y_label,
+       (SELECT min(x) FROM k) AS x_min, (SELECT max(x) FROM k) AS x_max,
+       (SELECT min(y) FROM k) AS y_min, (SELECT max(y) FROM k) AS y_max
+FROM k""")
+def q_indicator_slice(spark, d):
+    return IND.indicator_slice(indicators(spark, d), 1996, "Wealth Index", "Adult Literacy Rate (%)")
+
+
+@register("indicator_domains", "WITH " + SQL_IND + """
+SELECT 'year' AS kind, CAST("Year" AS VARCHAR) AS value, "Year" AS ord FROM (SELECT DISTINCT "Year" FROM ind WHERE "Year" IS NOT NULL)
+UNION ALL SELECT 'latest_year', CAST(max("Year") AS VARCHAR), max("Year") FROM ind
+UNION ALL SELECT DISTINCT 'region', coalesce(nullif(Continent, ''), nullif(Region, ''), 'Other'), CAST(NULL AS INTEGER) FROM ind""")
+def q_indicator_domains(spark, d):
+    return IND.indicator_domains(indicators(spark, d))
+
+
+@register("indicator_gini", "WITH " + SQL_IND + f"""
+SELECT Country, "Year", {_sql_js('"GINI Index"', gini=True)} AS gini FROM ind""")
+def q_indicator_gini(spark, d):
+    ind = indicators(spark, d)
+    return ind.select("Country", "Year", IND.js_number(F.col("`GINI Index`"), blank_is_null=True).alias("gini"))
+
+
+# ------------------------------------------------------- location top 2
+@register("location_top2", "WITH " + SQL_RECORDS + """,
+b AS (SELECT GKGRECORDID, unnest(string_split(regexp_replace(coalesce(V2ENHANCEDTHEMES, ''), '([^;,]+),([0-9]+)', '4#\\1#\\2', 'g'), ';')) AS blk FROM records),
+l AS (SELECT GKGRECORDID, string_split(blk, '#')[2] AS loc FROM b),
+c AS (SELECT GKGRECORDID, loc, count(*) AS n FROM l WHERE loc IS NOT NULL AND loc <> '' GROUP BY 1, 2),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY GKGRECORDID ORDER BY n DESC, loc) AS rk FROM c) WHERE rk <= 2)
+SELECT GKGRECORDID, V2SOURCECOMMONNAME FROM records WHERE GKGRECORDID IN (SELECT GKGRECORDID FROM t WHERE loc = 'THE')""".replace("\\\\", "\\"))
+def q_location_top2(spark, d):
+    r = B.records(spark, d)
+    blocks = F.regexp_replace(F.coalesce(F.col("V2ENHANCEDTHEMES"), F.lit("")), r"([^;,]+),([0-9]+)", "4#$1#$2")
+    r = r.withColumn("_blocks", blocks)
+    return FL.location_top2(r, col="_blocks", name="THE").select(S.RID, S.SOURCE)
