@@ -76,6 +76,15 @@ def headline_summary(df: DataFrame, k: int = 3, rid: str = S.RID, url: str = S.U
     row with the highest ``count_day`` (ties: earlier Day, then headline).
     ``Headline_Source`` is the url of the headline's earliest record
     (date, record id) with a url.
+
+    Plan: the input is read once.  One grouping-sets aggregation yields the
+    (day, headline) and (month, headline) distinct-record counts together
+    with the earliest source; everything after runs on those grouped rows,
+    whose windows are bounded by the calendar (days or months of one
+    headline) or are top-k windows planned as ``WindowGroupLimit``.  The
+    reference's full outer join of the daily and monthly lists becomes a
+    window over (month, headline): each daily row gets its month's values,
+    and a monthly row without daily rows is kept on its own.
     """
     f = known_duplicates(df)
     base = f.select(X.day(F.col(date)).alias("Day"), X.month_start(F.col(date)).alias("Month"),
@@ -83,24 +92,30 @@ def headline_summary(df: DataFrame, k: int = 3, rid: str = S.RID, url: str = S.U
                     F.when(F.col(url).isNotNull(),
                            F.struct(F.col(date).alias("d"), F.col(rid).alias("r"),
                                     F.col(url).alias("u"))).alias("_src"))
-    daily = (base.groupBy("Day", "Month", S.HEADLINE)
-             .agg(F.count_distinct("_rid").alias("count"), F.min("_src").alias("_src")))
-    monthly = (base.groupBy("Month", S.HEADLINE)
-               .agg(F.count_distinct("_rid").alias("count")))
-    d3 = _top_k(daily, ["Day"], k, "Rank_Day", "Top_Day").withColumnRenamed("count", "count_day")
-    m3 = _top_k(monthly, ["Month"], k, "Rank_Month", "Top_Month").withColumnRenamed("count", "count_month")
-    # Sources only for headlines that reached a top list: the per-(day,
-    # headline) minima are already small; the earliest over days is the
-    # earliest overall because days partition the rows.
-    sources = daily.groupBy(S.HEADLINE).agg(F.min("_src")["u"].alias("Headline_Source"))
-    j = d3.drop("_src").join(m3, ["headline", "Month"], "full")
-    j = j.join(sources, S.HEADLINE, "left")
-    j = j.withColumn("count_day", F.coalesce(F.col("count_day"), F.lit(0)))
+    g = (base.groupingSets([["Day", "Month", S.HEADLINE], ["Month", S.HEADLINE]], "Day", "Month", S.HEADLINE)
+         .agg(F.count_distinct("_rid").alias("count"), F.min("_src").alias("_src"),
+              F.grouping("Day").alias("_m")))
+    monthly = F.col("_m") == 1
+    # earliest source over the headline's monthly rows (months partition rows)
+    g = g.withColumn("Headline_Source",
+                     F.min(F.when(monthly, F.col("_src"))).over(Window.partitionBy(S.HEADLINE))["u"])
+    w_rank = Window.partitionBy("_m", "Day", "Month").orderBy(F.col("count").desc(), F.col(S.HEADLINE).asc())
+    top = g.withColumn("_rank", F.row_number().over(w_rank)).where(F.col("_rank") <= k)
+    w_mh = Window.partitionBy("Month", S.HEADLINE)
+    top = (top.withColumn("count_month", F.max(F.when(monthly, F.col("count"))).over(w_mh))
+              .withColumn("Rank_Month", F.max(F.when(monthly, F.col("_rank"))).over(w_mh))
+              .withColumn("_days", F.count(F.when(~monthly, F.lit(1))).over(w_mh)))
+    j = top.where(~monthly | (F.col("_days") == 0)).select(
+        "Day", "Month", S.HEADLINE,
+        F.when(monthly, F.lit(0).cast("bigint")).otherwise(F.col("count")).alias("count_day"),
+        F.when(~monthly, F.col("_rank")).alias("Rank_Day"),
+        (~monthly).alias("Top_Day"),
+        "count_month", "Rank_Month",
+        F.col("Rank_Month").isNotNull().alias("Top_Month"),
+        "Headline_Source")
     w = Window.partitionBy("Month", "Rank_Month").orderBy(
         F.col("count_day").desc(), F.col("Day").asc_nulls_last(), F.col(S.HEADLINE).asc())
-    j = (j.withColumn("_z", F.row_number().over(w)).where("_z = 1").drop("_z")
-         .withColumn("Top_Day", F.coalesce(F.col("Top_Day"), F.lit(False)))
-         .withColumn("Top_Month", F.coalesce(F.col("Top_Month"), F.lit(False))))
+    j = j.withColumn("_z", F.row_number().over(w)).where("_z = 1").drop("_z")
     return j.select("Day", "Month", S.HEADLINE, "count_day", "Rank_Day", "Top_Day",
                     "count_month", "Rank_Month", "Top_Month", "Headline_Source")
 

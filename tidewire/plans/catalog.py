@@ -47,7 +47,8 @@ articles AS (
          'https://s' || CAST(l_suppkey AS VARCHAR) || '.example.com/news/'
            || CAST(l_orderkey + 100000 AS VARCHAR) || '.html' AS V1DOCUMENTIDENTIFIER,
          p_name AS headline,
-         printf('%.2f,%.2f,%.2f', (l_tax - l_discount) * 100, l_tax * 100, l_discount * 100) AS "V1.5TONE"
+         concat_ws(',', CAST(round((l_tax - l_discount) * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
+                   CAST(round(l_discount * 100) AS BIGINT)) AS "V1.5TONE"
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 SQL_ENRICHED = SQL_ARTICLES + f""",

@@ -62,3 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tidewire-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage at a stage boundary (an executor lost later does not
+    re-run the upstream) and lets several consumers share one computation;
+    unlike ``checkpoint()`` the copy is columnar, so each consumer still gets
+    column pruning and filter pushdown.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
