@@ -33,6 +33,15 @@ def escape(term: str) -> str:
     return "".join("\\" + ch if ch in _META else ch for ch in term)
 
 
+_CLASS_ESCAPE = re.compile(r"\\[wWdDsS]")
+
+
+def unicode_classes(pattern: str) -> str:
+    """Python's ``\\w``/``\\d``/``\\s`` are Unicode-aware; Java's are ASCII
+    unless ``(?U)`` is set, so patterns using them get the flag."""
+    return "(?U)" + pattern if _CLASS_ESCAPE.search(pattern) else pattern
+
+
 def _is_word(ch: str) -> bool:
     return ch == "_" or ch.isalnum()
 
@@ -58,7 +67,7 @@ class Term:
     @property
     def regex(self) -> str:
         if self.raw is not None:
-            return self.raw
+            return unicode_classes(self.raw)
         body = escape(self.text)
         return rf"\b{body}\b" if self.bounded else body
 
@@ -184,7 +193,7 @@ def classify(col: Column | str, categories: dict[str, Sequence[str]],
     """
     c = F.col(col) if isinstance(col, str) else col
     text = F.lower(c) if lower else c
-    hits = [F.when(text.rlike("|".join(f"(?:{p})" for p in pats)), F.lit(cat))
+    hits = [F.when(text.rlike(unicode_classes("|".join(f"(?:{p})" for p in pats))), F.lit(cat))
             for cat, pats in categories.items() if pats]
     arr = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return F.when(c.isNull() | (F.size(arr) == 0), F.array(F.lit(unknown))).otherwise(arr)

@@ -169,8 +169,7 @@ def _check_parquet(batches):
             except Exception:  # noqa: BLE001 -- any failure means unreadable
                 reason = reason or "unreadable"
             out.append((path, int(length), reason, rows, cols))
-        yield pd.DataFrame(out, columns=["path", "length", "reason", "rows", "columns"]).astype(
-            {"rows": "Int64", "columns": "Int64"})
+        yield pd.DataFrame(out, columns=["path", "length", "reason", "rows", "columns"], dtype="object")
 
 
 def corrupt_file_report(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:

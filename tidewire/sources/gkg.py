@@ -84,8 +84,10 @@ def _unzip_batches(drop_first_line: bool):
                     out_status.append("ok")
                     out_no.append(i)
                     out_line.append(ln)
+            if not out_path:
+                continue
             yield pd.DataFrame({"file_path": out_path, "status": out_status,
-                                "line_no": pd.array(out_no, dtype="Int64"), "line": out_line})
+                                "line_no": pd.Series(out_no, dtype="object"), "line": out_line})
     return run
 
 
