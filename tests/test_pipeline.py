@@ -1,0 +1,40 @@
+"""Batch entry points end to end on landed records."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire import dictionaries as DI
+from tidewire import schema as S
+from tidewire.plans import bindings as B
+from tidewire.plans import pipeline as P
+from tidewire.sources import gkg
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+
+
+def test_run_batch_filter_months_reextract(spark, scratch):
+    recs = B.records(spark, SF)
+    landed = os.path.join(scratch, "landed")
+    gkg.land(recs, landed)
+    pages = B.table(spark, SF, "pages")
+    out = os.path.join(scratch, "enriched")
+    e = P.run_batch(spark, landed, "2024-01-01 00:00:00", "2024-01-03 23:59:59", DI.BINDING_SITES,
+                    DI.BINDING_THEMES, DI.BINDING_LOCATIONS, DI.BINDING_TEXT_CATEGORIES, pages, None,
+                    DI.BINDING_ACRONYMS, out=out)
+    n = e.count()
+    assert n > 0
+    assert e.columns[:3] == ["date", "tone", "daily_avg_tone"]
+    # every record's url is not a fetched page: slug fallback gives the article id text
+    assert e.where(F.col(S.HEADLINE) == "").count() == 0
+    assert spark.read.parquet(out).count() == n
+    months = os.path.join(scratch, "months")
+    P.filter_months(spark.read.parquet(landed), months, DI.BINDING_SITES, DI.BINDING_THEMES,
+                    DI.BINDING_LOCATIONS)
+    r = P.reextract_month(spark, months, "2024-01", pages, None, DI.BINDING_ACRONYMS,
+                          DI.BINDING_TEXT_CATEGORIES)
+    assert r.count() > 0
+    with pytest.raises(FileNotFoundError):
+        P.reextract_month(spark, months, "1999-01", pages, None, DI.BINDING_ACRONYMS, DI.BINDING_TEXT_CATEGORIES)

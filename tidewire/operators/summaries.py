@@ -143,16 +143,24 @@ def restrict_to_known(top: DataFrame, rows: DataFrame, headline: str = S.HEADLIN
 
 
 def headline_timeline(df: DataFrame, date: str = S.DATE, source: str = S.SOURCE,
-                      rid: str = S.RID) -> DataFrame:
+                      rid: str = S.RID, materialize: bool = True) -> DataFrame:
     """Monthly distinct duplicated headlines annotated with the month's top
     headline (by number of distinct sources), its first date and crime types.
 
     Steps: date parsed and required; flag true; ``crime_type`` not exactly
     ``UNKNOWN`` (null kept); one row per (headline, source) -- the earliest by
-    (date, record id); per month the distinct headline count; per (month,
-    headline) the distinct sources; top 1 per month (ties: headline asc);
-    first date and sorted distinct ``crime_types`` of the top headlines only.
+    (date, record id); per month the distinct headline count and the top
+    headline (most sources, ties: headline asc); first date and sorted
+    distinct ``crime_types`` of the top headlines.
+
+    Plan: the (headline, source) table is far smaller than the input and has
+    two consumers, so it is written once to the checkpoint folder (lineage cut
+    there).  The per-month count and top-1 are one partial/final aggregation
+    (``min_by`` on (-sources, headline)) -- no window holding a month's
+    headlines in one task; the top headlines (one per month) are broadcast to
+    restrict the per-headline aggregation.
     """
+    from ..session import materialize as _mat
     d = df
     if dict(d.dtypes)[date] == "string":
         d = d.withColumn(date, X.parse_mixed_date(F.col(date)))
@@ -161,22 +169,25 @@ def headline_timeline(df: DataFrame, date: str = S.DATE, source: str = S.SOURCE,
     d = d.select(S.HEADLINE, source, date, rid, S.TYPES)
     d = D.first_per_key(d, [S.HEADLINE, source], [F.col(date), F.col(rid)])
     d = d.withColumn("Month", X.month_start(F.col(date)))
-    monthly = d.groupBy("Month").agg(F.count_distinct(S.HEADLINE).alias("distinct_headline_count"))
-    hm = (d.where(F.col(S.HEADLINE).isNotNull())
-          .groupBy("Month", S.HEADLINE).agg(F.count_distinct(source).alias("source_count")))
-    w = Window.partitionBy("Month").orderBy(F.col("source_count").desc(), F.col(S.HEADLINE).asc())
-    top = hm.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    if materialize:
+        d = _mat(d, "timeline_pairs")
+    hm = d.groupBy("Month", S.HEADLINE).agg(F.count(source).alias("source_count"))
+    key = F.when(F.col(S.HEADLINE).isNotNull(),
+                 F.struct((-F.col("source_count")).alias("n"), F.col(S.HEADLINE).alias("h")))
+    per_month = hm.groupBy("Month").agg(
+        F.count(S.HEADLINE).alias("distinct_headline_count"),
+        F.min_by(F.struct(F.col(S.HEADLINE).alias("h"), F.col("source_count").alias("n")), key).alias("_top"))
     # One top headline per month: a calendar-bounded set, safe to broadcast.
-    top_h = F.broadcast(top.select(S.HEADLINE).distinct())
+    top_h = F.broadcast(per_month.select(F.col("_top.h").alias(S.HEADLINE)).where(F.col(S.HEADLINE).isNotNull())
+                        .distinct())
     per_h = (d.join(top_h, S.HEADLINE, "left_semi").groupBy(S.HEADLINE)
              .agg(F.min(date).alias("_first"),
                   F.array_join(F.array_sort(F.collect_set(S.TYPES)), ", ").alias("Crime Types")))
-    top = top.join(per_h, S.HEADLINE, "left").withColumn("Headline Date", X.us_date_text(F.col("_first")))
-    out = monthly.join(top, "Month", "left")
+    out = per_month.join(per_h, per_month["_top.h"] == per_h[S.HEADLINE], "left")
     return out.select("Month", "distinct_headline_count",
-                      F.col(S.HEADLINE).alias("Top Headline"),
-                      F.col("source_count").alias("Top Headline Count"),
-                      "Headline Date", "Crime Types")
+                      F.col("_top.h").alias("Top Headline"),
+                      F.col("_top.n").alias("Top Headline Count"),
+                      X.us_date_text(F.col("_first")).alias("Headline Date"), "Crime Types")
 
 
 def crime_types_by_headline(df: DataFrame, headline: str = S.HEADLINE,
@@ -239,6 +250,16 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
                       F.coalesce(F.col("headlines"), F.lit(0)).alias("headlines"))
 
 
-def duplicate_histogram(df: DataFrame, bins: int = 50, min_count: int = 3) -> DataFrame:
-    """A10 over A9: histogram of duplicate frequencies (>= min_count)."""
-    return histogram(duplicate_frequency(df, min_count), "dup_count", bins)
+def duplicate_histogram(df: DataFrame, bins: int = 50, min_count: int = 3,
+                        materialize: bool = True) -> DataFrame:
+    """A10 over A9: histogram of duplicate frequencies (>= min_count).
+
+    The frequency table (one row per duplicated headline) feeds both the
+    min/max subquery and the binning, so it is written once to the
+    checkpoint folder instead of being computed twice.
+    """
+    from ..session import materialize as _mat
+    freq = duplicate_frequency(df, min_count)
+    if materialize:
+        freq = _mat(freq, "dup_frequency")
+    return histogram(freq, "dup_count", bins)

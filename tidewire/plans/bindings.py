@@ -9,7 +9,7 @@ tables and its work grows with them.
   item; headline = part name, source = supplier, url carries the order key as
   a 6+ digit article id, tone (integer percent) from tax and discount.
 * records     -- ``documents``: one knowledge-graph record per document,
-  themes = the text's words as ``WORD,index`` tokens, locations = the text,
+  themes = the text's words as ``WORD,1`` tokens, locations = the text,
   date = 15-minute steps by document id.
 * tone events -- ``events``: tone tuple from ``value`` (in cents).
 """
@@ -66,8 +66,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     date = (F.lit(RECORD_EPOCH).cast("timestamp_ntz")
             + F.make_dt_interval(mins=(F.col("doc_id") * 15).cast("int")))
-    words = F.filter(F.split(F.upper(F.col("text")), "[^A-Z]+", -1), lambda w: w != "")
-    themes = F.array_join(F.transform(words, lambda w, i: F.concat(w, F.lit(","), i.cast("string"))), ";")
+    # the text's words (A-Z runs of the upper-cased text) as WORD,1 tokens
+    words = F.regexp_replace(F.regexp_replace(F.upper(F.col("text")), "[^A-Z]+", ";"), "^;+|;+$", "")
+    themes = F.regexp_replace(words, "([A-Z]+)", "$1,1")
     return doc.select(
         F.concat(F.date_format(date, "yyyyMMddHHmmss"), F.lit("-"), F.col("doc_id").cast("string")).alias(S.RID),
         F.col("source").alias(S.SOURCE),

@@ -218,8 +218,8 @@ records AS (
          source AS V2SOURCECOMMONNAME,
          'https://' || source || '.example.com/news/' || CAST(doc_id + 100000 AS VARCHAR) || '/story.html' AS V1DOCUMENTIDENTIFIER,
          lang AS V1THEMES,
-         array_to_string(list_transform(list_filter(string_split_regex(upper(replace(text, 'ß', 'ss')), '[^A-Z]+'),
-                         lambda w: w <> ''), lambda w, i: w || ',' || CAST(i - 1 AS VARCHAR)), ';') AS V2ENHANCEDTHEMES,
+         regexp_replace(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', ';', 'g'),
+                        '^;+|;+$', '', 'g'), '([A-Z]+)', '\1,1', 'g') AS V2ENHANCEDTHEMES,
          lang AS V1LOCATIONS, text AS V2ENHANCEDLOCATIONS,
          CAST(NULL AS VARCHAR) AS V1ORGANIZATIONS, CAST(NULL AS VARCHAR) AS V2ENHANCEDORGANIZATIONS,
          printf('%d,%d,%d', n_chars % 21 - 10, n_chars, doc_id) AS "V1.5TONE",
