@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import add_columns_once
 from ..functions import text as X
 
 
@@ -55,7 +56,7 @@ def correct_false_duplicates(df: DataFrame, url: str = S.URL, source: str = S.SO
     ``groupby`` drops null keys.  ``min <> max`` equals ``nunique > 1`` and is
     a plain partial aggregation (no ``collect_set``).
     """
-    keyed = df.withColumn("_aid", X.article_id(F.col(url)))
+    keyed = add_columns_once(df, {"_aid": X.article_id(F.col(url))})
     groups = (keyed.where(F.col("_aid").isNotNull() & F.col(source).isNotNull())
               .groupBy(F.col(source).alias("_src"), F.col("_aid").alias("_gid"))
               .agg((F.min(headline) != F.max(headline)).alias("_multi"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema as S
+from ..functions import add_columns_once
 from ..functions import terms as TM
 
 
@@ -102,9 +103,11 @@ def filter_articles(df: DataFrame, start, end, sites: Sequence[str], themes: Seq
     d = d.where(date_between(date, start, end))
     d = d.where(source_in(S.SOURCE, sites))
     d = d.where(has_theme("V2ENHANCEDTHEMES", themes))
-    d = (d.withColumn("london_mentions", location_mentions("V2ENHANCEDLOCATIONS", locations))
-          .withColumn("crime_mentions", theme_mentions("V2ENHANCEDTHEMES", themes)))
-    return d.where((F.col("london_mentions") >= min_locations) & (F.col("crime_mentions") >= min_themes))
+    # counts evaluated once per row (see add_columns_once), then >= thresholds
+    return add_columns_once(d, {
+        "london_mentions": location_mentions("V2ENHANCEDLOCATIONS", locations),
+        "crime_mentions": theme_mentions("V2ENHANCEDTHEMES", themes),
+    }, keep=lambda r: (r["london_mentions"] >= min_locations) & (r["crime_mentions"] >= min_themes))
 
 
 def filter_articles_legacy(df: DataFrame, sites: Sequence[str], themes: Sequence[str],
@@ -115,9 +118,10 @@ def filter_articles_legacy(df: DataFrame, sites: Sequence[str], themes: Sequence
     d = d.where(source_matches_legacy(S.SOURCE, sites))
     d = d.where(has_theme_legacy("V2ENHANCEDTHEMES", themes))
     d = d.where(location_legacy("V1LOCATIONS", "V2ENHANCEDLOCATIONS", locations))
-    d = (d.withColumn("london_mentions", location_blocks_legacy("V2ENHANCEDLOCATIONS", locations))
-          .withColumn("crime_mentions", theme_distinct_legacy("V2ENHANCEDTHEMES", themes)))
-    return d.where((F.col("london_mentions") >= 2) & (F.col("crime_mentions") >= 2))
+    return add_columns_once(d, {
+        "london_mentions": location_blocks_legacy("V2ENHANCEDLOCATIONS", locations),
+        "crime_mentions": theme_distinct_legacy("V2ENHANCEDTHEMES", themes),
+    }, keep=lambda r: (r["london_mentions"] >= 2) & (r["crime_mentions"] >= 2))
 
 
 def filter_funnel(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:

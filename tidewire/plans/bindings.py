@@ -69,7 +69,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the text's words (A-Z runs of the upper-cased text) as WORD,1 tokens
     words = F.regexp_replace(F.regexp_replace(F.upper(F.col("text")), "[^A-Z]+", ";"), "^;+|;+$", "")
     themes = F.regexp_replace(words, "([A-Z]+)", "$1,1")
-    return doc.select(
+    # built inside one Generate so filters on these derived columns cannot be
+    # inlined below it (each text-derived column is computed once per row)
+    return doc.select(F.inline(F.array(F.struct(
         F.concat(F.date_format(date, "yyyyMMddHHmmss"), F.lit("-"), F.col("doc_id").cast("string")).alias(S.RID),
         F.col("source").alias(S.SOURCE),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/news/"),
@@ -80,9 +82,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("V2ENHANCEDLOCATIONS"),
         F.lit(None).cast("string").alias("V1ORGANIZATIONS"),
         F.lit(None).cast("string").alias("V2ENHANCEDORGANIZATIONS"),
-        F.format_string("%d,%d,%d", F.col("n_chars") % 21 - 10, F.col("n_chars"), F.col("doc_id")).alias("V1.5TONE"),
+        F.concat_ws(",", F.col("n_chars") % 21 - 10, F.col("n_chars"), F.col("doc_id")).alias("V1.5TONE"),
         date.alias(S.DATE),
-    )
+    ))))
 
 
 def tone_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ records AS (
                         '^;+|;+$', '', 'g'), '([A-Z]+)', '\1,1', 'g') AS V2ENHANCEDTHEMES,
          lang AS V1LOCATIONS, text AS V2ENHANCEDLOCATIONS,
          CAST(NULL AS VARCHAR) AS V1ORGANIZATIONS, CAST(NULL AS VARCHAR) AS V2ENHANCEDORGANIZATIONS,
-         printf('%d,%d,%d', n_chars % 21 - 10, n_chars, doc_id) AS "V1.5TONE",
+         concat_ws(',', n_chars % 21 - 10, n_chars, doc_id) AS "V1.5TONE",
          ts AS date
   FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 15 AS BIGINT)) AS ts FROM documents))"""
 
