@@ -57,8 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
+                               "for lineage cuts; a machine-local folder is unsafe on a cluster")
         d = tempfile.mkdtemp(prefix="tidewire-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
