@@ -91,3 +91,33 @@ def test_classify_and_keyword_count(spark):
     for h, r in zip(heads, rows):
         assert list(r["c"]) == _classify(h)
         assert r["k"] == _kwcount(h or "")
+
+
+def _rule_dictionary(n=300):
+    """A large place-like dictionary built from a rule: syllable pairs and
+    two-word names, with some repeats (weights) and prefix families."""
+    syl = ["BAR", "KING", "HAM", "TON", "NEW", "CROSS", "ST", "GREEN", "WOOD", "LEY", "FORD", "BROOK"]
+    out = []
+    for a in syl:
+        for b in syl:
+            out.append(a + b)
+            if len(out) % 3 == 0:
+                out.append(f"{a} {b}")
+    out += out[:12]  # repeated entries count twice
+    return out[:n]
+
+
+def test_large_dictionary_trie_layers_exact(spark):
+    terms = _rule_dictionary()
+    rnd = random.Random(9)
+    syl = ["BAR", "KING", "HAM", "TON", "NEW", "CROSS", "ST", "GREEN", "WOOD", "LEY", "FORD", "BROOK", "X"]
+    texts = []
+    for _ in range(300):
+        words = ["".join(rnd.choice(syl) for _ in range(rnd.randint(1, 2))) for _ in range(rnd.randint(0, 40))]
+        texts.append("".join(w + rnd.choice([" ", ", ", ";", "  "]) for w in words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", TM.count_terms("t", TM.word_terms(terms)).alias("n")).collect())
+    for i, t in enumerate(texts):
+        assert got[i] == _brute_words(t, terms)
+    layers = TM.layer_terms(TM.word_terms(terms))
+    assert len(layers) < 10 and max(len(x) for x in layers) > 100

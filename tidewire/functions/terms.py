@@ -138,6 +138,33 @@ def layer_terms(terms: Sequence[Term]) -> list[list[Term]]:
     return layers
 
 
+def trie_alternation(words: Iterable[str]) -> str:
+    """Prefix-factored alternation of literals (``NEW(?:HAM)?|...``).
+
+    A flat alternation makes the regex engine try every term at every text
+    position; the trie shares prefixes, so a position is rejected after its
+    first character in most branches.  Inside a layer at most one term can
+    match at a position, so the trie matches exactly what the flat
+    alternation matches.
+    """
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        alts = [escape(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not alts:
+            return ""
+        end = "" in node
+        if len(alts) == 1 and not end:
+            return alts[0]
+        return "(?:" + "|".join(alts) + ")" + ("?" if end else "")
+    return emit(root)
+
+
 def layer_regexes(layers: Iterable[Sequence[Term]]) -> list[str]:
     out = []
     for layer in layers:
@@ -145,7 +172,7 @@ def layer_regexes(layers: Iterable[Sequence[Term]]) -> list[str]:
             out.append(layer[0].regex)
             continue
         bounded = layer[0].bounded
-        body = "|".join(escape(t.text) for t in layer)
+        body = trie_alternation(t.text for t in layer)
         out.append(rf"\b(?:{body})\b" if bounded else f"(?:{body})")
     return out
 
