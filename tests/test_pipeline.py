@@ -38,3 +38,31 @@ def test_run_batch_filter_months_reextract(spark, scratch):
     assert r.count() > 0
     with pytest.raises(FileNotFoundError):
         P.reextract_month(spark, months, "1999-01", pages, None, DI.BINDING_ACRONYMS, DI.BINDING_TEXT_CATEGORIES)
+
+
+def test_enrich_csv_rows_and_cache(spark):
+    from tidewire.operators import headlines as H
+    rows = spark.createDataFrame(
+        [("2025-01-01", "https://a.co.uk/news/man-held-1234567", "s"), ("2025-01-02", "ftp://x/y", "t"),
+         ("2025-01-03", "https://b.co.uk/p", "u"), ("2025-01-04", "https://c.co.uk/q", "v")],
+        "date string, V1DOCUMENTIDENTIFIER string, V2SOURCECOMMONNAME string")
+    pages = spark.createDataFrame([("https://b.co.uk/p", "<title> Page B </title>"),
+                                   ("https://c.co.uk/q", "<p>no title</p>")], "url string, html string")
+    cache = spark.createDataFrame([("https://a.co.uk/news/man-held-1234567", "__MISSED HEADLINE__"),
+                                   ("https://c.co.uk/q", "Cached C")], "url string, headline string")
+    res = H.resolve_headlines(rows.select(F.col(S.URL).alias("url")), pages, cache, {"uk"})
+    got = {r["url"]: (r["headline"], r["cache_entry"]) for r in res.collect()}
+    assert got["https://a.co.uk/news/man-held-1234567"] == ("man held", "man held")  # miss marker ignored, slug
+    assert got["ftp://x/y"] == (None, None)
+    assert got["https://b.co.uk/p"] == ("Page B", "Page B")
+    assert got["https://c.co.uk/q"] == ("Cached C", None)
+    res2 = H.resolve_headlines(rows.select(F.col(S.URL).alias("url")), pages, None, {"uk"})
+    assert {r["url"]: r["cache_entry"] for r in res2.collect()}["https://c.co.uk/q"] == "__MISSED HEADLINE__"
+    out = H.enrich_csv_rows(rows, res)
+    assert out.columns[:2] == ["date", "headline"] and out.count() == 4
+    with pytest.raises(ValueError):
+        H.enrich_csv_rows(rows.drop(S.URL), res)
+    up = H.cache_upsert(cache.withColumn("seen_at", F.lit("2025-01-01").cast("timestamp")),
+                        res.select("url", F.col("cache_entry").alias("headline"))
+                        .where(F.col("headline").isNotNull()).withColumn("seen_at", F.lit("2025-02-01").cast("timestamp")))
+    assert {r["url"]: r["headline"] for r in up.collect()}["https://a.co.uk/news/man-held-1234567"] == "man held"

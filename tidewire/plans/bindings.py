@@ -95,3 +95,38 @@ def tone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias(S.SOURCE),
         F.concat(F.round(F.col("value") * 100).cast("bigint").cast("string"), F.lit(",1,2")).alias("V1.5TONE"),
     )
+
+
+def drop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` rendered as raw 27-field tab-separated drop lines.
+
+    Record id = the event's 15-minute drop stamp + event id; NA and empty
+    fields exercise the parser's null tokens.
+    """
+    ev = table(spark, sf_dir, "events")
+    ts = F.col("ts")
+    drop = (F.date_trunc("hour", ts).cast("timestamp_ntz")
+            + F.make_dt_interval(mins=(F.floor(F.minute(ts) / 15) * 15).cast("int")))
+    rid = F.concat(F.date_format(drop, "yyyyMMddHHmmss"), F.lit("-"), F.col("event_id").cast("string"))
+    fields = [F.lit("")] * len(S.RAW_COLUMNS)
+    fields[0] = rid
+    fields[1] = F.date_format(drop, "yyyyMMddHHmmss")
+    fields[3] = F.concat(F.col("event_type"), F.lit(".example.com"))
+    fields[4] = F.concat(F.lit("https://"), F.col("event_type"), F.lit(".example.com/"),
+                         (F.col("event_id") + 100000).cast("string"), F.lit(".html"))
+    fields[7] = F.upper(F.col("event_type"))
+    fields[8] = F.concat(F.upper(F.col("event_type")), F.lit(","), F.col("user_id").cast("string"))
+    fields[10] = F.col("props")
+    fields[13] = F.lit("NA")
+    fields[15] = F.concat(F.round(F.col("value") * 100).cast("bigint").cast("string"), F.lit(",1,2"))
+    fields[26] = F.lit("<xml/>")
+    return ev.select(F.concat_ws("\t", *fields).alias("value"))
+
+
+def write_drops(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
+    """Write :func:`drop_lines` as text drops into the checkpoint folder."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/drops/{uuid.uuid4().hex}"
+    drop_lines(spark, sf_dir).repartition(files).write.text(path)
+    return path

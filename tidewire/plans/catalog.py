@@ -850,3 +850,40 @@ def q_location_top2(spark, d):
     blocks = F.regexp_replace(F.coalesce(F.col("V2ENHANCEDTHEMES"), F.lit("")), r"([^;,]+),([0-9]+)", "4#$1#$2")
     r = r.withColumn("_blocks", blocks)
     return FL.location_top2(r, col="_blocks", name="THE").select(S.RID, S.SOURCE)
+
+
+# ------------------------------------------------------- raw drops
+from ..sources import gkg as GK  # noqa: E402
+from ..streaming import ingest as STR  # noqa: E402
+
+SQL_DROPS = r"""
+ev AS (SELECT *, time_bucket(INTERVAL '15 minutes', ts) AS drop_ts FROM events),
+lines AS (SELECT strftime(drop_ts, '%Y%m%d%H%M%S') || '-' || CAST(event_id AS VARCHAR) AS GKGRECORDID,
+                 event_type || '.example.com' AS V2SOURCECOMMONNAME,
+                 'https://' || event_type || '.example.com/' || CAST(event_id + 100000 AS VARCHAR) || '.html' AS V1DOCUMENTIDENTIFIER,
+                 upper(event_type) AS V1THEMES,
+                 upper(event_type) || ',' || CAST(user_id AS VARCHAR) AS V2ENHANCEDTHEMES,
+                 CAST(NULL AS VARCHAR) AS V1LOCATIONS,
+                 CASE WHEN props IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND',
+                      '1.#QNAN', 'N/A', 'NA', 'NULL', 'NaN', 'n/a', 'nan', 'null') THEN NULL ELSE props END AS V2ENHANCEDLOCATIONS,
+                 CAST(NULL AS VARCHAR) AS V1ORGANIZATIONS, CAST(NULL AS VARCHAR) AS V2ENHANCEDORGANIZATIONS,
+                 CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || ',1,2' AS "V1.5TONE",
+                 drop_ts AS date
+          FROM ev)"""
+
+
+@register("gkg_ingest", "WITH " + SQL_DROPS + " SELECT * FROM lines")
+def q_gkg_ingest(spark, d):
+    """Raw text drops derived from ``events`` parsed back."""
+    return GK.read_text_drops(spark, B.write_drops(spark, d))
+
+
+@register("incremental_ingest", "WITH " + SQL_DROPS + " SELECT * FROM lines")
+def q_incremental_ingest(spark, d):
+    """T4: the same drops landed by an ``availableNow`` file stream (the
+    stream's checkpoint records processed drops), read back."""
+    import uuid
+    src = B.write_drops(spark, d)
+    base = f"{src}-landed-{uuid.uuid4().hex}"
+    STR.ingest_available(spark, src, f"{base}/data", f"{base}/_checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/data").drop("day")
