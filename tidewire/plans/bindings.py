@@ -36,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     already have enough partitions and are left untouched -- no extra shuffle.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- e.g. a Spark Connect session: no RDD view
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

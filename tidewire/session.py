@@ -54,18 +54,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     only read here.  When it is unset (tests, a laptop) a fresh scratch folder
     is created and registered, so ``DataFrame.checkpoint()`` works everywhere.
     """
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect: only the SQL conf is visible
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        return d
+    d = sc.getCheckpointDir()
     if d:
         return d
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
                                "for lineage cuts; a machine-local folder is unsafe on a cluster")
         d = tempfile.mkdtemp(prefix="tidewire-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def materialize(df, name: str):
