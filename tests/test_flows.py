@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire import dictionaries as DI
 from tidewire import schema as S
 from tidewire.plans import bindings as B
-from tidewire.plans import pipeline as P
+from tidewire.plans import flows as P
 from tidewire.sources import gkg
 
 SF = "/root/testdata/sf0.001"

@@ -1 +1 @@
-"""Plans: bindings to the test tables, end-to-end pipelines, query catalog."""
+"""Plans: bindings to the test tables, end-to-end flows, query catalog."""

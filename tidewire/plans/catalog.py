@@ -24,7 +24,7 @@ from ..operators import summaries as SU
 from ..operators import tone as TN
 from . import bindings as B
 from . import oracle as O
-from . import pipeline as P
+from . import flows as P
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 

@@ -114,7 +114,7 @@ def reextract_month(spark, filtered: str, month: str, pages: DataFrame, cache: D
 
 
 def legacy_daily_tone(records: DataFrame, sites, themes, locations) -> DataFrame:
-    """Legacy single-drop pipeline intent (parse -> legacy filter -> tone ->
+    """Legacy single-drop run intent (parse -> legacy filter -> tone ->
     daily mean)."""
     f = FL.filter_articles_legacy(records, sites, themes, locations)
     return TN.daily_tone_series(TN.extract_tone(f))
