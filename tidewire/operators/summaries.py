@@ -164,8 +164,17 @@ def headline_timeline(df: DataFrame, date: str = S.DATE, source: str = S.SOURCE,
     d = df
     if dict(d.dtypes)[date] == "string":
         d = d.withColumn(date, X.parse_mixed_date(F.col(date)))
-    d = d.where(F.col(date).isNotNull() & is_true_text(F.col(S.DUP))
-                & not_unknown(F.col(S.TYPE), trim=False, upper=False))
+    if S.TYPE in d.columns:
+        known = not_unknown(F.col(S.TYPE), trim=False, upper=False)
+    else:
+        # unexploded rows: a record survives when any of its labels would
+        # survive the explode-then-filter of the reference (same result, no
+        # row blow-up); the explode also rewrites the label text, so do that too
+        from .clean import clean_type_text
+        d = d.withColumn(S.TYPES, clean_type_text(F.col(S.TYPES)))
+        labels = F.split(F.col(S.TYPES), r"\s*,\s*", -1)
+        known = F.exists(labels, lambda t: t != "UNKNOWN")
+    d = d.where(F.col(date).isNotNull() & is_true_text(F.col(S.DUP)) & known)
     d = d.select(S.HEADLINE, source, date, rid, S.TYPES)
     d = D.first_per_key(d, [S.HEADLINE, source], [F.col(date), F.col(rid)])
     d = d.withColumn("Month", X.month_start(F.col(date)))

@@ -155,7 +155,9 @@ FROM mc LEFT JOIN top ON mc.Month = top.Month LEFT JOIN ph ON top.headline = ph.
 
 @register("headline_timeline", SQL_TIMELINE)
 def q_headline_timeline(spark, d):
-    return SU.headline_timeline(cleaned(spark, d))
+    """Reads enriched rows: the ``crime_type`` test of the exploded input is
+    applied as "any label survives" (see ``headline_timeline``)."""
+    return SU.headline_timeline(enriched(spark, d))
 
 
 @register("enrich_articles", "WITH " + SQL_ENRICHED + " SELECT * FROM enriched")
@@ -276,7 +278,8 @@ SELECT headline, count(DISTINCT GKGRECORDID) AS dup_count FROM cleaned
 WHERE upper(trim(CAST(headline_is_duplicate AS VARCHAR))) = 'TRUE' AND headline IS NOT NULL
 GROUP BY 1 HAVING count(DISTINCT GKGRECORDID) >= 3""")
 def q_duplicate_frequency(spark, d):
-    return SU.duplicate_frequency(cleaned(spark, d))
+    # distinct record counts: the explode of the cleaned input is result-neutral
+    return SU.duplicate_frequency(enriched(spark, d))
 
 
 @register("duplicate_histogram", "WITH " + SQL_CLEANED + """,
@@ -296,7 +299,8 @@ c AS (SELECT bin, count(*) AS headlines FROM i2 GROUP BY 1)
 SELECT e.bin, e.b0 AS bin_start, e.b1 AS bin_end, coalesce(c.headlines, 0) AS headlines
 FROM e LEFT JOIN c ON e.bin = c.bin""")
 def q_duplicate_histogram(spark, d):
-    return SU.duplicate_histogram(cleaned(spark, d))
+    # distinct record counts: the explode of the cleaned input is result-neutral
+    return SU.duplicate_histogram(enriched(spark, d))
 
 
 @register("crime_types_by_headline", "WITH " + SQL_ENRICHED + """

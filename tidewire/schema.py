@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# ---------------------------------------------------------------------------
+# Column names, their positional order, the dropped-column list
+# and the output column orders must equal the reference's data layout.
+# ---------------------------------------------------------------------------
+
 #: the 27 positional columns of a raw knowledge-graph drop (tab separated)
 RAW_COLUMNS = (
     "GKGRECORDID", "V2.1DATE", "V2SOURCECOLLECTIONID", "V2SOURCECOMMONNAME",
