@@ -46,21 +46,31 @@ def flag_duplicates(df: DataFrame, headline: str = S.HEADLINE, out: str = S.DUP,
     return j.withColumn(out, F.col("_n") > 1).drop("_h", "_n")
 
 
-def correct_false_duplicates(df: DataFrame, url: str = S.URL, source: str = S.SOURCE,
-                             headline: str = S.HEADLINE, flag: str = S.DUP,
-                             rid: str = S.RID) -> DataFrame:
-    """Rows of one (source, article id) carrying more than one distinct
-    non-null headline are not duplicates (flag -> False).
+def multi_headline_groups(df: DataFrame, url: str = S.URL, source: str = S.SOURCE,
+                          headline: str = S.HEADLINE) -> DataFrame:
+    """(source, article id) groups carrying more than one distinct
+    non-null headline, as ``_src, _gid, _multi``.
 
     Groups with a null source or null article id are skipped, as pandas
     ``groupby`` drops null keys.  ``min <> max`` equals ``nunique > 1`` and is
     a plain partial aggregation (no ``collect_set``).
     """
+    keyed = add_columns_once(df.select(url, source, headline), {"_aid": X.article_id(F.col(url))})
+    return (keyed.where(F.col("_aid").isNotNull() & F.col(source).isNotNull())
+            .groupBy(F.col(source).alias("_src"), F.col("_aid").alias("_gid"))
+            .agg((F.min(headline) != F.max(headline)).alias("_multi"))
+            .where(F.col("_multi")))
+
+
+def correct_false_duplicates(df: DataFrame, url: str = S.URL, source: str = S.SOURCE,
+                             headline: str = S.HEADLINE, flag: str = S.DUP,
+                             rid: str = S.RID, groups: DataFrame | None = None) -> DataFrame:
+    """Rows of a :func:`multi_headline_groups` group are not duplicates
+    (flag -> False).  ``groups`` may be passed precomputed (e.g. written once
+    so the planner can size it)."""
     keyed = add_columns_once(df, {"_aid": X.article_id(F.col(url))})
-    groups = (keyed.where(F.col("_aid").isNotNull() & F.col(source).isNotNull())
-              .groupBy(F.col(source).alias("_src"), F.col("_aid").alias("_gid"))
-              .agg((F.min(headline) != F.max(headline)).alias("_multi"))
-              .where(F.col("_multi")))
+    if groups is None:
+        groups = multi_headline_groups(df, url, source, headline)
     spread = _null_spread(F.col("_aid"), F.col(rid))
     j = keyed.join(groups, (F.col(source) == F.col("_src")) & (spread == F.col("_gid")), "left")
     return (j.withColumn(flag, F.when(F.col("_multi"), F.lit(False)).otherwise(F.col(flag)))

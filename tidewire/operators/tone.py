@@ -25,7 +25,7 @@ def daily_tone_series(df: DataFrame, date: str = S.DATE, tone: str = "tone",
 
 
 def add_daily_avg_tone(df: DataFrame, date: str = S.DATE, tone: str = "tone",
-                       out: str = "daily_avg_tone") -> DataFrame:
+                       out: str = "daily_avg_tone", source: DataFrame | None = None) -> DataFrame:
     """Attach each row's calendar-day mean tone (null date -> null).
 
     A window partitioned by day would put a whole day in one task.  The day
@@ -33,6 +33,8 @@ def add_daily_avg_tone(df: DataFrame, date: str = S.DATE, tone: str = "tone",
     bound set by the calendar (36,525 rows per century), not by the data
     volume -- so broadcasting them is safe and the big side is not shuffled.
     """
-    days = daily_tone_series(df, date, tone, "_day", out)
+    # ``source``: the rows to average when ``df`` carries joins the average
+    # does not need (keeps them out of the aggregation branch)
+    days = daily_tone_series(source if source is not None else df, date, tone, "_day", out)
     return (df.join(F.broadcast(days), F.to_date(F.col(date)) == F.col("_day"), "left")
             .drop("_day"))

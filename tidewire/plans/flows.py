@@ -28,18 +28,31 @@ def label_headlines(counts: DataFrame, categories: dict, headline: str = S.HEADL
             .withColumn("crime_keyword_count", TM.count_terms(F.lower(h), kw)))
 
 
-def enrich_articles(df: DataFrame, categories: dict) -> DataFrame:
+def enrich_articles(df: DataFrame, categories: dict, stage_side_tables: bool = True) -> DataFrame:
     """run-batch step 2 over articles that already carry a ``headline``.
 
     Labels are computed on the distinct-headline table that the duplicate
     flag needs anyway, so each regex runs once per distinct headline, not
     once per row.
+
+    With ``stage_side_tables`` the two per-key side tables (headline counts
+    with labels; multi-headline article groups) are written once to the
+    checkpoint folder.  Their real sizes then become the planner's
+    statistics: a side under ``spark.sql.autoBroadcastJoinThreshold`` is
+    broadcast and the article rows are not shuffled at all; a larger side
+    falls back to a sort-merge join (AQE splitting skewed keys).  The size
+    check is Spark's own, made on measured files, not a guess.
     """
+    from ..session import materialize
     counts = label_headlines(D.headline_counts(df), categories)
+    groups = D.multi_headline_groups(df)
+    if stage_side_tables:
+        counts = materialize(counts, "headline_labels")
+        groups = materialize(groups, "article_groups")
     d = D.flag_duplicates(df, counts=counts)
-    d = D.correct_false_duplicates(d)
+    d = D.correct_false_duplicates(d, groups=groups)
     d = TN.extract_tone(d)
-    d = TN.add_daily_avg_tone(d)
+    d = TN.add_daily_avg_tone(d, source=TN.extract_tone(df.select(S.DATE, "`V1.5TONE`")))
     d = d.withColumn(S.HEADLINE, F.coalesce(F.col(S.HEADLINE), F.lit("")))
     return C.priority_order(d, S.ENRICHED_FIRST)
 
