@@ -47,7 +47,10 @@ def resolve_headlines(urls: DataFrame, pages: DataFrame, cache: DataFrame | None
     marker for a page without a title; null when nothing is written).
     """
     u = urls.select(url).where(F.col(url).isNotNull()).distinct()
-    p = pages.select(F.col("url").alias(url), "html")
+    # Extract on the page side first (narrow): only the short headline and a
+    # fetch-failed bit cross the join's shuffle, never the html payload.
+    p = pages.select(F.col("url").alias(url), X.headline_from_html(F.col("html")).alias("_from_html"),
+                     F.col("html").isNull().alias("_failed"))
     j = u.join(p, url, "left")
     if cache is not None:
         j = j.join(valid_cached(cache, "url", "headline").withColumnRenamed("url", url)
@@ -55,12 +58,13 @@ def resolve_headlines(urls: DataFrame, pages: DataFrame, cache: DataFrame | None
     else:
         j = j.withColumn("_cached", F.lit(None).cast("string"))
     is_http = F.col(url).startswith("http")
-    from_html = X.headline_from_html(F.col("html"))
+    # no page row at all counts as a failed fetch, like a null html
+    failed = F.coalesce(F.col("_failed"), F.lit(True))
     slug = X.headline_from_url(F.col(url), acronyms)
-    fetched = F.when(F.col("html").isNull(), slug).otherwise(from_html)
+    fetched = F.when(failed, slug).otherwise(F.col("_from_html"))
     j = j.withColumn("_new", F.when(F.col("_cached").isNull() & is_http, fetched))
     entry = (F.when(F.col("_cached").isNotNull() | ~is_http, F.lit(None))
-             .when(F.col("html").isNull(), F.col("_new"))
+             .when(failed, F.col("_new"))
              .otherwise(F.coalesce(F.col("_new"), F.lit(S.MISSED_HEADLINE))))
     return j.select(url, F.coalesce(F.col("_cached"), F.col("_new")).alias("headline"),
                     entry.alias("cache_entry"))
