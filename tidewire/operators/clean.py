@@ -48,13 +48,11 @@ def date_column(df: DataFrame) -> str:
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str] = S.CLEAN_NUMERIC_COLUMNS) -> DataFrame:
     """Numeric coercion (``pd.to_numeric(errors='coerce')``) of the
-    listed columns that exist; text columns are parsed, numbers kept."""
+    listed columns that exist; text columns are parsed to double, columns
+    that are already numeric keep their type (as ``to_numeric`` does)."""
     for c in cols:
-        if c in df.columns:
-            if dict(df.dtypes)[c] == "string":
-                df = df.withColumn(c, X.parse_number(F.col(f"`{c}`")))
-            else:
-                df = df.withColumn(c, F.col(f"`{c}`").cast("double"))
+        if c in df.columns and dict(df.dtypes)[c] == "string":
+            df = df.withColumn(c, X.parse_number(F.col(f"`{c}`")))
     return df
 
 

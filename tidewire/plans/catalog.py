@@ -450,11 +450,13 @@ p AS (SELECT date BETWEEN TIMESTAMP '{F_START}' AND TIMESTAMP '{F_END}' AS p1, s
              {O.count_terms("loc", TM.word_terms(LOCS))} >= 2 AS p4,
              {O.count_terms("th", TM.substring_terms(THEMES))} >= 2 AS p5 FROM up)
 SELECT count(*) AS "rows",
-       count_if(p1) AS date_kept, count_if(p1) AS date_alone,
-       count_if(p1 AND p2) AS site_kept, count_if(p2) AS site_alone,
-       count_if(p1 AND p2 AND p3) AS theme_kept, count_if(p3) AS theme_alone,
-       count_if(p1 AND p2 AND p3 AND p4) AS locations_kept, count_if(p4) AS locations_alone,
-       count_if(p1 AND p2 AND p3 AND p4 AND p5) AS themes2_kept, count_if(p5) AS themes2_alone
+       CAST(count_if(p1) AS BIGINT) AS date_kept, CAST(count_if(p1) AS BIGINT) AS date_alone,
+       CAST(count_if(p1 AND p2) AS BIGINT) AS site_kept, CAST(count_if(p2) AS BIGINT) AS site_alone,
+       CAST(count_if(p1 AND p2 AND p3) AS BIGINT) AS theme_kept, CAST(count_if(p3) AS BIGINT) AS theme_alone,
+       CAST(count_if(p1 AND p2 AND p3 AND p4) AS BIGINT) AS locations_kept,
+       CAST(count_if(p4) AS BIGINT) AS locations_alone,
+       CAST(count_if(p1 AND p2 AND p3 AND p4 AND p5) AS BIGINT) AS themes2_kept,
+       CAST(count_if(p5) AS BIGINT) AS themes2_alone
 FROM p""")
 def q_filter_funnel(spark, d):
     r = FL.fill_upper(B.records(spark, d))
@@ -787,7 +789,7 @@ def q_headline_resolve(spark, d):
 # ------------------------------------------------------- indicators
 SQL_IND = """
 ind AS (
-  SELECT n_name AS Country, year(o_orderdate) AS "Year",
+  SELECT n_name AS Country, CAST(year(o_orderdate) AS INTEGER) AS "Year",
          CASE WHEN r_name = 'AMERICA' THEN '' ELSE r_name END AS Continent, r_name AS Region,
          CAST(count(*) AS VARCHAR) AS "Wealth Index",
          CASE WHEN count_if(o_orderpriority = '1-URGENT') = 0 THEN '' ELSE CAST(count_if(o_orderpriority = '1-URGENT') AS VARCHAR) END AS "GINI Index",
@@ -835,7 +837,7 @@ def q_indicator_slice(spark, d):
 
 @register("indicator_domains", "WITH " + SQL_IND + """
 SELECT 'year' AS kind, CAST("Year" AS VARCHAR) AS value, "Year" AS ord FROM (SELECT DISTINCT "Year" FROM ind WHERE "Year" IS NOT NULL)
-UNION ALL SELECT 'latest_year', CAST(max("Year") AS VARCHAR), max("Year") FROM ind
+UNION ALL SELECT 'latest_year', CAST(max("Year") AS VARCHAR), CAST(max("Year") AS INTEGER) FROM ind
 UNION ALL SELECT DISTINCT 'region', coalesce(nullif(Continent, ''), nullif(Region, ''), 'Other'), CAST(NULL AS INTEGER) FROM ind""")
 def q_indicator_domains(spark, d):
     return IND.indicator_domains(indicators(spark, d))
