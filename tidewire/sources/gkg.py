@@ -151,12 +151,19 @@ def read_text_drops(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`") for c in S.PARSED_COLUMNS], date.alias(S.DATE))
 
 
-def land(df: DataFrame, path: str, date: str = S.DATE, mode: str = "append") -> None:
+def land(df: DataFrame, path: str, date: str = S.DATE, mode: str = "append",
+         files_per_day: int = 16) -> None:
     """Write records partitioned by calendar ``day`` (one folder per day
     replaces the 96 small files per day; dynamic overwrite replaces only the
-    days present in ``df``)."""
+    days present in ``df``).
+
+    Rows are clustered by (day, hash bucket of the record id): at most
+    ``files_per_day`` files per day, and a day holding a third of all rows
+    is written by ``files_per_day`` tasks instead of one.
+    """
     out = df.withColumn("day", F.to_date(F.col(date)))
-    w = out.repartition("day").write.partitionBy("day")
+    bucket = F.pmod(F.xxhash64(F.col(S.RID)), F.lit(files_per_day))
+    w = out.repartition("day", bucket).write.partitionBy("day")
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     w.mode(mode).parquet(path)

@@ -31,7 +31,12 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
 
 
 def drop_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of parsed records from text drops landing in ``path``."""
+    """Stream of parsed records from text drops landing in ``path``.
+
+    Lines with fewer than 27 fields are dropped line by line: a stream emits
+    rows before it has seen a whole file, so the batch reader's
+    reject-the-whole-ragged-file rule is not applied here.
+    """
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
