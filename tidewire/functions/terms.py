@@ -220,8 +220,18 @@ def classify(col: Column | str, categories: dict[str, Sequence[str]],
     """
     c = F.col(col) if isinstance(col, str) else col
     text = F.lower(c) if lower else c
-    hits = [F.when(text.rlike(unicode_classes("|".join(f"(?:{p})" for p in pats))), F.lit(cat))
-            for cat, pats in categories.items() if pats]
+    hits = []
+    for cat, pats in categories.items():
+        if not pats:
+            continue
+        test = text.rlike(unicode_classes("|".join(f"(?:{p})" for p in pats)))
+        cores = [term_from_pattern(p) for p in pats]
+        if all(t.raw is None for t in cores):
+            # literal entries: a byte search for any literal gates the regex,
+            # so most texts of a rare category never run it
+            gate = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t.text)) for t in cores])
+            test = gate & test
+        hits.append(F.when(test, F.lit(cat)))
     arr = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return F.when(c.isNull() | (F.size(arr) == 0), F.array(F.lit(unknown))).otherwise(arr)
 
