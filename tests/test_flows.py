@@ -66,3 +66,29 @@ def test_enrich_csv_rows_and_cache(spark):
                         res.select("url", F.col("cache_entry").alias("headline"))
                         .where(F.col("headline").isNotNull()).withColumn("seen_at", F.lit("2025-02-01").cast("timestamp")))
     assert {r["url"]: r["headline"] for r in up.collect()}["https://a.co.uk/news/man-held-1234567"] == "man held"
+
+
+def test_folder_jobs(spark, scratch):
+    import pandas as pd
+    folder = os.path.join(scratch, "cleaned")
+    os.makedirs(folder)
+    pd.DataFrame({
+        "date": ["2025-01-02 00:15:00", "2025-01-02", "01/03/2025", "bad", "2025-01-03 10:00:00", "2025-02-01"],
+        "headline": ["cafÃ© fire", "cafÃ© fire", "cafÃ© fire", "x", "  ", "other"],
+        "headline_is_duplicate": ["True", "TRUE", " true ", "True", "True", "True"],
+        "crime_types": ["ARSON", "ARSON, THEFT", "ARSON", "ARSON", "ARSON", "THEFT"],
+        "crime_type": ["ARSON", "ARSON", "ARSON", "ARSON", "ARSON", "THEFT"],
+        "GKGRECORDID": ["r1", "r2", "r3", "r4", "r5", "r6"],
+        "V1DOCUMENTIDENTIFIER": ["u1", "u2", "u3", "u4", "u5", "u6"],
+        "V2SOURCECOMMONNAME": ["a", "b", "c", "d", "e", "f"],
+    }).to_csv(os.path.join(folder, "m1.csv"), index=False, encoding="utf-8-sig")
+    pd.DataFrame({"date": ["2025-01-05"], "other": ["no headline"]}).to_csv(os.path.join(folder, "m2.csv"), index=False)
+    out = os.path.join(scratch, "summary_out")
+    s = P.summary_from_csv_folder(spark, folder, out=out)
+    rows = {(str(r["Day"]), r["headline"]): r for r in s.collect()}
+    assert rows[("2025-01-02", "café fire")]["count_day"] == 2  # mojibake repaired, mixed dates parsed
+    assert rows[("2025-01-02", "café fire")]["Headline_Source"] == "u2"  # midnight < 00:15
+    assert all(h != "x" and h.strip() for _, h in rows)  # bad date and blank headline dropped
+    assert spark.read.json(os.path.join(out, "json")).count() == s.count()
+    t = P.timeline_from_csv_folder(spark, folder).collect()
+    assert {r["Top Headline"] for r in t} == {"cafÃ© fire", "other"}

@@ -131,3 +131,41 @@ def legacy_daily_tone(records: DataFrame, sites, themes, locations) -> DataFrame
     daily mean)."""
     f = FL.filter_articles_legacy(records, sites, themes, locations)
     return TN.daily_tone_series(TN.extract_tone(f))
+
+
+# ------------------------------------------------------------ folder entry points
+SUMMARY_REQUIRED = (S.DATE, S.HEADLINE)
+TIMELINE_REQUIRED = (S.HEADLINE, S.SOURCE, S.DATE, S.DUP, S.TYPE, S.TYPES)
+
+
+def summary_from_csv_folder(spark, folder: str, out: str | None = None, k: int = 3) -> DataFrame:
+    """Headline summary job over a folder of cleaned monthly CSVs.
+
+    Every CSV of ``folder`` is read on its own and skipped without ``date``
+    and ``headline``; headlines get the mojibake repair, blank ones and rows
+    with an unparseable date are dropped; then the daily/monthly top-k
+    summary.  With ``out`` the result is written as CSV and as JSON lines
+    under ``out`` (separate from the input folder).
+    """
+    from ..sources import files as FS
+    rows = FS.read_monthly_csvs(spark, FS.list_files(spark, folder, ".csv"), SUMMARY_REQUIRED)
+    if rows is None:
+        raise ValueError(f"no usable CSV in {folder}")
+    s = SU.sort_summary(SU.headline_summary(SU.prepare_headline_rows(rows), k=k))
+    if out:
+        FS.write_csv(s.coalesce(1), f"{out.rstrip('/')}/csv", mode="overwrite")
+        FS.write_json(s.coalesce(1), f"{out.rstrip('/')}/json", mode="overwrite")
+    return s
+
+
+def timeline_from_csv_folder(spark, folder: str, out: str | None = None) -> DataFrame:
+    """Annotated timeline job over a folder of cleaned monthly CSVs (files
+    without the six required columns are skipped)."""
+    from ..sources import files as FS
+    rows = FS.read_monthly_csvs(spark, FS.list_files(spark, folder, ".csv"), TIMELINE_REQUIRED)
+    if rows is None:
+        raise ValueError(f"no usable CSV in {folder}")
+    t = SU.headline_timeline(rows)
+    if out:
+        FS.write_csv(t.coalesce(1), out, mode="overwrite")
+    return t
