@@ -128,3 +128,18 @@ def test_zip_helper_roundtrip():
         z.writestr("a.csv", _line("1"))
     status, lines = gkg._inflate(buf.getvalue(), False)
     assert status == "ok" and len(lines) == 1 and F is not None
+
+
+def test_ingest_missing_only(spark, scratch):
+    d = os.path.join(scratch, "drops2")
+    os.makedirs(d)
+    landed = os.path.join(scratch, "landed2")
+    _zip(f"{d}/20260301000000.gkg.csv.zip", _line("20260301000000-1").encode())
+    _zip(f"{d}/20260301001500.gkg.csv.zip", _line("20260301001500-1").encode())
+    _zip(f"{d}/20260301003000.gkg.csv.zip", b"")  # empty: stays missing
+    got = gkg.ingest_missing(spark, d, landed, "2026-03-01 00:00:00", "2026-03-01 00:45:00")
+    assert len(got) == 3 and spark.read.parquet(landed).count() == 2
+    _zip(f"{d}/20260301004500.gkg.csv.zip", _line("20260301004500-1").encode())
+    got = gkg.ingest_missing(spark, d, landed, "2026-03-01 00:00:00", "2026-03-01 00:45:00")
+    assert [os.path.basename(p) for p in got] == ["20260301003000.gkg.csv.zip", "20260301004500.gkg.csv.zip"]
+    assert spark.read.parquet(landed).count() == 3

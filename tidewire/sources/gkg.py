@@ -91,12 +91,14 @@ def _unzip_batches(drop_first_line: bool):
     return run
 
 
-def read_drop_lines(spark: SparkSession, path: str, drop_first_line: bool = False,
+def read_drop_lines(spark: SparkSession, path, drop_first_line: bool = False,
                     glob: str = "*.zip") -> DataFrame:
     """Lines of zipped drops with a per-file status (rejected files keep one
-    row with a null line, so they can be reported)."""
+    row with a null line, so they can be reported).  ``path`` is a folder or
+    a list of drop files."""
+    paths = [path] if isinstance(path, str) else list(path)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+             .option("recursiveFileLookup", "true").load(paths).select("path", "content"))
     return files.mapInPandas(_unzip_batches(drop_first_line), LINES_SCHEMA)
 
 
@@ -119,7 +121,7 @@ def stamp_from_path(path_col) -> "F.Column":
     return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
-def read_drops(spark: SparkSession, path: str, drop_first_line: bool = False) -> DataFrame:
+def read_drops(spark: SparkSession, path, drop_first_line: bool = False) -> DataFrame:
     """S1 + S2 + X2: parsed records (10 columns + ``date``) of all good drops.
 
     ``date`` comes from the drop's file name, else from the record id.
@@ -175,3 +177,33 @@ def scan_range(spark: SparkSession, path: str, start, end, date: str = S.DATE) -
     df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
     return (df.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
             .where(F.col(date).between(F.lit(start), F.lit(end))))
+
+
+def ingest_missing(spark: SparkSession, drops: str, landed: str, start, end,
+                   glob: str = "*.zip") -> list[str]:
+    """S16/T4 (batch form): land only the drops of ``[start, end]`` whose
+    15-minute stamp has no landed rows yet; returns the drop files read.
+
+    The grid minus landed stamps is a Spark anti join (J8); the drop folder
+    is listed without reading content, and only the paths of missing stamps
+    -- at most 96 per day, metadata -- reach the driver to name the read.
+    A drop that yielded no rows (corrupt, empty) stays missing and is tried
+    again next time (D13).
+    """
+    from ..operators import grid as G
+    from .files import _fs
+    bounds = spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("start"),
+                                   F.lit(end).cast("timestamp_ntz").alias("end"))
+    grid = G.interval_grid(bounds)
+    fs, p = _fs(spark, landed)
+    if fs.exists(p):
+        missing = G.missing_intervals(grid, spark.read.parquet(landed), landed_ts=S.DATE)
+    else:
+        missing = grid
+    listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+               .option("recursiveFileLookup", "true").load(drops).select("path"))
+    wanted = listing.withColumn("stamp", F.date_format(stamp_from_path(F.col("path")), "yyyyMMddHHmmss"))
+    paths = [r[0] for r in wanted.join(missing.select("stamp"), "stamp", "left_semi").select("path").collect()]
+    if paths:
+        land(read_drops(spark, paths), landed)
+    return sorted(paths)
