@@ -56,3 +56,15 @@ def test_stream_dedup_and_daily_tone(spark, scratch):
     day1 = [r for r in rows if str(r["Date"]) == "2026-03-01"]
     assert day1 and abs(day1[0]["Tone"] - (2 + 2 + 4 + 100) / 4) < 1e-9
     assert F is not None
+
+
+def test_stream_rejects_ragged_file_like_batch(spark, scratch):
+    src, dst, ck = (os.path.join(scratch, x) for x in ("src3", "dst3", "ck3"))
+    os.makedirs(src)
+    _write(src, "20260301000000", [1, 2])
+    with open(f"{src}/20260301001500.gkg.csv", "w") as fh:  # ragged: 27 and 20 fields
+        fh.write(_line("20260301001500-1") + "\n" + _line("20260301001500-2", n=20) + "\n")
+    ST.ingest_available(spark, src, dst, ck).awaitTermination()
+    got = sorted(r[0] for r in spark.read.parquet(dst).select(S.RID).collect())
+    assert got == sorted(r[0] for r in gkg.read_text_drops(spark, src).select(S.RID).collect())
+    assert got == ["20260301000000-1", "20260301000000-2"]

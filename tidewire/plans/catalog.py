@@ -898,4 +898,4 @@ def q_incremental_ingest(spark, d):
     src = B.write_drops(spark, d)
     base = f"{src}-landed-{uuid.uuid4().hex}"
     STR.ingest_available(spark, src, f"{base}/data", f"{base}/_checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/data").drop("day")
+    return spark.read.parquet(f"{base}/data").drop("batch", "day")

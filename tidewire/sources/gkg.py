@@ -138,13 +138,10 @@ def drop_report(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("file_path", "status").agg(F.count("line").alias("lines"))
 
 
-def read_text_drops(spark: SparkSession, path: str) -> DataFrame:
-    """Unzipped drops (plain or gzip text): same parse, JVM only.
-
-    Ragged or short files are rejected with one per-file aggregate (a small
-    shuffle of one row per file) and a semi join.
-    """
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+def parse_text_lines(t: DataFrame) -> DataFrame:
+    """``file_path, line`` rows -> parsed records; files whose lines have
+    differing or too few fields are rejected whole (one per-file aggregate, a
+    small shuffle of one row per file, and a semi join)."""
     t = t.withColumn("_n", F.size(F.split("line", "\t", -1)))
     ok = (t.groupBy("file_path").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"))
           .where((F.col("lo") == F.col("hi")) & (F.col("lo") >= EXPECTED_FIELDS)).select("file_path"))
@@ -153,6 +150,12 @@ def read_text_drops(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`") for c in S.PARSED_COLUMNS], date.alias(S.DATE))
 
 
+def read_text_drops(spark: SparkSession, path: str) -> DataFrame:
+    """Unzipped drops (plain or gzip text): same parse, JVM only."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    return parse_text_lines(t)
+
+
 def land(df: DataFrame, path: str, date: str = S.DATE, mode: str = "append",
          files_per_day: int = 16) -> None:
     """Write records partitioned by calendar ``day`` (one folder per day

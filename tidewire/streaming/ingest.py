@@ -49,12 +49,25 @@ def drop_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 def ingest_available(spark: SparkSession, source: str, target: str, checkpoint: str | None = None) -> StreamingQuery:
     """T4: land every not-yet-processed drop of ``source`` into ``target``
-    (partitioned by day) and stop.  Re-running adds only new drops."""
-    stream = drop_stream(spark, source).withColumn("day", F.to_date(S.DATE))
-    q = (stream.writeStream.format("parquet").option("path", target)
-         .option("checkpointLocation", checkpoint or checkpoint_location(spark, "ingest"))
-         .partitionBy("day").outputMode("append").trigger(availableNow=True).start())
-    return q
+    and stop.  Re-running adds only new drops.
+
+    A file-source micro-batch always holds whole files, so each batch gets
+    the batch reader's per-file rules (ragged or short files rejected whole).
+    Each micro-batch writes its own ``batch=<id>/day=...`` folder with
+    overwrite, so a replayed batch after a failure rewrites the same files
+    instead of appending duplicates (exactly-once output).
+    """
+    lines = (spark.readStream.format("text").load(source)
+             .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line")))
+
+    def land_batch(batch: DataFrame, batch_id: int) -> None:
+        out = gkg.parse_text_lines(batch).withColumn("day", F.to_date(S.DATE))
+        (out.write.mode("overwrite").partitionBy("day")
+         .parquet(f"{target.rstrip('/')}/batch={batch_id}"))
+
+    return (lines.writeStream.foreachBatch(land_batch)
+            .option("checkpointLocation", checkpoint or checkpoint_location(spark, "ingest"))
+            .trigger(availableNow=True).start())
 
 
 def dedup_stream(df: DataFrame, key: str = S.RID, ts: str = S.DATE, delay: str = "1 day") -> DataFrame:
