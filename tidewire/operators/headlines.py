@@ -66,7 +66,8 @@ def resolve_headlines(urls: DataFrame, pages: DataFrame, cache: DataFrame | None
     entry = (F.when(F.col("_cached").isNotNull() | ~is_http, F.lit(None))
              .when(failed, F.col("_new"))
              .otherwise(F.coalesce(F.col("_new"), F.lit(S.MISSED_HEADLINE))))
-    return j.select(url, F.coalesce(F.col("_cached"), F.col("_new")).alias("headline"),
+    # NFC for every returned headline (cached, page or slug), once per url
+    return j.select(url, X.nfc(F.coalesce(F.col("_cached"), F.col("_new"))).alias("headline"),
                     entry.alias("cache_entry"))
 
 
