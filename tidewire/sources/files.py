@@ -40,16 +40,37 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("inferSchema", False).option("encoding", "UTF-8").csv(path))
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV: only its first line is read (through the
+    Hadoop FS, no Spark job); a UTF-8 BOM is dropped."""
+    import csv
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs(spark, path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        line = reader.readLine() or ""
+    finally:
+        reader.close()
+    return next(csv.reader([line.lstrip("\ufeff")]), [])
+
+
 def read_monthly_csvs(spark: SparkSession, paths: Iterable[str],
                       required: Sequence[str] = (S.DATE, S.HEADLINE)) -> DataFrame | None:
     """Each file read on its own (a folder read would apply the first
     file's header to all), files missing a required column skipped, the rest
-    stacked by column name (missing columns -> null), with ``source_file``."""
+    stacked by column name (missing columns -> null), with ``source_file``.
+
+    The required-column gate reads only each file's header line, so no Spark
+    job runs per file; every file is read with an explicit all-text schema.
+    """
     out = None
     for p in paths:
-        df = read_csv(spark, p)
-        if not set(required) <= set(df.columns):
+        cols = csv_header(spark, p)
+        if not set(required) <= set(cols) or len(set(cols)) != len(cols):
             continue
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+              .option("escape", '"').option("encoding", "UTF-8").csv(p))
         df = df.withColumn("source_file", F.lit(p.rsplit("/", 1)[-1]))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
