@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewire.llm import sharding, token_store
+from tidewire.llm import secret_scan, sharding, token_store
 
 QUERIES = {
+    "op1_secret_scan": (secret_scan.query, None),
     "op4_sharding": (sharding.query, None),
     "op10_token_store": (token_store.query, None),
 }
