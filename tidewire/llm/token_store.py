@@ -18,9 +18,11 @@ Empty tables give an empty store.  Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -34,9 +36,14 @@ END_ID = 2
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
 #: Words a worker remembers; beyond it the memory starts afresh.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 800_000
 #: ASCII capitals, the only ones lowered before the tokenizer sees a word (it lowers the rest).
 LOWER = {c: c + 32 for c in range(65, 91)}
+#: Words cut at once: printable ASCII without apostrophes (contractions are pre-tokens).
+PLAIN = re.compile(r"[\t\r -&(-~]+")
+PRE_TOKEN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
+#: Letters whose lower case depends on their place or is longer.
+SPECIAL_CASE = re.compile("[\u03a3\u0130]")
 NULL_ID = -(1 << 63)
 
 
@@ -114,67 +121,87 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, Packed]:
 
 class WordTokenizer:
     """Encodes texts with a tokenizer whose pre-tokenizer never crosses a space:
-    each space-separated word is encoded once and remembered.  A word of letters
-    may be followed by sentence marks, which are a pre-token of their own."""
+    each space-separated word is encoded once and remembered, as the bytes of its
+    ids.  Words whose pre-tokens are plain to see (ASCII without apostrophes, letters
+    with sentence marks behind) are cut into them; lowered letters need no normalizer
+    and only a split at spaces.  All others go through the whole tokenizer."""
 
     MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, list[int]] = {"": []}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _words(self, ws: list[str]) -> None:
+        """Encode lowered letter words as one text: a word ends where a token does
+        that ends words.  If the counts differ, one by one."""
+        if not ws:
+            return
+        ids = np.array(self.plain.encode_batch_fast([" ".join(ws)], add_special_tokens=False)[0].ids, np.int64)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(ws):
+            self._each(ws)
+            return
+        raw, a = ids.astype("<u4").tobytes(), 0
+        for w, b in zip(ws, cuts.tolist(), strict=True):
+            self.known[w] = raw[a:b]
+            a = b
+
+    def _each(self, ws: list[str]) -> None:
+        for w, e in zip(ws, self.tok.encode_batch_fast(ws, add_special_tokens=False), strict=True) if ws else ():
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, miss: list[str]) -> None:
-        known, plain, odd, tails = self.known, {}, [], []
+        known = self.known
         if len(known) > KEEP_WORDS:
             known.clear()
-            known[""] = []
+            known[""] = b""
+        letters, odd, built = {}, {}, []
         for w in miss:
-            core = w.rstrip(self.MARKS)
-            if core.isalpha():
-                low = core.translate(LOWER)
-                if low not in known:
-                    plain[low] = None
-                tails.append((w, low, w[len(core):]))
+            if w.isascii():
+                parts = PRE_TOKEN.findall(w.translate(LOWER)) if PLAIN.fullmatch(w) and "<|" not in w else [w]
             else:
-                odd.append(w)
-        odd += [t for t in {t for *_, t in tails} if t not in known]
-        if plain:  # one text of letter words: a word ends where a token does that ends words
-            ids = np.array(self.tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain):
-                for w, part in zip(plain, np.split(ids, cuts[:-1]), strict=True):
-                    known[w] = part.tolist()
-            else:
-                odd += plain
-        if odd:
-            for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        for w, low, tail in tails:
-            known[w] = known[low] + known[tail]
-
-    def __call__(self, text: str | None) -> list[int]:
+                core = w.rstrip(self.MARKS)
+                if core.isalpha() and is_normalized("NFC", core) and not SPECIAL_CASE.search(core):
+                    parts = [core.lower(), w[len(core):]]
+                else:
+                    parts = [w]
+            for p in parts:
+                if p not in known:
+                    (letters if p.isalpha() and (p is not w) else odd)[p] = None
+            if parts != [w]:
+                built.append((w, parts))
+        self._words(list(letters))
+        self._each(list(odd))
+        for w, parts in built:
+            known[w] = b"".join([known[p] for p in parts])
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Ids of a text, unsigned 32-bit."""
         if not text:
-            return []
-        ws, out, known = text.split(" "), [], self.known
+            return np.zeros(0, "<u4")
+        ws, known = text.replace("\n", " ").split(" "), self.known
         try:
-            for w in ws:
-                out += known[w]
+            return np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
         except KeyError:
             self._learn([w for w in dict.fromkeys(ws) if w not in known])
-            out = []
+        try:
+            return np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
+        except KeyError:  # some were forgotten when the memory started afresh
+            parts = []
             for w in ws:
-                got = known.get(w)
-                if got is None:  # forgotten when the memory started afresh
+                if w not in known:
                     self._learn([w])
-                    got = known[w]
-                out += got
-        return out
+                parts.append(known[w])
+            return np.frombuffer(b"".join(parts), "<u4")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -199,7 +226,7 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = EN
         keys, ids, size = [], [], 0
         for pdf in batches:
             for d, null, t in zip(pdf["doc_id"], pdf["no_id"], pdf["text"], strict=True):
-                got = np.array([*tok(t), end_id], np.uint32)
+                got = np.append(tok(t), np.uint32(end_id))
                 keys.append(NULL_ID if null else int(d))
                 ids.append(got)
                 size += len(got)
