@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewire.llm import pii, secret_scan, sharding, token_store
+from tidewire.llm import language_id, pii, secret_scan, sharding, token_store
 
 QUERIES = {
     "op1_secret_scan": (secret_scan.query, None),
     "op3_pii": (pii.query, None),
     "op4_sharding": (sharding.query, None),
+    "op6_language_id": (language_id.query, None),
     "op10_token_store": (token_store.query, None),
 }
