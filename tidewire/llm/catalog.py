@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewire.llm import language_id, pii, secret_scan, sharding, token_store
+from tidewire.llm import language_id, pii, quality_rules, secret_scan, sharding, token_store
 
 QUERIES = {
     "op1_secret_scan": (secret_scan.query, None),
+    "op2_quality_rules": (quality_rules.query, quality_rules.SQL),
     "op3_pii": (pii.query, None),
     "op4_sharding": (sharding.query, None),
     "op6_language_id": (language_id.query, None),
