@@ -146,8 +146,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WS = r"[ \t\n\x0B\f\r]"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(text, '{_WS}+'), x -> x <> '') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM d),
+w AS (SELECT *, list_filter(string_split_regex(text, '{_WS}+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM d),
 grams AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS t(i)),
 twice AS (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM grams JOIN twice USING (r, g), range(0, {WINDOW}) AS o(k) GROUP BY r),
@@ -165,7 +165,7 @@ hist AS (SELECT stratum, rate, steps[rate] AS step, count(*) FILTER (quality = 1
 tested AS (SELECT *, sum(good) OVER (PARTITION BY stratum, rate)::BIGINT AS n, sum(good) OVER z::BIGINT AS k, sum(bad) OVER z::BIGINT AS caught FROM hist
            WINDOW z AS (PARTITION BY stratum, rate ORDER BY step DESC ROWS UNBOUNDED PRECEDING)),
 sure AS (SELECT *, max(caught) OVER (PARTITION BY stratum, rate) AS most FROM tested WHERE step > 0 AND
-         CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RATES)}) + (n - i) * ln(1 - {ALPHA / len(RATES)})))) END
+         CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RATES)}) + (n - i) * ln(1 - {ALPHA / len(RATES)})))) END
          <= {DELTA} / (SELECT count(*) FROM (SELECT DISTINCT stratum, rate FROM hist))),
 cut AS (SELECT stratum, rate, max(step) AS cut FROM sure WHERE caught > 0 AND caught >= {YIELD} * most GROUP BY ALL),
 bad AS (SELECT DISTINCT r FROM s JOIN cut USING (stratum) WHERE s.steps[cut.rate] >= cut.cut)

@@ -22,6 +22,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidewire.llm.common import documents, id_text
 from tidewire.session import materialize
@@ -78,7 +79,7 @@ def place(df: DataFrame, t: Tree, to: str, id_col: str = "doc_id") -> DataFrame:
     return df.withColumn(to, shard.cast("int")).drop("_region", "_rack")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) if t else 0).astype("int64")
 
