@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import decontaminate, language_id, line_dedup, pii, quality_rules, secret_scan, sharding, token_store
+from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
 
 QUERIES = {
     "op1_secret_scan": (secret_scan.query, None),
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": (pii.query, None),
     "op4_sharding": (sharding.query, None),
     "op6_language_id": (language_id.query, None),
+    "op7_ngram_join": (ngram_join.query, None),
     "op8_line_dedup": (line_dedup.query, None),
     "op9_decontaminate": (decontaminate.query, None),
     "op10_token_store": (token_store.query, None),
