@@ -4,10 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.llm import decontaminate, line_dedup, ngram_join, quality_rules, sentence_pieces
 from tidewire.llm.common import documents
 from tidewire.session import materialize
 
-STAGES = []
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier one go, and documents that have no word left."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.filter_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that are left, and a digest of what they decode to."""
+    path = sentence_pieces.model_path()
+    return sentence_pieces.digests(sentence_pieces.encode(docs, path), path)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("benchmark_decontamination", benchmark), ("sentencepiece", pieces)]
 
 #: The SentencePiece and risk-control stages have no SQL form; tests/llm holds the
 #: rows against a brute-force version.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
+from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, quality_rules, secret_scan, sentence_pieces, sharding, token_store
 
 QUERIES = {
     "op1_secret_scan": (secret_scan.query, None),
     "op2_quality_rules": (quality_rules.query, quality_rules.SQL),
     "op3_pii": (pii.query, None),
     "op4_sharding": (sharding.query, None),
+    "op5_sentence_pieces": (sentence_pieces.query, None),
     "op6_language_id": (language_id.query, None),
     "op7_ngram_join": (ngram_join.query, None),
     "op8_line_dedup": (line_dedup.query, None),

@@ -68,8 +68,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, first, extra): the shingles that come first in the global order,
-    and, where they are fewer than the prefix, those after them."""
+    """(doc_id, h, n, node, first, extra): a hash of the text, then the shingles that come
+    first in the global order, and, where they are fewer than the prefix, those after them."""
     bounded_batches(docs.sparkSession)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,10 +82,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 rows.append((len(s), node_of(s) if len(s) else None, first.view(np.int64), s[~in_first][:missing].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "node", "first", "extra"])
             out["node"] = out["node"].astype("Int64")
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
-            yield out
+            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").array, h=pdf["h"].array)
 
-    return id_text(docs).mapInPandas(build, "doc_id long, n long, node long, first array<long>, extra array<long>")
+    return id_text(docs).withColumn("h", F.xxhash64("text")).mapInPandas(build, "doc_id long, h long, n long, node long, first array<long>, extra array<long>")
 
 
 def prefix_postings(nodes: DataFrame) -> DataFrame:
@@ -208,8 +207,8 @@ def link_blocks(texts: DataFrame) -> DataFrame:
     return texts.groupBy("block", "i", "j").applyInPandas(link, "u long, v long")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def rooted_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n, root) of every row: root names its component; null without words."""
     made = materialize(sets(docs), "ngram-sets")
     nodes = made.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("extra").alias("extra"))
     posts = materialize(prefix_postings(nodes), "ngram-postings")
@@ -223,13 +222,36 @@ def components(docs: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")))
     dealt = materialize(mine.select("doc_id", "node", "block", pairs.alias("tasks")), "ngram-tasks")
     roots = connected_components(link_blocks(fetch(docs, dealt)), "ngram-links")
-    rooted = made.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted, "ngram-rooted")
+    rooted = made.select("doc_id", "h", "n", "node").join(roots, "node", "left")
+    return materialize(rooted.select("doc_id", "h", "n", F.coalesce("root", "node").alias("root")), "ngram-rooted")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rooted = rooted_rows(docs)
     names = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(names, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have the least doc_id (then text hash) of their component, with
+    their own columns; of rows with the same doc_id and text, one."""
+    rooted = rooted_rows(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+    first = rooted.where("n > 0").groupBy("root").agg(F.min(order).alias("first"))
+    marked = rooted.where("n > 0").join(first, "root").groupBy("doc_id", "h").agg(F.max(order != F.col("first")).alias("go"), F.count("*").alias("times"))
+    gone = materialize(marked.where("go").select("doc_id", "h"), "ngram-gone")
+    again = materialize(marked.where("NOT go AND times > 1").select("doc_id", "h"), "ngram-repeated")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64(F.col("text").cast("string"))})
+    same = [F.col("_id").eqNullSafe(F.col("k.doc_id")), F.col("_h") == F.col("k.h")]
+    out = rows.join(bounded_broadcast(gone).alias("k"), same, "left_anti")
+    if again.count():
+        twice = bounded_broadcast(again).alias("k")
+        out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["_id", "_h"]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def fetch(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     """The text of each node's owner, once for each of its tasks."""
     own = dealt.withColumnRenamed("doc_id", "_owner")
