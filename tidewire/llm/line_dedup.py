@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import documents, split_words
+from tidewire.llm.common import SPACES, documents, split_words
 from tidewire.session import materialize
 
 THRESHOLD = 0.8
@@ -162,20 +162,24 @@ def keep_lines(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
+def with_gone(docs: DataFrame) -> DataFrame:
+    """(_row: the row itself, text, gone) of every row of ``docs``."""
+    gone = per_document(docs).withColumnRenamed("doc_id", "_key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("_key"), F.col("text").cast("string").alias("text"))
+    return rows.join(bounded_broadcast(gone), "_key", "left").select("_row", "text", "gone")
+
+
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the lines that go; documents that lose their last word go too."""
-    gone = per_document(docs).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    out = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID))).join(bounded_broadcast(gone), "_doc", "left").withColumn("text", keep_lines(F.col("text"), F.col("_gone")))
+    out = with_gone(docs).withColumn("text", keep_lines(F.col("text"), F.col("gone")))
     if drop_emptied:
-        out = out.where(F.col("_gone").isNull() | (F.size(split_words(F.col("text"))) > 0))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.where(F.col("gone").isNull() | (F.length(F.translate("text", SPACES, "")) > 0))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: for each document its lines, the numbers of those that go, and the text left."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    gone = per_document(docs)
-    out = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_doc", F.coalesce("doc_id", F.lit(MIN_ID))).join(bounded_broadcast(gone.withColumnRenamed("doc_id", "_doc")), "_doc", "left")
+    out = with_gone(documents(spark, sf_dir).select("doc_id", "text")).withColumn("doc_id", F.col("_row.doc_id").cast("long"))
     left = keep_lines(F.col("text"), F.col("gone"))
     return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"), F.sha2(F.coalesce(left, F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -243,13 +243,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = rooted.where("n > 0").join(first, "root").groupBy("doc_id", "h").agg(F.max(order != F.col("first")).alias("go"), F.count("*").alias("times"))
     gone = materialize(marked.where("go").select("doc_id", "h"), "ngram-gone")
     again = materialize(marked.where("NOT go AND times > 1").select("doc_id", "h"), "ngram-repeated")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64(F.col("text").cast("string"))})
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     same = [F.col("_id").eqNullSafe(F.col("k.doc_id")), F.col("_h") == F.col("k.h")]
     out = rows.join(bounded_broadcast(gone).alias("k"), same, "left_anti")
     if again.count():
         twice = bounded_broadcast(again).alias("k")
         out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["_id", "_h"]))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select("_row.*")
 
 
 def fetch(docs: DataFrame, dealt: DataFrame) -> DataFrame:
