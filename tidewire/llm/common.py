@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: str.translate table that turns every separator into a space.
 TO_SPACE = {ord(c): " " for c in SPACES}
+#: Stands for a null id within Python.
+NULL_ID = -(1 << 63)
 #: Bytes of one Arrow batch handed to a Python worker, so long texts can't fill it.
 BATCH_BYTES = 16 << 20
 
@@ -32,10 +34,14 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over the session's parallelism when the input has fewer splits than
-    that (an unsplittable file); row placement never changes a result here."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def sealed(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A null id as a number of its own: pandas would turn a column of longs with a null
+    into doubles, which can't hold all longs."""
+    return df.withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+
+
+def unsealed(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return df.withColumn(id_col, F.nullif(F.col(id_col), F.lit(NULL_ID)))
 
 
 def words(text: str | None) -> list[str]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import bounded_batches, documents
+from tidewire.llm.common import bounded_batches, documents, sealed, unsealed
 
 BUCKETS = 1 << 15
 FOLDS = 5
@@ -112,10 +112,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = shared.value
         for pdf in batches:
             got = [m.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"].astype(bool), "lang_pred": [x for x, _ in got], "score": [float(s) for _, s in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"].astype(bool), "lang_pred": [x for x, _ in got], "score": [float(s) for _, s in got]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return unsealed(sealed(rows).mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACES, WordHash, bounded_batches, documents, id_text, windows
+from tidewire.llm.common import SPACES, WordHash, bounded_batches, documents, id_text, sealed, unsealed, windows
 from tidewire.llm.components import connected_components
 from tidewire.llm.line_dedup import bounded_broadcast
 from tidewire.session import materialize
@@ -79,12 +79,13 @@ def sets(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 in_first = (s & QUARTER) == 0
                 first, missing = s[in_first], max(0, prefix_length(len(s)) - int(in_first.sum())) if len(s) else 0
-                rows.append((len(s), node_of(s) if len(s) else None, first.view(np.int64), s[~in_first][:missing].view(np.int64)))
+                rows.append((len(s), node_of(s), first.view(np.int64), s[~in_first][:missing].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "node", "first", "extra"])
-            out["node"] = out["node"].astype("Int64")
-            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").array, h=pdf["h"].array)
+            yield out.assign(doc_id=pdf["doc_id"].array, h=pdf["h"].array)
 
-    return id_text(docs).withColumn("h", F.xxhash64("text")).mapInPandas(build, "doc_id long, h long, n long, node long, first array<long>, extra array<long>")
+    rows = sealed(id_text(docs)).withColumn("h", F.xxhash64("text"))
+    made = rows.mapInPandas(build, "doc_id long, h long, n long, node long, first array<long>, extra array<long>")
+    return unsealed(made).withColumn("node", F.when(F.col("n") > 0, F.col("node")))
 
 
 def prefix_postings(nodes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm.common import bounded_batches, documents, id_text, sha_spans
+from tidewire.llm.common import bounded_batches, documents, id_text, sealed, sha_spans, unsealed
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the rules' patterns
@@ -263,11 +263,9 @@ def scan_pii(docs: DataFrame) -> DataFrame:
                 rows.append((*(sum(k == kind for k, *_ in base) for kind in KINDS), sha_spans(base)[1], sha_spans(every)[0],
                              [{"kind": k, "a": a, "b": b} for k, a, b in every]))
             out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy())
 
-    return id_text(docs).mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,a:int,b:int>>")
+    return unsealed(sealed(id_text(docs)).mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,a:int,b:int>>"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,13 +101,13 @@ def cutoffs(signals: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     one = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     lab = signals.where(~base_failed()).select("doc_id", "stratum", F.array(*(F.struct(F.lit(k).alias("rate"), v.alias("step")) for k, v in rates().items())).alias("r")).join(one, "doc_id")
-    hist = lab.select("doc_id", "stratum", "quality", F.inline("r")).groupBy("stratum", "rate", "step").agg(
-        F.sum(F.expr("CAST(quality = 1 AND doc_id % 2 = 0 AS BIGINT)")).alias("good"), F.sum(F.expr("CAST(quality = 0 AND doc_id % 2 <> 0 AS BIGINT)")).alias("bad"))
+    hist = materialize(lab.select("doc_id", "stratum", "quality", F.inline("r")).groupBy("stratum", "rate", "step").agg(
+        F.sum(F.expr("CAST(quality = 1 AND doc_id % 2 = 0 AS BIGINT)")).alias("good"), F.sum(F.expr("CAST(quality = 0 AND doc_id % 2 <> 0 AS BIGINT)")).alias("bad")), "quality-histogram")
     pair = Window.partitionBy("stratum", "rate")
     down = pair.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     tested = hist.select("stratum", "rate", "step", F.sum("good").over(pair).alias("n"), F.sum("good").over(down).alias("k"), F.sum("bad").over(down).alias("caught")).where("step > 0")
-    tests = hist.select("stratum", "rate").distinct().agg(F.count("*").alias("tests"))
-    sure = tested.join(F.broadcast(tests)).where(binomial_tail(F.col("k"), F.col("n"), ALPHA / len(RATES)) <= DELTA / F.col("tests"))
+    tests = max(1, hist.select("stratum", "rate").distinct().count())
+    sure = tested.where(binomial_tail(F.col("k"), F.col("n"), ALPHA / len(RATES)) <= DELTA / tests)
     best = sure.withColumn("most", F.max("caught").over(pair)).where((F.col("caught") > 0) & (F.col("caught") >= YIELD * F.col("most")))
     chosen = best.groupBy("stratum", "rate").agg(F.max("step").alias("cut"))
     return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rate") == k, F.col("cut"))).alias(f"_cut_{k}") for k in RATES))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import bounded_batches, documents, id_text
+from tidewire.llm.common import bounded_batches, documents, id_text, sealed, unsealed
 from tidewire.session import materialize
 
 GIANT = 1 << 15
@@ -283,7 +283,7 @@ def encode_short(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [c.encode(t).astype(np.int64) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [c.encode(t).astype(np.int64) for t in pdf["text"]]})
 
     return rows.mapInPandas(run, ROW)
 
@@ -296,12 +296,12 @@ def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            for d, h, n, t in zip(pdf["doc_id"].astype("Int64"), pdf["h"], pdf["copy"], pdf["text"], strict=True):
+            for d, h, n, t in zip(pdf["doc_id"], pdf["h"], pdf["copy"], pdf["text"], strict=True):
                 parts = chunks_of(c, t, size)
                 while got := list(islice(parts, BLOCK)):
                     out = pd.DataFrame(got, columns=["chunk", "x", "s", "e", "final"])
                     out["m"] = [[dict(zip(("i", "j", "k", "q", "w"), z, strict=True)) for z in c.pieces.transfer(x, s, e, f)] for _, x, s, e, f in got]
-                    yield out.assign(doc_id=pd.array([d] * len(got), "Int64"), h=h, copy=n, block=out["chunk"] // BLOCK)
+                    yield out.assign(doc_id=d, h=h, copy=n, block=out["chunk"] // BLOCK)
 
     matrix = "array<struct<i:int,j:int,k:int,q:int,w:double>>"
     ids = "doc_id long, h long, copy int, block int, chunk int"
@@ -333,8 +333,7 @@ def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
 
     blocks = cuts.groupBy(*key, "block").applyInPandas(multiply, f"doc_id long, h long, copy int, block int, m {matrix}")
     between = blocks.groupBy(*key).applyInPandas(block_edges, f"doc_id long, h long, copy int, block int, a {STATE}, z {STATE}")
-    same = lambda l, r, *more: [F.col(f"{l}.doc_id").eqNullSafe(F.col(f"{r}.doc_id")), *(F.col(f"{l}.{k}") == F.col(f"{r}.{k}") for k in ("h", "copy", *more))]
-    inner = cuts.alias("c").join(between.alias("b"), same("c", "b", "block")).select("c.doc_id", "c.h", "c.copy", "c.block", "c.chunk", "c.m", "b.a", "b.z")
+    inner = cuts.join(between, [*key, "block"]).select(*key, "block", "chunk", "m", "a", "z")
     states = inner.groupBy(*key, "block").applyInPandas(chunk_edges, f"doc_id long, h long, copy int, chunk int, a {STATE}, z {STATE}")
     states = materialize(states, "piece-states")
 
@@ -342,9 +341,9 @@ def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
         c = codec(path)
         for pdf in batches:
             own = [c.pieces.backtrace(x, s, e, (a["o"], a["t"]), (z["o"], z["t"])).astype(np.int64) for x, s, e, a, z in zip(pdf["x"], pdf["s"], pdf["e"], pdf["a"], pdf["z"], strict=True)]
-            yield pdf[["doc_id", "h", "copy", "chunk"]].assign(doc_id=pdf["doc_id"].astype("Int64"), ids=own)
+            yield pdf[["doc_id", "h", "copy", "chunk"]].assign(doc_id=pdf["doc_id"], ids=own)
 
-    traced = cuts.alias("c").join(states.alias("t"), same("c", "t", "chunk")).select("c.doc_id", "c.h", "c.copy", "c.chunk", "c.x", "c.s", "c.e", "t.a", "t.z")
+    traced = cuts.join(states, [*key, "chunk"]).select(*key, "chunk", "x", "s", "e", "a", "z")
     traced = traced.mapInPandas(trace, "doc_id long, h long, copy int, chunk int, ids array<long>")
     parts = traced.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     return parts.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
@@ -353,9 +352,9 @@ def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
 def encode(docs: DataFrame, path: str, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
     """(doc_id, ids) of every row."""
     bounded_batches(docs.sparkSession)
-    rows = id_text(docs)
+    rows = sealed(id_text(docs))
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
-    return encode_short(rows.where(~long), path).unionByName(encode_giant(rows.where(long), path, size))
+    return unsealed(encode_short(rows.where(~long), path).unionByName(encode_giant(rows.where(long), path, size)))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -363,9 +362,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [c.decode(i.tolist()) for i in pdf["ids"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [c.decode(i.tolist()) for i in pdf["ids"]]})
 
-    return encoded.mapInPandas(run, "doc_id long, text string")
+    return unsealed(sealed(encoded).mapInPandas(run, "doc_id long, text string"))
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -373,10 +372,10 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in pdf["ids"]], "ids_crc32": [zlib.crc32(np.asarray(i).astype("<u4").tobytes()) for i in pdf["ids"]],
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(i) for i in pdf["ids"]], "ids_crc32": [zlib.crc32(np.asarray(i).astype("<u4").tobytes()) for i in pdf["ids"]],
                                 "text_crc32": [zlib.crc32(c.decode(i.tolist()).encode()) for i in pdf["ids"]], "ids": list(pdf["ids"])})
 
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, ids array<long>")
+    return unsealed(sealed(encoded).mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, ids array<long>"))
 
 
 def model_path() -> str:

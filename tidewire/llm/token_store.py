@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import bounded_batches, documents, id_text
+from tidewire.llm.common import bounded_batches, documents, id_text, sealed, unsealed
 from tidewire.session import ensure_checkpoint_dir
 
 END_ID = 2
@@ -44,7 +44,6 @@ PLAIN = re.compile(r"[\t\r -&(-~]+")
 PRE_TOKEN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
 #: Letters whose lower case depends on their place or is longer.
 SPECIAL_CASE = re.compile("[\u03a3\u0130]")
-NULL_ID = -(1 << 63)
 
 
 # ---- the code ------------------------------------------------------------------
@@ -225,9 +224,9 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = EN
         part, seg, tok = TaskContext.get().partitionId(), 0, tokenizer(tokenizer_path)
         keys, ids, size = [], [], 0
         for pdf in batches:
-            for d, null, t in zip(pdf["doc_id"], pdf["no_id"], pdf["text"], strict=True):
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 got = np.append(tok(t), np.uint32(end_id))
-                keys.append(NULL_ID if null else int(d))
+                keys.append(int(d))
                 ids.append(got)
                 size += len(got)
                 if size >= SEGMENT_TOKENS:
@@ -236,8 +235,7 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = EN
         if ids:
             yield pd.DataFrame({"part": [part], "seg": [seg], "tokens": [size], "payload": [segment(keys, ids)]})
 
-    rows = id_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = sealed(id_text(docs)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInPandas(encode, "part int, seg int, tokens long, payload binary").write.parquet(out)
 
 
@@ -256,12 +254,11 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
                 keys, lens, packed = read_segment(data)
                 ids, cuts = packed.all().astype("<u4"), np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
                 parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                out = pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "start": int(start) + cuts[:-1], "n_tokens": lens.astype(np.int64), "ids_crc32": [zlib.crc32(x.tobytes()) for x in parts]})
-                out.loc[keys == NULL_ID, "doc_id"] = pd.NA
+                out = pd.DataFrame({"doc_id": keys, "start": int(start) + cuts[:-1], "n_tokens": lens.astype(np.int64), "ids_crc32": [zlib.crc32(x.tobytes()) for x in parts]})
                 yield out.assign(ids=[x.astype(np.int64) for x in parts]) if with_ids else out
 
     rows = segs.join(starts, ["part", "seg"]).select("seg_start", "payload")
-    return rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return unsealed(rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids))
 
 
 def token_at(payload: bytes, i: int) -> int:
