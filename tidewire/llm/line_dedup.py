@@ -8,11 +8,11 @@ always stay and match nothing.
 1. Tokens are ordered by rarity: the frequency class of the token's hash bucket over the
    whole corpus (``BUCKETS`` counts, whatever its size), then the token's hash.  Any one order keeps
    the join exact; a rarer prefix only makes it cheaper.
-2. Equal sets collapse to their first line.
+2. Of equal sets all but the first line go.
 3. Prefix filter: similar sets of sizes n share a token among their first
    n - ceil(t n) + 1.  In each token's group, in the order of the lines, every later line meets the
    first ``LEADERS`` lines; pairs that pass the length, positional and bitmap filters are
-   verified on whole sets.  (Bitmap: each token flips one of 128 bits; two sets differ in no fewer
+   verified on whole sets.  (Bitmap: each token flips one of 64 bits; two sets differ in no fewer
    tokens than their bitmaps do in bits.)
 4. Lines that no leader removed, and that stand behind more than LEADERS lines of a
    group, meet the rest of that group in the same way.  So a large group of near copies costs a
@@ -49,40 +49,38 @@ def explode_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
 def rarity(docs: DataFrame) -> Column:
-    """Foldable array: frequency class (binary logarithm) of each bucket's tokens."""
-    n = docs.select(F.explode(split_words(F.lower("text"))).alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
+    """Foldable array: frequency class (binary logarithm) of each bucket's tokens.
+    A token's bucket is its hash's low bits."""
+    h = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
+    n = docs.select(F.explode(split_words(F.lower("text"))).alias("w")).groupBy(h).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
     classes = [0] * BUCKETS
     for b, c in n.toPandas().itertuples(index=False):  # at most BUCKETS rows
         classes[b] = c
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
 
 def token_set(line: Column, classes: Column) -> Column:
-    """Distinct tokens as longs, rarest first: class in the top 7 bits, then 56 bits of hash."""
-    def key(w: Column) -> Column:
-        return F.shiftleft(F.get(classes, bucket(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w, F.lit(1)), 8))
+    """Distinct tokens as longs, rarest first: class in the top 7 bits, then 57 bits of hash."""
+    hashes = F.transform(split_words(F.lower(line)), lambda w: F.xxhash64(w))
 
-    return F.sort_array(F.array_distinct(F.transform(split_words(F.lower(line)), key)))
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
+    return F.sort_array(F.transform(F.array_distinct(hashes), key))
 
-def parity(keys: Column, half: int) -> Column:
-    """64 of the 128 bits: each token flips one bit of one half."""
-    def flip(acc: Column, k: Column) -> Column:
-        mine = k.bitwiseAND(F.lit(64)) == F.lit(64 * half)
-        return F.when(mine, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc)
 
-    return F.aggregate(keys, F.lit(0).cast("long"), flip)
+def parity(keys: Column) -> Column:
+    """Bitmap of 64 bits: each token flips one."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def keyed_lines(docs: DataFrame, classes: Column) -> DataFrame:
-    """(doc_id, line_no, keys, n, h1, h2) of every line with a word."""
-    lines = explode_lines(docs).withColumn("keys", token_set(F.col("line"), classes)).drop("line").where(F.size("keys") > 0)
-    return lines.select("doc_id", "line_no", "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"))
+    """(doc_id, line_no, n, h1, h2, bits, prefix) of every line with a word."""
+    lines = explode_lines(docs).withColumn("keys", token_set(F.col("line"), classes)).drop("line").where(F.size("keys") > 0).withColumn("n", F.size("keys"))
+    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int") + 1)
+    return lines.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), parity(F.col("keys")).alias("bits"), prefix.alias("prefix"))
 
 
 def needed_overlap(n: Column, m: Column) -> Column:
@@ -90,13 +88,12 @@ def needed_overlap(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(THRESHOLD) * (n + m) / (1 + THRESHOLD) - 1e-9)
 
 
-def may_match() -> Column:
-    """Length, positional and bitmap filters of postings x and y that share a token."""
-    c = F.col
-    need = needed_overlap(c("x.n"), c("y.n"))
-    differ = F.bit_count(c("x.lo").bitwiseXOR(c("y.lo"))) + F.bit_count(c("x.hi").bitwiseXOR(c("y.hi")))
-    return ((F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n") - 1e-9) & (1 + F.least(c("x.n") - c("x.i") - 1, c("y.n") - c("y.i") - 1) >= need)
-            & (differ <= c("x.n") + c("y.n") - 2 * need) & ((c("x.h1") != c("y.h1")) | (c("x.h2") != c("y.h2"))))
+def may_match(x: Column, y: Column) -> Column:
+    """Length, positional and bitmap filters of postings x and y that share a token, x at
+    an earlier place."""
+    need = needed_overlap(x["n"], y["n"])
+    return ((x["at"] < y["at"]) & (F.least(x["n"], y["n"]) >= THRESHOLD * F.greatest(x["n"], y["n"]) - 1e-9)
+            & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= need) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
@@ -118,43 +115,43 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     return both.where(F.exists("x_sets", lambda a: F.exists("y_sets", lambda b: similar(a, b)))).select("x", "y")
 
 
-def first_matches(docs: DataFrame, classes: Column) -> DataFrame:
-    """(h1, h2, doc_id, line_no): for each distinct set the place of the first line that
-    equals it or is similar to it."""
-    lines = keyed_lines(docs, classes)
-    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int") + 1)
-    row = F.struct("doc_id", "line_no", "n", parity(F.col("keys"), 0).alias("lo"), parity(F.col("keys"), 1).alias("hi"), prefix.alias("prefix"))
-    firsts = lines.select("h1", "h2", row.alias("r")).groupBy("h1", "h2").agg(F.min("r").alias("r")).select("h1", "h2", "r.*")
-    sets = materialize(firsts, "line-firsts")
-    ranked = (sets.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "h1", "h2", "lo", "hi").repartition("token")
-              .withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("doc_id", "line_no", "h1", "h2"))))
-    place = lambda s: F.struct(F.col(f"{s}.doc_id"), F.col(f"{s}.line_no")).alias(s)
-    later = (F.col("x.rank") < F.col("y.rank")) & (place("x") < place("y"))
-    met = ranked.where(F.col("rank") <= LEADERS).alias("x").join(ranked.where("rank > 1").alias("y"), (F.col("x.token") == F.col("y.token")) & later & may_match())
-    one = materialize(verified(met.select(place("x"), place("y")).distinct(), docs, classes), "line-matches")
-    gone = one.select("y.*").distinct()
+def similar_firsts(firsts: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
+    """(y, x): places of lines and of the first of the earlier lines that are similar to them.
+    ``firsts``: keyed lines, one for each distinct set."""
+    at = F.struct("doc_id", "line_no")
+    posts = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits").repartition("token").select("token", F.struct(at.alias("at"), "n", "i", "bits").alias("p"))
+    group = Window.partitionBy("token").orderBy("p.at").rowsBetween(Window.unboundedPreceding, 0)
+    leaders = F.array(*(F.nth_value("p", k + 1).over(group) for k in range(LEADERS)))
+    ranked = posts.select("token", "p", F.row_number().over(Window.partitionBy("token").orderBy("p.at")).alias("rank"), leaders.alias("leaders"))
+    met = F.transform(F.filter("leaders", lambda x: F.coalesce(may_match(x, F.col("p")), F.lit(False))), lambda x: x["at"])
+    met = materialize(ranked.select("token", "p", "rank", met.alias("met")).where((F.size("met") > 0) | (F.col("rank") > LEADERS)), "line-postings")
+    one = materialize(verified(met.select(F.explode("met").alias("x"), F.col("p.at").alias("y")).distinct(), docs, classes), "line-matches")
     # the rest: behind the leaders of a token's group, against the others there
-    rest = materialize(ranked.where(F.col("rank") > LEADERS), "line-postings")
-    left = rest.where(F.col("rank") > LEADERS + 1).join(gone, ["doc_id", "line_no"], "left_anti")
-    met = rest.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & later & may_match())
-    two = verified(met.select(place("x"), place("y")).distinct(), docs, classes)
-    best = one.union(two).groupBy("y").agg(F.min("x").alias("x")).select("y.doc_id", "y.line_no", F.col("x").alias("x"))
-    own = F.struct("doc_id", "line_no")
-    return sets.join(best, ["doc_id", "line_no"], "left").select("h1", "h2", F.coalesce("x", own).alias("p")).select("h1", "h2", "p.*")
+    rest = met.where(F.col("rank") > LEADERS).select("token", "p", "rank")
+    gone = one.select("y").distinct()
+    left = rest.where(F.col("rank") > LEADERS + 1).join(bounded_broadcast(gone), F.col("p.at") == F.col("y"), "left_anti")
+    pairs = rest.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
+    two = verified(pairs.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs, classes)
+    return one.unionByName(two).groupBy("y").agg(F.min("x").alias("x"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines that go; ``docs``: (doc_id not null, text)."""
     classes = rarity(docs)
-    first = first_matches(docs, classes).select("h1", "h2", F.struct("doc_id", "line_no").alias("first"))
-    every = keyed_lines(docs, classes).select("doc_id", "line_no", "h1", "h2")
-    return every.join(first, ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
+    lines = materialize(keyed_lines(docs, classes), "keyed-lines")
+    at = F.struct("doc_id", "line_no")
+    first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"))
+    again = materialize(lines.select("doc_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "line_no"), "equal-lines")
+    firsts = lines.join(bounded_broadcast(again.distinct()), ["doc_id", "line_no"], "left_anti")
+    best = similar_firsts(firsts, docs, classes).select("y.doc_id", "y.line_no")
+    # lines equal to an earlier line, and first lines of their set that are similar to an earlier line
+    return again.union(best).distinct()
 
 
 def per_document(docs: DataFrame) -> DataFrame:
     """(doc_id, gone: line numbers, ascending) of the documents that lose a line."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(removed_lines(rows).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "removed-lines")
+    return materialize(removed_lines(rows).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "removed-lines")
 
 
 def keep_lines(text: Column, gone: Column) -> Column:
