@@ -224,7 +224,7 @@ def deobfuscate(text: str) -> tuple[Rewrite, list[tuple[int, int, bool]]] | None
         edits.append((m.start(), m.end(), "@" if m["at"] else "."))
         marks.append((*r.source(m.start(), m.end()), m.group().strip()[0] not in "[({<", bool(m["at"])))
     r.apply(edits)
-    return (r, marks) if len(r.pieces) > 1 else None
+    return (r, marks) if r.text != text else None
 
 
 def all_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
