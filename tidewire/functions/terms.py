@@ -33,11 +33,11 @@ def escape(term: str) -> str:
     return "".join("\\" + ch if ch in _META else ch for ch in term)
 
 
-_CLASS_ESCAPE = re.compile(r"\\[wWdDsS]")
+_CLASS_ESCAPE = re.compile(r"\\[wWdDsSbB]")
 
 
 def unicode_classes(pattern: str) -> str:
-    """Python's ``\\w``/``\\d``/``\\s`` are Unicode-aware; Java's are ASCII
+    """Python's ``\\w``/``\\d``/``\\s``/``\\b`` are Unicode-aware; Java's are ASCII (``\\b`` from Java 19)
     unless ``(?U)`` is set, so patterns using them get the flag."""
     return "(?U)" + pattern if _CLASS_ESCAPE.search(pattern) else pattern
 
@@ -69,7 +69,7 @@ class Term:
         if self.raw is not None:
             return unicode_classes(self.raw)
         body = escape(self.text)
-        return rf"\b{body}\b" if self.bounded else body
+        return rf"(?U)\b{body}\b" if self.bounded else body
 
 
 def term_from_pattern(pattern: str) -> Term:
@@ -173,7 +173,7 @@ def layer_regexes(layers: Iterable[Sequence[Term]]) -> list[str]:
             continue
         bounded = layer[0].bounded
         body = trie_alternation(t.text for t in layer)
-        out.append(rf"\b(?:{body})\b" if bounded else f"(?:{body})")
+        out.append(rf"(?U)\b(?:{body})\b" if bounded else f"(?:{body})")
     return out
 
 
@@ -204,13 +204,6 @@ def count_terms(col: Column | str, terms: Sequence[Term]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def any_term(col: Column | str, terms: Sequence[Term]) -> Column:
-    """True if any entry matches (one alternation is exact for existence)."""
-    c = F.col(col) if isinstance(col, str) else col
-    body = "|".join(t.regex for t in terms)
-    return c.rlike(f"(?:{body})")
-
-
 def classify(col: Column | str, categories: dict[str, Sequence[str]],
              unknown: str = "UNKNOWN", lower: bool = True) -> Column:
     """Multi-label classification, dictionary order, first hit per category.

@@ -47,27 +47,55 @@ def tone(c: Column | str) -> Column:
 # ------------------------------------------------------------ time
 def record_time(record_id: Column | str) -> Column:
     """Record id ``YYYYMMDDHHMMSS-n`` -> event timestamp (NTZ)."""
-    return F.try_to_timestamp(F.substring(_c(record_id), 1, 14),
-                              F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-
-
-#: formats tried in order by :func:`parse_mixed_date` (month-first for slashes)
-MIXED_DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "yyyyMMddHHmmss",
+    return stamp_time(F.substring(_c(record_id), 1, 14))
+
+
+def stamp_time(digits: Column) -> Column:
+    """``YYYYMMDDHHMMSS`` -> timestamp without a zone, so no session zone moves it."""
+    iso = F.regexp_replace(digits, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
+    return F.when(digits.rlike(r"^\d{14}$"), iso.try_cast("timestamp_ntz"))
+
+
+#: Rewrites of date texts to ISO order, tried in this order: (pattern of the date, replacement).
+#: Slashes with the year last are month first.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_DATE_FORMS = (
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?=$|[T\s])", "$1-$2-$3"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|\s)", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
 )
+_DAY_MONTH = r"(?i)^(\d{1,2})\s+([a-z]{3})[a-z]*\.?,?\s+(\d{4})(?=$|\s)"
+_MONTH_DAY = r"(?i)^([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})(?=$|\s)"
+_TIME = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[T\s]+(\d{1,2}:\d{2})(:\d{2}(?:\.\d{1,6})?)?\s*(?:Z|UTC|[+]00:?00)?)?$"
+
 
+def parse_mixed_date(c: Column | str) -> Column:
+    """Mixed-format date text -> timestamp (NTZ); unparseable -> null.
 
-def parse_mixed_date(c: Column | str, formats: Iterable[str] = MIXED_DATE_FORMATS) -> Column:
-    """Mixed-format date text -> timestamp (NTZ); unparseable -> null."""
-    c = F.trim(_c(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    ISO (``-``, ``/`` or ``.``; blank or ``T``; seconds and fractions optional; ``Z``),
+    US slashes, digits only, and day or month names first.  Everything is rewritten
+    to ISO text and cast without a zone, so the session's zone moves nothing.
+    """
+    c = strip(_c(c).cast("string"))
+    for pattern, order in ((_DAY_MONTH, (3, 2, 1)), (_MONTH_DAY, (3, 1, 2))):
+        year, name, date = (F.regexp_extract(c, pattern, g) for g in order)
+        at = F.instr(F.lit(_MONTHS), F.lower(name))
+        month = F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string")).otherwise(F.lit("0"))
+        c = F.when(c.rlike(pattern), F.concat(year, F.lit("-"), month, F.lit("-"), date, F.regexp_replace(c, pattern, ""))).otherwise(c)
+    iso = c
+    for pattern, order in reversed(_DATE_FORMS):
+        iso = F.when(c.rlike(pattern), F.regexp_replace(c, pattern, order)).otherwise(iso)
+    clock = F.regexp_extract(iso, _TIME, 2)
+    seconds = F.regexp_extract(iso, _TIME, 3)
+    full = F.concat(F.regexp_extract(iso, _TIME, 1), F.lit(" "), F.when(clock == "", F.lit("00:00")).otherwise(clock),
+                    F.when(seconds == "", F.lit(":00")).otherwise(seconds))
+    return F.when(iso.rlike(_TIME), full.try_cast("timestamp_ntz"))
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at both ends (``F.trim`` cuts spaces only)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def day(c: Column | str) -> Column:
@@ -103,8 +131,10 @@ def fix_mojibake(c: Column | str) -> Column:
     """
     c = _c(c)
     latin = F.regexp_replace(c, r"[^\x00-\xFF]", "")
-    raw = F.encode(latin, "ISO-8859-1").cast("string")
-    fixed = F.regexp_replace(F.make_valid_utf8(raw), "�", "")
+    # U+FFFD marks invalid bytes below, so the bytes of a real one are kept out of the way
+    parts = F.transform(F.split(latin, "\u00ef\u00bf\u00bd", -1), lambda p: F.regexp_replace(
+        F.make_valid_utf8(F.encode(p, "ISO-8859-1").cast("string")), "\ufffd", ""))
+    fixed = F.array_join(parts, "\ufffd")
     return F.when(c.isNull(), F.lit("")).otherwise(fixed)
 
 
@@ -146,30 +176,25 @@ def article_id(url: Column | str) -> Column:
 
 
 # --------------------------------------------------------- html title (X11)
+#: Comments, scripts and styles: nothing in them is a tag.
+_NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+
+
 def _meta_content(html: Column, attr: str, value: str) -> Column:
     """content of ``<meta {attr}="{value}" content="...">`` in either order."""
-    v = value.replace(":", r"\:")
-    before = (rf"(?is)<meta\b[^>]*?\b{attr}\s*=\s*[\"']{v}[\"'][^>]*?\bcontent\s*=\s*"
-              r"(?:\"([^\"]*)\"|'([^']*)')")
-    after = (r"(?is)<meta\b[^>]*?\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*?\b"
-             rf"{attr}\s*=\s*[\"']{v}[\"']")
-    return F.coalesce(
-        F.nullif(F.regexp_extract(html, before, 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, before, 2), F.lit("")),
-        F.nullif(F.regexp_extract(html, after, 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, after, 2), F.lit("")),
-    )
+    tag = F.regexp_extract(html, rf"""(?is)<meta\b(?={_ATTRS}\b{attr}\s*=\s*["']{value}["']){_ATTRS}\bcontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.nullif(F.substring(tag, 2, F.greatest(F.length(tag) - 2, F.lit(0))), F.lit(""))
 
 
 def html_title_candidates(html: Column | str) -> Column:
     """Struct of raw (entity-encoded) og, twitter and ``<title>`` texts."""
-    h = _c(html)
-    title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    has_title = h.rlike(r"(?is)<title[^>]*>.*?</title>")
+    h = F.regexp_replace(_c(html), _NOT_MARKUP, "")
+    title = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
     return F.struct(
         _meta_content(h, "property", "og:title").alias("og"),
         _meta_content(h, "name", "twitter:title").alias("tw"),
-        F.when(has_title, title).alias("title"),
+        F.when(h.rlike(title), F.regexp_extract(h, title, 1)).alias("title"),
     )
 
 
@@ -212,19 +237,13 @@ def range_from_name(name: Column | str, kind: str = "parquet") -> Column:
     if kind == "parquet":
         m = r"(?i)^(\d{4}-\d{2}-\d{2})_to_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})\.parquet$"
         ok = n.rlike(m)
-        start = F.try_to_timestamp(F.regexp_extract(n, m, 1), F.lit("yyyy-MM-dd"))
-        end = F.try_to_timestamp(F.regexp_extract(n, m, 2), F.lit("yyyy-MM-dd_HH-mm-ss"))
+        start = F.regexp_extract(n, m, 1)
+        end = F.regexp_replace(F.regexp_extract(n, m, 2), r"_(\d{2})-(\d{2})-(\d{2})$", " $1:$2:$3")
     else:
         m = r"(\d{4}-\d{2}-\d{2})_to_(\d{4}-\d{2}-\d{2})"
         ok = n.rlike(m)
-        start = F.try_to_timestamp(F.regexp_extract(n, m, 1), F.lit("yyyy-MM-dd"))
-        end = F.try_to_timestamp(F.concat(F.regexp_extract(n, m, 2), F.lit(" 23:59:59")),
-                                 F.lit("yyyy-MM-dd HH:mm:ss"))
-    start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+        start = F.regexp_extract(n, m, 1)
+        end = F.concat(F.regexp_extract(n, m, 2), F.lit(" 23:59:59"))
+    start, end = start.try_cast("timestamp_ntz"), end.try_cast("timestamp_ntz")
     both = ok & start.isNotNull() & end.isNotNull()
     return F.struct(F.when(both, start).alias("start"), F.when(both, end).alias("end"))
-
-
-# ------------------------------------------------------------- re-exports
-count_terms = _terms.count_terms
-classify = _terms.classify

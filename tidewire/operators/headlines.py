@@ -18,9 +18,11 @@ from ..functions import text as X
 
 
 def valid_cached(cache: DataFrame, url: str = "url", headline: str = "headline") -> DataFrame:
-    """Cache rows that count as a hit (the miss marker and ``''`` do not)."""
-    return cache.where(F.col(headline).isNotNull() & (F.col(headline) != "")
-                       & (F.col(headline) != S.MISSED_HEADLINE)).select(url, headline)
+    """Cache rows that count as a hit (the miss marker and ``''`` do not), one per url:
+    the newest where the cache has ``seen_at``, else the greatest headline."""
+    hits = cache.where(F.col(headline).isNotNull() & (F.col(headline) != "") & (F.col(headline) != S.MISSED_HEADLINE))
+    order = [F.col("seen_at")] if "seen_at" in cache.columns else []
+    return hits.groupBy(url).agg(F.max(F.struct(*order, F.col(headline).alias("_h")))["_h"].alias(headline))
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, url: str = "url",
@@ -47,17 +49,22 @@ def resolve_headlines(urls: DataFrame, pages: DataFrame, cache: DataFrame | None
     marker for a page without a title; null when nothing is written).
     """
     u = urls.select(url).where(F.col(url).isNotNull()).distinct()
-    # Extract on the page side first (narrow): only the short headline and a
-    # fetch-failed bit cross the join's shuffle, never the html payload.
-    p = pages.select(F.col("url").alias(url), X.headline_from_html(F.col("html")).alias("_from_html"),
-                     F.col("html").isNull().alias("_failed"))
-    j = u.join(p, url, "left")
     if cache is not None:
-        j = j.join(valid_cached(cache, "url", "headline").withColumnRenamed("url", url)
-                   .withColumnRenamed("headline", "_cached"), url, "left")
+        hits = valid_cached(cache, "url", "headline").select(F.col("url").alias(url), F.col("headline").alias("_cached"))
+        u = u.join(hits, url, "left")
     else:
-        j = j.withColumn("_cached", F.lit(None).cast("string"))
+        u = u.withColumn("_cached", F.lit(None).cast("string"))
     is_http = F.col(url).startswith("http")
+    # Only pages that the cache doesn't answer are extracted, and only the short
+    # headline goes on, one per url: a fetched page before a failed one, the
+    # newest where pages say when (``fetched_at``), then the greatest headline.
+    wanted = u.where(F.col("_cached").isNull() & is_http).select(url)
+    p = pages.withColumnRenamed("url", url).join(wanted, url, "left_semi")
+    order = [F.col("fetched_at")] if "fetched_at" in pages.columns else []
+    found = F.struct(F.col("html").isNotNull().alias("ok"), *order, X.headline_from_html(F.col("html")).alias("h"))
+    p = (p.select(url, found.alias("_p")).groupBy(url).agg(F.max("_p").alias("_p"))
+         .select(url, F.col("_p.h").alias("_from_html"), (~F.col("_p.ok")).alias("_failed")))
+    j = u.join(p, url, "left")
     # no page row at all counts as a failed fetch, like a null html
     failed = F.coalesce(F.col("_failed"), F.lit(True))
     slug = X.headline_from_url(F.col(url), acronyms)

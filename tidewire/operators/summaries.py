@@ -20,14 +20,14 @@ from . import duplicates as D
 
 def is_true_text(c) -> "F.Column":
     """``upper(trim(str(flag))) == 'TRUE'`` for text or boolean flags."""
-    return F.upper(F.trim(c.cast("string"))) == "TRUE"
+    return F.upper(X.strip(c.cast("string"))) == "TRUE"
 
 
 def not_unknown(c, trim: bool = True, upper: bool = True):
     """Null-safe ``!= 'UNKNOWN'`` (pandas keeps NaN rows on ``!=``)."""
     e = c.cast("string")
     if trim:
-        e = F.trim(e)
+        e = X.strip(e)
     if upper:
         e = F.upper(e)
     return ~e.eqNullSafe(F.lit("UNKNOWN"))
@@ -38,7 +38,7 @@ def known_duplicates(df: DataFrame, flag: str = S.DUP, types: str = S.TYPES,
     """Duplicated headlines with a known crime type, non-blank
     headline and a date."""
     return df.where(is_true_text(F.col(flag)) & not_unknown(F.col(types))
-                    & (F.trim(F.coalesce(F.col(headline), F.lit(""))) != "")
+                    & (X.strip(F.coalesce(F.col(headline), F.lit(""))) != "")
                     & F.col(date).isNotNull())
 
 
@@ -48,7 +48,7 @@ def prepare_headline_rows(df: DataFrame, headline: str = S.HEADLINE,
     mojibake repair (null -> ''), blank headlines dropped, mixed-format date
     text parsed, unparseable dates dropped."""
     out = df.withColumn(headline, X.fix_mojibake(F.col(headline)))
-    out = out.where(F.trim(F.col(headline)) != "")
+    out = out.where(X.strip(F.col(headline)) != "")
     if dict(out.dtypes)[date] == "string":
         out = out.withColumn(date, X.parse_mixed_date(F.col(date)))
     return out.where(F.col(date).isNotNull())

@@ -185,7 +185,8 @@ def q_dup_flag(spark, d):
 @register("dup_flag_corrected", "WITH " + SQL_ENRICHED + """
 SELECT GKGRECORDID, headline, headline_is_duplicate FROM a2""")
 def q_dup_flag_corrected(spark, d):
-    a = D.correct_false_duplicates(D.flag_duplicates(B.articles(spark, d)))
+    art = B.articles(spark, d)
+    a = D.correct_false_duplicates(D.flag_duplicates(art), groups=D.multi_headline_groups(art))
     return a.select(S.RID, S.HEADLINE, S.DUP)
 
 
@@ -581,17 +582,67 @@ def q_headline_from_url(spark, d):
     return slug_urls(spark, d).select("url", X.headline_from_url(F.col("url"), ACR).alias("headline"))
 
 
-@register("headline_from_html", None)
+#: entities that the test titles hold, in decoding order
+SQL_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+    SQL_TITLE = f"replace({SQL_TITLE}, '{_entity}', '{_char}')"
+SQL_TITLE = f"nfc_normalize(trim({SQL_TITLE}))"
+#: head tags put before a page by its id, and the headline they mean (None: the page's own title)
+META = {
+    1: ('<meta property="og:title" content="New > old &amp; more {}">', "New > old & more {}"),
+    2: ("<meta name='twitter:title' content='Tweet &quot;{}&quot; Caf&eacute;'>", 'Tweet "{}" Café'),
+    3: ('<meta content="First {}" name="x" property="og:title">', "First {}"),
+    4: ('<!-- <meta property="og:title" content="Old {}"> --><titlebar>no</titlebar>', None),
+    5: ('<meta property="og:title" content=""><meta name="twitter:title" content="Blank og {}">', "Blank og {}"),
+}
+SQL_META = "CASE page_id % 6 " + " ".join("WHEN {} THEN '{}'".format(k, h.replace("{}", "' || page_id || '")) for k, (_, h) in META.items() if h) + f" ELSE {SQL_TITLE} END"
+
+
+def meta_pages(spark, d):
+    """The pages with og and twitter tags, comments and look-alike tags in front."""
+    head = F.lit("")
+    for k, (tag, _) in META.items():
+        head = F.when(F.col("page_id") % 6 == k, F.replace(F.lit(tag), F.lit("{}"), F.col("page_id").cast("string"))).otherwise(head)
+    return B.table(spark, d, "pages").withColumn("html", F.concat(head, "html"))
+
+
+@register("headline_from_html", f"SELECT page_id, url, {SQL_META} AS headline FROM pages WHERE starts_with(url, 'http')")
 def q_headline_from_html(spark, d):
-    pages = B.table(spark, d, "pages")
+    pages = meta_pages(spark, d)
     return pages.where(F.col("url").startswith("http")).select(
         "page_id", "url", X.headline_from_html(F.col("html")).alias("headline"))
 
 
-@register("fix_mojibake", None)
-def q_fix_mojibake(spark, d):
+def _low6(k: int) -> str:
+    return f"(unicode(m[{k}:{k}]) & 63)"
+
+
+#: latin-1 cut, then every valid UTF-8 sequence of its code points (RE2 has no bytes)
+SQL_MOJIBAKE = r"""CASE WHEN text IS NULL THEN '' ELSE array_to_string(list_transform(regexp_extract_all(
+  regexp_replace(text, '[^\x{00}-\x{FF}]', '', 'g'),
+  '[\x{00}-\x{7F}]+|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2}'),
+  lambda m: CASE WHEN unicode(m) < 128 THEN m WHEN unicode(m) < 224 THEN chr((unicode(m) & 31) * 64 + """ + _low6(2) + """)
+    WHEN unicode(m) < 240 THEN chr((unicode(m) & 15) * 4096 + """ + _low6(2) + " * 64 + " + _low6(3) + """)
+    ELSE chr((unicode(m) & 7) * 262144 + """ + _low6(2) + " * 4096 + " + _low6(3) + " * 64 + " + _low6(4) + """) END), '') END"""
+#: appended to or put into texts: UTF-8 read as latin-1 (of a real U+FFFD, of the euro sign), and a cut sequence
+BROKEN_TAIL = " ï¿½ â\u0082¬ Ã"
+SQL_BROKEN = f"""broken AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text
+  WHEN 1 THEN replace(replace(text, 'é', 'Ã©'), 'ó', 'Ã³') || '{BROKEN_TAIL}'
+  ELSE replace(text, 'e', 'ï¿½') END AS text FROM documents)"""
+
+
+def broken_texts(spark, d):
+    """Document texts, two thirds of them damaged in different ways."""
     doc = B.table(spark, d, "documents")
-    return doc.select("doc_id", X.fix_mojibake(F.col("text")).alias("text"))
+    t = F.col("text")
+    one = F.concat(F.replace(F.replace(t, F.lit("é"), F.lit("Ã©")), F.lit("ó"), F.lit("Ã³")), F.lit(BROKEN_TAIL))
+    return doc.select("doc_id", F.when(F.col("doc_id") % 3 == 0, t).when(F.col("doc_id") % 3 == 1, one)
+                      .otherwise(F.replace(t, F.lit("e"), F.lit("ï¿½"))).alias("text"))
+
+
+@register("fix_mojibake", "WITH " + SQL_BROKEN + "\nSELECT doc_id, " + SQL_MOJIBAKE + " AS text FROM broken")
+def q_fix_mojibake(spark, d):
+    return broken_texts(spark, d).select("doc_id", X.fix_mojibake(F.col("text")).alias("text"))
 
 
 @register("normalize_text", """
@@ -777,13 +828,28 @@ def q_headline_cache_upsert(spark, d):
     return H.cache_upsert(old, new)
 
 
-@register("headline_resolve", None)
+SQL_RESOLVE = f"""WITH slug AS ({QUERIES["headline_from_url"][1]}),
+u AS (SELECT DISTINCT url, headline AS slug FROM slug WHERE url IS NOT NULL),
+c AS (SELECT url, max(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS cached FROM pages WHERE page_id % 3 = 0 GROUP BY 1),
+p AS (SELECT url, max({SQL_META}) AS h FROM pages WHERE page_id % 7 <> 0 GROUP BY 1)
+SELECT u.url,
+       CASE WHEN nullif(cached, '') IS NOT NULL THEN nfc_normalize(cached) WHEN NOT starts_with(u.url, 'http') THEN NULL
+            WHEN p.url IS NULL THEN nfc_normalize(slug) ELSE h END AS headline,
+       CASE WHEN nullif(cached, '') IS NOT NULL OR NOT starts_with(u.url, 'http') THEN NULL
+            WHEN p.url IS NULL THEN slug ELSE coalesce(h, '{S.MISSED_HEADLINE}') END AS cache_entry
+FROM u LEFT JOIN c ON c.url = u.url LEFT JOIN p ON p.url = u.url"""
+
+
+@register("headline_resolve", SQL_RESOLVE)
 def q_headline_resolve(spark, d):
-    """Article urls resolved through cache, pages and slug fallback."""
+    """Article urls resolved through the cache (a third of the pages), pages (some
+    fetched twice, some failed) and the slug."""
     old, _ = page_caches(spark, d)
-    urls = slug_urls(spark, d)
-    return H.resolve_headlines(urls, B.table(spark, d, "pages"), old.where(F.col("seen_at") < "2024-01-01 02:00:00"),
-                               ACR)
+    pages = meta_pages(spark, d)
+    fetched = pages.withColumn("html", F.when(F.col("page_id") % 7 != 0, F.col("html")))
+    twice = fetched.unionByName(pages.where("page_id % 2 = 0 AND page_id % 7 <> 0"))
+    third = old.join(pages.where("page_id % 3 = 0").select("url"), "url", "left_semi")
+    return H.resolve_headlines(slug_urls(spark, d), twice, third, ACR)
 
 
 # ------------------------------------------------------- indicators

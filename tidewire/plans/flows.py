@@ -44,7 +44,17 @@ def enrich_articles(df: DataFrame, categories: dict, stage_side_tables: bool = T
     check is Spark's own, made on measured files, not a guess.
     """
     from ..session import materialize
+    known = None
+    if S.TYPES in df.columns:  # labelled already: those labels stay
+        known = (df.where(F.col(S.TYPES).isNotNull()).groupBy(F.col(S.HEADLINE).alias("_h"))
+                 .agg(F.min(S.TYPES).alias("_known")))
+        df = df.drop(S.TYPES, "crime_keyword_count")
+    if stage_side_tables:
+        df = materialize(df, "articles")  # filtered and headlined: everything below reads this copy
     counts = label_headlines(D.headline_counts(df), categories)
+    if known is not None:
+        counts = (counts.join(known, F.col(S.HEADLINE).eqNullSafe(F.col("_h")), "left")
+                  .withColumn(S.TYPES, F.coalesce("_known", S.TYPES)).drop("_h", "_known"))
     groups = D.multi_headline_groups(df)
     if stage_side_tables:
         counts = materialize(counts, "headline_labels")
@@ -57,43 +67,34 @@ def enrich_articles(df: DataFrame, categories: dict, stage_side_tables: bool = T
     return C.priority_order(d, S.ENRICHED_FIRST)
 
 
-def filter_and_enrich(records: DataFrame, start, end, sites, themes, locations,
-                      categories: dict, headlines: DataFrame) -> DataFrame:
-    """Batch run over parsed records: F7 filter, drop columns, attach
-    resolved headlines (``url, headline``) and enrich."""
-    f = FL.filter_articles(records, start, end, sites, themes, locations)
-    f = C.drop_columns(f)
-    f = f.join(headlines, S.URL, "left")
-    return enrich_articles(f, categories)
-
-
 def cleaned_articles(enriched: DataFrame) -> DataFrame:
     """S17 on an enriched frame: explode labels into ``crime_type``."""
     return C.type_after_types(C.explode_crime_types(enriched))
 
 
-def summary_from_enriched(enriched: DataFrame, k: int = 3) -> DataFrame:
-    """Flagship: enriched -> cleaned -> daily/monthly top-k summary."""
-    return SU.headline_summary(cleaned_articles(enriched), k=k)
-
-
 # ------------------------------------------------------------ batch entry points
 def run_batch(spark, landed: str, start, end, sites, themes, locations, categories: dict,
-              pages: DataFrame, cache: DataFrame | None, acronyms, out: str | None = None) -> DataFrame:
+              pages: DataFrame, cache: DataFrame | None, acronyms, out: str | None = None,
+              cache_out: str | None = None) -> DataFrame:
     """The monthly/yearly batch run as one job (reference ``run_batch``).
 
     Landed records of the inclusive range (partition-pruned scan) -> F7
     filter -> dropped columns -> record-level dedup -> headlines resolved per
     distinct url (cache, fetched pages, slug) -> enrichment.  With ``out``
     the result is written partitioned by month (T8: one job, no month loop);
-    either way the enriched DataFrame is returned.
+    either way the enriched DataFrame is returned.  ``cache_out`` names a folder
+    for the headline cache with this run's headlines, slugs and misses added, so
+    the next run extracts only what is new.
     """
+    from ..session import materialize
     from ..operators import headlines as H
     from ..sources import gkg
     recs = gkg.scan_range(spark, landed, start, end)
     f = FL.filter_articles(recs, start, end, sites, themes, locations)
-    f = D.dedup_records(C.drop_columns(f.drop("day")))
-    resolved = H.resolve_headlines(f.select(F.col(S.URL).alias("url")), pages, cache, acronyms)
+    f = materialize(D.dedup_records(C.drop_columns(f.drop("day"))), "filtered")
+    resolved = materialize(H.resolve_headlines(f.select(F.col(S.URL).alias("url")), pages, cache, acronyms), "headlines")
+    if cache_out:
+        written_back(cache, resolved).write.mode("overwrite").parquet(cache_out)
     enriched = enrich_articles(H.attach_headlines(f, resolved), categories)
     if out:
         (enriched.withColumn("month", F.date_format(S.DATE, "yyyy-MM"))
@@ -102,6 +103,17 @@ def run_batch(spark, landed: str, start, end, sites, themes, locations, categori
     return enriched
 
 
+def written_back(cache: DataFrame | None, resolved: DataFrame) -> DataFrame:
+    """The headline cache with the entries of a resolution added, newest first per url."""
+    from ..operators import headlines as H
+    now = F.current_timestamp().cast("timestamp_ntz").alias("seen_at")
+    new = resolved.where(F.col("cache_entry").isNotNull()).select("url", F.col("cache_entry").alias("headline"), now)
+    if cache is None:
+        return new
+    old = cache if "seen_at" in cache.columns else cache.withColumn("seen_at", F.lit(None).cast("timestamp_ntz"))
+    return H.cache_upsert(old, new)
+
+
 def filter_months(records: DataFrame, out: str, sites, themes, locations) -> None:
     """Filter every month of the landed records in one job, output
     partitioned by ``month`` (replaces the reference's per-month loop)."""
@@ -114,15 +126,16 @@ def filter_months(records: DataFrame, out: str, sites, themes, locations) -> Non
 def reextract_month(spark, filtered: str, month: str, pages: DataFrame, cache: DataFrame | None,
                     acronyms, categories: dict) -> DataFrame:
     """Reuse one filtered month (``month='YYYY-MM'`` partition of
-    :func:`filter_months` output), redo headline extraction ignoring cached
-    values (refresh), enrich.  A missing month is an error."""
+    :func:`filter_months` output), redo headline extraction, enrich.
+    Good cached headlines are used; misses are tried again.  A missing month
+    is an error."""
     from ..operators import headlines as H
     from ..sources.files import _fs
     fs, p = _fs(spark, f"{filtered.rstrip('/')}/month={month}")
     if not fs.exists(p):
         raise FileNotFoundError(f"Missing filtered month {month} under {filtered}")
     f = spark.read.parquet(filtered).where(F.col("month") == month).drop("month")
-    resolved = H.resolve_headlines(f.select(F.col(S.URL).alias("url")), pages, None, acronyms)
+    resolved = H.resolve_headlines(f.select(F.col(S.URL).alias("url")), pages, cache, acronyms)
     return enrich_articles(H.attach_headlines(f, resolved), categories)
 
 

@@ -45,20 +45,19 @@ def bounded_regex(pattern: str) -> str:
 
 
 def count_terms(expr: str, terms: Sequence[TM.Term]) -> str:
-    """Exact sum of per-term match counts, same layering as Spark."""
+    """Sum of one match count per dictionary entry (no layers, no shared alternation)."""
     e = f"coalesce({expr}, '')"
     doubled = f"regexp_replace({e}, '({NW})', '\\1\\1', 'g')"
     parts = []
-    for layer in TM.layer_terms(list(terms)):
-        if layer[0].raw is not None:
+    for t in terms:
+        if t.raw is not None:
             raise ValueError("no oracle form for irregular patterns")
-        if layer[0].bounded:
-            alt = "|".join(TM.escape(_double_nonword(t.text)) for t in layer)
-            pat = f"(?:^|{NW})(?:{alt})(?:{NW}|$)"
+        if t.bounded:
+            pat = rf"(?:^|{NW})\Q{_double_nonword(t.text)}\E(?:{NW}|$)"
             parts.append(f"len(regexp_extract_all({doubled}, {lit(pat)}))")
         else:
-            alt = "|".join(TM.escape(t.text) for t in layer)
-            parts.append(f"len(regexp_extract_all({e}, {lit(alt)}))")
+            quoted = rf"\Q{t.text}\E"
+            parts.append(f"len(regexp_extract_all({e}, {lit(quoted)}))")
     return "CAST((" + " + ".join(parts or ["0"]) + ") AS INTEGER)"
 
 

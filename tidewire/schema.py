@@ -20,7 +20,6 @@ RAW_COLUMNS = (
     "V2.1TRANSLATIONINFO", "V2EXTRASXML",
 )
 
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
 #: columns the parser drops (current profile); one name does not exist in the
 #: raw schema and is ignored like the reference ignores it

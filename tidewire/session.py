@@ -24,21 +24,46 @@ DEFAULT_CONF = {
 }
 
 
+def launch_conf() -> dict[str, str]:
+    """Settings that the launcher has already made: a live session's or JVM's, the
+    ``--conf`` arguments of spark-submit, and spark-defaults.conf."""
+    import shlex
+
+    from pyspark import SparkConf, SparkContext
+
+    known: dict[str, str] = {}
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    path = os.path.join(folder, "spark-defaults.conf")
+    if os.path.isfile(path):
+        with open(path) as f:
+            known |= dict(x.split(None, 1) for x in map(str.strip, f) if x and not x.startswith("#") and len(x.split(None, 1)) == 2)
+    args = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    for flag, value in zip(args, args[1:]):
+        if flag == "--conf" and "=" in value:
+            k, v = value.split("=", 1)
+            known[k] = v
+        elif flag == "--driver-memory":
+            known["spark.driver.memory"] = value
+    if SparkContext._gateway is not None:
+        known |= dict(SparkConf().getAll())
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        known |= dict(active.sparkContext.getConf().getAll())
+    return known
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "tidewire", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the library's expected settings."""
+    """Build (or reuse) a session.  Defaults, also the shuffle width, the driver's memory
+    and the checkpoint folder, are set only where the launcher has set nothing; ``extra``
+    is what the caller asks for and always holds."""
+    known = launch_conf()
+    wanted = {**DEFAULT_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions),
+              "spark.driver.memory": os.environ.get("TIDEWIRE_DRIVER_MEMORY", "8g")}
+    conf = {k: v for k, v in wanted.items() if k not in known} | (extra or {})
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("TIDEWIRE_DRIVER_MEMORY", "8g"))
-    conf.update(extra or {})
-    if "spark.checkpoint.dir" not in conf and not os.environ.get("SPARK_CHECKPOINT_DIR"):
-        # Only for local runs/tests: a cluster names its shared folder itself.
-        active = SparkSession.getActiveSession()
-        if active is None or not active.sparkContext.getCheckpointDir():
-            conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="tidewire-ckpt-")
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -74,6 +99,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def dematerialize(*tables) -> None:
+    """Delete the folders of tables that ``materialize`` wrote and nobody reads any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t._materialized_at
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
@@ -86,4 +120,6 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._materialized_at = path
+    return out

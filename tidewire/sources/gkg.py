@@ -33,6 +33,9 @@ NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 
 EXPECTED_FIELDS = len(S.RAW_COLUMNS)
 
+#: Lines of a drop that one Arrow batch carries.
+LINES_PER_BATCH = 10_000
+
 LINES_SCHEMA = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("status", T.StringType()),
@@ -54,7 +57,8 @@ def _inflate(content: bytes, drop_first_line: bool) -> tuple[str, list[str]]:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return "invalid_utf8", []
-    lines = text.splitlines()
+    # only \n ends a line (with an optional \r before it), as in the text reader
+    lines = [ln.removesuffix("\r") for ln in text.split("\n")]
     while lines and lines[-1] == "":
         lines.pop()
     if not lines:
@@ -70,24 +74,16 @@ def _inflate(content: bytes, drop_first_line: bool) -> tuple[str, list[str]]:
 def _unzip_batches(drop_first_line: bool):
     def run(batches):
         for pdf in batches:
-            out_path, out_status, out_no, out_line = [], [], [], []
             for path, content in zip(pdf["path"], pdf["content"]):
                 status, lines = _inflate(bytes(content), drop_first_line)
                 if status != "ok":
-                    out_path.append(path)
-                    out_status.append(status)
-                    out_no.append(None)
-                    out_line.append(None)
-                    continue
-                for i, ln in enumerate(lines):
-                    out_path.append(path)
-                    out_status.append("ok")
-                    out_no.append(i)
-                    out_line.append(ln)
-            if not out_path:
-                continue
-            yield pd.DataFrame({"file_path": out_path, "status": out_status,
-                                "line_no": pd.Series(out_no, dtype="object"), "line": out_line})
+                    yield pd.DataFrame({"file_path": [path], "status": [status],
+                                        "line_no": pd.Series([None], dtype="object"), "line": [None]})
+                # one drop at a time, in pieces of bounded length
+                for at in range(0, len(lines) if status == "ok" else 0, LINES_PER_BATCH):
+                    part = lines[at:at + LINES_PER_BATCH]
+                    yield pd.DataFrame({"file_path": path, "status": "ok", "line": part,
+                                        "line_no": pd.Series(range(at, at + len(part)), dtype="object")})
     return run
 
 
@@ -118,7 +114,7 @@ def stamp_from_path(path_col) -> "F.Column":
     """``YYYYMMDDHHMMSS`` in a file name -> timestamp (NTZ), else null."""
     name = F.regexp_extract(path_col, r"([^/]*)$", 1)
     digits = F.regexp_extract(name, r"(\d{14})", 1)
-    return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    return X.stamp_time(digits)
 
 
 def read_drops(spark: SparkSession, path, drop_first_line: bool = False) -> DataFrame:
@@ -140,12 +136,12 @@ def drop_report(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_text_lines(t: DataFrame) -> DataFrame:
     """``file_path, line`` rows -> parsed records; files whose lines have
-    differing or too few fields are rejected whole (one per-file aggregate, a
-    small shuffle of one row per file, and a semi join)."""
+    differing or too few fields are rejected whole: one per-file aggregate,
+    then an anti join with the few bad files, so good lines need no shuffle."""
     t = t.withColumn("_n", F.size(F.split("line", "\t", -1)))
-    ok = (t.groupBy("file_path").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"))
-          .where((F.col("lo") == F.col("hi")) & (F.col("lo") >= EXPECTED_FIELDS)).select("file_path"))
-    raw = split_fields(t.join(ok, "file_path", "left_semi").drop("_n"))
+    bad = (t.groupBy("file_path").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"))
+           .where((F.col("lo") != F.col("hi")) | (F.col("lo") < EXPECTED_FIELDS)).select("file_path"))
+    raw = split_fields(t.join(bad, "file_path", "left_anti").drop("_n"))
     date = F.coalesce(stamp_from_path(F.col("file_path")), X.record_time(F.col(S.RID)))
     return raw.select(*[F.col(f"`{c}`") for c in S.PARSED_COLUMNS], date.alias(S.DATE))
 
@@ -157,27 +153,29 @@ def read_text_drops(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land(df: DataFrame, path: str, date: str = S.DATE, mode: str = "append",
-         files_per_day: int = 16) -> None:
+         records_per_file: int = 2_000_000) -> None:
     """Write records partitioned by calendar ``day`` (one folder per day
     replaces the 96 small files per day; dynamic overwrite replaces only the
     days present in ``df``).
 
-    Rows are clustered by (day, hash bucket of the record id): at most
-    ``files_per_day`` files per day, and a day holding a third of all rows
-    is written by ``files_per_day`` tasks instead of one.
+    Rows are clustered by day with a rebalance: AQE cuts a large day into
+    as many tasks as its bytes need and joins small days, and a file holds at
+    most ``records_per_file`` records.
     """
-    out = df.withColumn("day", F.to_date(F.col(date)))
-    bucket = F.pmod(F.xxhash64(F.col(S.RID)), F.lit(files_per_day))
-    w = out.repartition("day", bucket).write.partitionBy("day")
+    out = df.withColumn("day", F.to_date(F.col(date))).hint("rebalance", "day")
+    w = out.write.option("maxRecordsPerFile", records_per_file).partitionBy("day")
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     w.mode(mode).parquet(path)
 
 
-def scan_range(spark: SparkSession, path: str, start, end, date: str = S.DATE) -> DataFrame:
-    """S3: landed records in an inclusive range; unreadable files skipped;
-    the ``day`` predicate prunes partitions before any file is opened."""
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+def scan_range(spark: SparkSession, path: str, start, end, date: str = S.DATE,
+               skip_corrupt: bool = False) -> DataFrame:
+    """S3: landed records in an inclusive range; the ``day`` predicate prunes
+    partitions before any file is opened.  An unreadable file fails the read
+    unless ``skip_corrupt`` asks to pass over it (``files.corrupt_file_report``
+    then says which files those were)."""
+    df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
     return (df.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
             .where(F.col(date).between(F.lit(start), F.lit(end))))
 
