@@ -191,7 +191,7 @@ def headline_timeline(df: DataFrame, date: str = S.DATE, source: str = S.SOURCE,
                         .distinct())
     per_h = (d.join(top_h, S.HEADLINE, "left_semi").groupBy(S.HEADLINE)
              .agg(F.min(date).alias("_first"),
-                  F.array_join(F.array_sort(F.collect_set(S.TYPES)), ", ").alias("Crime Types")))
+                  F.when(F.count(S.TYPES) > 0, F.array_join(F.array_sort(F.collect_set(S.TYPES)), ", ")).alias("Crime Types")))
     out = per_month.join(per_h, per_month["_top.h"] == per_h[S.HEADLINE], "left")
     return out.select("Month", "distinct_headline_count",
                       F.col("_top.h").alias("Top Headline"),
