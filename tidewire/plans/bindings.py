@@ -37,15 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
-    try:
-        want = spark.sparkContext.defaultParallelism
-        key = (path, id(spark.sparkContext))
-        if key not in _SCAN_PARTITIONS:  # planning the scan once per table
-            _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
-        have = _SCAN_PARTITIONS[key]
-    except Exception:  # noqa: BLE001 -- e.g. a Spark Connect session: no RDD view
-        return df
-    return df.repartition(want) if have < want else df
+    key = (path, spark.sparkContext.applicationId)
+    if key not in _SCAN_PARTITIONS:  # planning the scan once per table
+        _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
+    want = spark.sparkContext.defaultParallelism
+    return df.repartition(want) if _SCAN_PARTITIONS[key] < want else df
 
 
 _SCAN_PARTITIONS: dict = {}
@@ -74,7 +70,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed knowledge-graph records (10 columns + ``date``) from documents."""
     doc = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     date = (F.lit(RECORD_EPOCH).cast("timestamp_ntz")
-            + F.make_dt_interval(mins=(F.col("doc_id") * 15).cast("int")))
+            + F.make_dt_interval(days=F.expr("doc_id div 96").cast("int"), mins=(F.col("doc_id") % 96 * 15).cast("int")))
     # the text's words (A-Z runs of the upper-cased text) as WORD,1 tokens
     words = F.regexp_replace(F.regexp_replace(F.upper(F.col("text")), "[^A-Z]+", ";"), "^;+|;+$", "")
     themes = F.regexp_replace(words, "([A-Z]+)", "$1,1")

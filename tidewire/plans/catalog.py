@@ -965,3 +965,87 @@ def q_incremental_ingest(spark, d):
     base = f"{src}-landed-{uuid.uuid4().hex}"
     STR.ingest_available(spark, src, f"{base}/data", f"{base}/_checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/data").drop("batch", "day")
+
+
+# ------------------------------------------------- sources and cleaning at work
+from ..sources import files as FI  # noqa: E402
+
+
+def scratch(spark, name):
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+@register("parsed_range_scan", "WITH " + SQL_DROPS + """, b AS (SELECT min(date) + (max(date) - min(date)) / 4 AS s, min(date) + (max(date) - min(date)) / 2 AS e FROM lines)
+SELECT GKGRECORDID, V2SOURCECOMMONNAME, date FROM lines, b WHERE date BETWEEN date_trunc('day', s) AND date_trunc('day', e) + INTERVAL '6 hours'""")
+def q_parsed_range_scan(spark, d):
+    """Drops landed by day, then an inclusive range read by partition."""
+    out = scratch(spark, "landed")
+    GK.land(GK.read_text_drops(spark, B.write_drops(spark, d)), out)
+    lo, hi = spark.read.parquet(out).agg(F.min(S.DATE), F.max(S.DATE)).first()
+    start = (lo + (hi - lo) / 4).replace(hour=0, minute=0, second=0, microsecond=0)
+    end = (lo + (hi - lo) / 2).replace(hour=6, minute=0, second=0, microsecond=0)
+    return GK.scan_range(spark, out, f"{start:%Y-%m-%d %H:%M:%S}", f"{end:%Y-%m-%d %H:%M:%S}").select(S.RID, S.SOURCE, S.DATE)
+
+
+SQL_MONTHLY = """m AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date,
+  CASE WHEN o_orderpriority = '5-LOW' THEN ' a "quoted", line' || chr(10) || 'two ' ELSE o_orderpriority END AS headline,
+  CASE o_orderstatus WHEN 'F' THEN ' unknown ' WHEN 'O' THEN 'THEFT' ELSE 'FRAUD, THEFT' END AS crime_types FROM orders)"""
+
+
+@register("monthly_union", "WITH " + SQL_MONTHLY + """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, date, headline, CASE WHEN month < '1995-01' THEN NULL ELSE crime_types END AS crime_types, month FROM m
+WHERE month >= '1993-01'""")
+def q_monthly_union(spark, d):
+    """Monthly CSVs (quotes, newlines, three header forms) stacked by name;
+    files without a headline column are left out."""
+    o = B.table(spark, d, "orders")
+    text = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(' a "quoted", line\ntwo ')).otherwise(F.col("o_orderpriority"))
+    types = F.when(F.col("o_orderstatus") == "F", " unknown ").when(F.col("o_orderstatus") == "O", "THEFT").otherwise("FRAUD, THEFT")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"),
+                    text.alias("headline"), types.alias("crime_types"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    out = scratch(spark, "monthly")
+    for name, part, cols in (("a", F.col("month") < "1993-01", ["id", "date", "month"]),
+                             ("b", (F.col("month") >= "1993-01") & (F.col("month") < "1995-01"), ["date", "headline", "id", "month"]),
+                             ("c", F.col("month") >= "1995-01", ["id", "date", "headline", "crime_types", "month"])):
+        (rows.where(part).select(*cols).repartition(2).write.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out}/{name}"))
+    paths = [p for name in "abc" for p in FI.list_files(spark, f"{out}/{name}", ".csv")]
+    return FI.read_monthly_csvs(spark, paths).select("id", "date", "headline", "crime_types", "month")
+
+
+@register("monthly_known", "WITH " + SQL_MONTHLY + """
+SELECT o_orderkey, crime_types FROM m WHERE trim(upper(crime_types)) <> 'UNKNOWN'""")
+def q_monthly_known(spark, d):
+    """F11/S19 on text labels with blanks and other case."""
+    o = B.table(spark, d, "orders")
+    types = F.when(F.col("o_orderstatus") == "F", " unknown ").when(F.col("o_orderstatus") == "O", "THEFT").otherwise("FRAUD, THEFT")
+    rows = o.select("o_orderkey", types.alias("crime_types"))
+    return rows.where(SU.not_unknown(F.col("crime_types")))
+
+
+@register("first_of_wide", "SELECT " + ", ".join(f"l_orderkey + {k} AS c{k}" for k in range(24)) + " FROM lineitem")
+def q_first_of_wide(spark, d):
+    """P3 on 30 columns: the first 24 stay."""
+    li = B.table(spark, d, "lineitem")
+    return C.first_columns(li.select(*[(F.col("l_orderkey") + k).alias(f"c{k}") for k in range(30)]), 24)
+
+
+@register("coerce_text_numbers", """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN round(value, 2) ELSE NULL END AS tone,
+       CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS london_mentions FROM events""")
+def q_coerce_text_numbers(spark, d):
+    """X5 on text with bad values: numbers stay, everything else is null."""
+    ev = B.table(spark, d, "events")
+    k = F.col("event_id") % 5
+    tone = (F.when(k == 0, F.col("value").cast("string")).when(k == 1, F.concat(F.lit(" "), F.round("value", 2).cast("string")))
+            .when(k == 2, F.lit("abc")).when(k == 3, F.lit("")).otherwise(F.lit("1d")))
+    num = F.when(k == 4, F.lit("n/a")).otherwise(F.col("user_id").cast("string"))
+    return ev.select("event_id", X.parse_number(tone).alias("tone"), X.parse_number(num).alias("london_mentions"))
+
+
+@register("headline_summary_sorted", "SELECT * FROM (" + QUERIES["headline_summary"][1] + ") ORDER BY Month, Rank_Month NULLS LAST, count_day DESC")
+def q_headline_summary_sorted(spark, d):
+    """O1 over the flagship's rows."""
+    return SU.sort_summary(QUERIES["headline_summary"][0](spark, d))

@@ -55,23 +55,35 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_monthly_csvs(spark: SparkSession, paths: Iterable[str],
-                      required: Sequence[str] = (S.DATE, S.HEADLINE)) -> DataFrame | None:
-    """Each file read on its own (a folder read would apply the first
-    file's header to all), files missing a required column skipped, the rest
-    stacked by column name (missing columns -> null), with ``source_file``.
-
-    The required-column gate reads only each file's header line, so no Spark
-    job runs per file; every file is read with an explicit all-text schema.
+                      required: Sequence[str] = (S.DATE, S.HEADLINE),
+                      skipped: list[str] | None = None) -> DataFrame | None:
+    """Files stacked by column name (missing columns -> null), with
+    ``source_file``.  Files that lack a required column are left out; ``skipped``
+    takes their paths.
+
+    Only header lines are read on the driver (no Spark job per file).  Files with
+    equal headers are one read with an explicit all-text schema, so the plan grows
+    with the number of different headers and not of files.  A name that a header
+    repeats gets a number behind it (``a``, ``a.1``), as readers of such files do.
     """
-    out = None
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
-        cols = csv_header(spark, p)
-        if not set(required) <= set(cols) or len(set(cols)) != len(cols):
-            continue
+        seen: dict[str, int] = {}
+        cols = []
+        for c in csv_header(spark, p):
+            k = seen[c] = seen.get(c, -1) + 1
+            cols.append(f"{c}.{k}" if k else c)
+        if set(required) <= set(cols):
+            by_header.setdefault(tuple(cols), []).append(p)
+        elif skipped is not None:
+            skipped.append(p)
+    out = None
+    for cols, files in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("encoding", "UTF-8").csv(p))
-        df = df.withColumn("source_file", F.lit(p.rsplit("/", 1)[-1]))
+        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True)
+              .option("escape", '"').option("encoding", "UTF-8").csv(files))
+        name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1))
+        df = df.select(*(F.col(f"`{c}`") for c in cols), name.alias("source_file"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 

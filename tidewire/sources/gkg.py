@@ -186,8 +186,8 @@ def ingest_missing(spark: SparkSession, drops: str, landed: str, start, end,
     15-minute stamp has no landed rows yet; returns the drop files read.
 
     The grid minus landed stamps is a Spark anti join (J8); the drop folder
-    is listed without reading content, and only the paths of missing stamps
-    -- at most 96 per day, metadata -- reach the driver to name the read.
+    is listed without reading content, and the paths of missing stamps reach
+    the driver one day after the other to name the read.
     A drop that yielded no rows (corrupt, empty) stays missing and is tried
     again next time (D13).
     """
@@ -204,7 +204,17 @@ def ingest_missing(spark: SparkSession, drops: str, landed: str, start, end,
     listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
                .option("recursiveFileLookup", "true").load(drops).select("path"))
     wanted = listing.withColumn("stamp", F.date_format(stamp_from_path(F.col("path")), "yyyyMMddHHmmss"))
-    paths = [r[0] for r in wanted.join(missing.select("stamp"), "stamp", "left_semi").select("path").collect()]
-    if paths:
-        land(read_drops(spark, paths), landed)
-    return sorted(paths)
+    due = wanted.join(missing.select("stamp"), "stamp", "left_semi").select("stamp", "path").orderBy("stamp", "path")
+    done: list[str] = []
+    day: list[str] = []
+    last = None
+    # day by day, at most 96 paths at once; a day's rows replace nothing that is landed
+    for stamp, file in due.toLocalIterator():
+        if day and stamp[:8] != last:
+            land(read_drops(spark, day), landed)
+            done, day = done + day, []
+        last = stamp[:8]
+        day.append(file)
+    if day:
+        land(read_drops(spark, day), landed)
+    return sorted(done + day)
