@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ CHUNK = 1 << 13
 BLOCK = 64
 KEEP_WORDS = 700_000
 KEEP_PAIRS = 400_000
+#: Words up to this length are merged; the work grows with the square of the length.
+SHORT = 48
 MARK = "▁"
 WORDS = re.compile("▁+[^▁]*|[^▁]+")
 #: No last piece: start of the text or a barrier.
@@ -63,17 +66,21 @@ class Pieces:
 
     def merges(self, s: str) -> list[str]:
         """Byte-pair merging of a short string: best score first, then leftmost."""
-        parts = list(s)
-        while len(parts) > 1:
+        parts, ids, scores = list(s), self.ids, self.scores
+        joined = [ids.get(a + b) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while True:
             best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
+            for k, i in enumerate(joined):
+                if i is not None and (best is None or scores[i] > best):
+                    best, at = scores[i], k
             if best is None:
-                break
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del joined[at]
+            if at:
+                joined[at - 1] = ids.get(parts[at - 1] + parts[at])
+            if at < len(joined):
+                joined[at] = ids.get(parts[at] + parts[at + 1])
 
     def weight(self, last: int, piece: int) -> float | None:
         """Of adding a piece behind ``last``; None: may not follow."""
@@ -126,8 +133,16 @@ class Pieces:
         return [i for part in reversed(out) for i in part]
 
     def word(self, s: str) -> bytes:
-        """Ids of a string that lies between barriers."""
-        return np.array(self.spell(s, self.walk(s, 0, FRESH, len(s), len(s)), len(s)), "<u4").tobytes()
+        """Ids of a string that lies between barriers, where there is but one state: a
+        short one by merging, a long one by its path."""
+        if self.bpe and len(s) <= SHORT:
+            out = []
+            for p in self.merges(s):
+                i = self.ids.get(p)
+                out += [i] if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
+        else:
+            out = self.spell(s, self.walk(s, 0, FRESH, len(s), len(s)), len(s))
+        return pack(f"<{len(out)}I", *out)
 
     def encode(self, x: str) -> np.ndarray:
         """Ids of a normalised string between barriers; its words are remembered."""
