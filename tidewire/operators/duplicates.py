@@ -99,15 +99,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row per key combination under an explicit order.
 
     ``order`` lists Columns compared ascending, nulls first (callers negate or
-    wrap them for other directions).  Implemented as ``min_by(row, key)``, a
-    partial/final aggregation: a key holding a third of all rows is reduced
-    map-side instead of being sorted in one task as a window would.  The
-    whole row is the last tie-breaker, so the pick is deterministic.
+    wrap them for other directions).  Implemented as ``min(struct(order, row))``, a
+    partial/final aggregation that carries each row once: a key holding a third
+    of all rows is reduced map-side instead of being sorted in one task as a
+    window would.  The whole row is the last tie-breaker, so the pick is
+    deterministic.
     """
     others = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(f"`{c}`") for c in others])
-    sort_key = F.struct(*order, row)
-    picked = df.groupBy(*keys).agg(F.min_by(row, sort_key).alias("_row"))
+    ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], row.alias("row"))
+    picked = df.groupBy(*keys).agg(F.min(ranked)["row"].alias("_row"))
     out = picked.select(*keys, *[F.col("_row")[c].alias(c) for c in others])
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 

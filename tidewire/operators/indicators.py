@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def js_number(c: Column, blank_is_null: bool = False) -> Column:
@@ -31,18 +32,18 @@ def one_decimal(c: Column) -> Column:
 
 def indicator_slice(df: DataFrame, year: int, x: str, y: str, gini: str = "GINI Index") -> DataFrame:
     """F16 + A14 + X17 + X19: rows of one year where both indicators are
-    numeric, with labels and the slice's axis extents (scalar subqueries)."""
+    numeric, with labels and the slice's axis extents."""
     def num(name):
         return js_number(F.col(f"`{name}`"), blank_is_null=(name == gini))
     s = (df.where(F.col("Year") == year)
          .select("Country", region_label(F.col("Continent"), F.col("Region")).alias("Region"),
                  num(x).alias("x"), num(y).alias("y")))
     s = s.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"))
-    ext = s.agg(F.struct(F.min("x").alias("x_min"), F.max("x").alias("x_max"),
-                         F.min("y").alias("y_min"), F.max("y").alias("y_max")).alias("e")).scalar()
-    return (s.withColumn("_e", ext)
-            .select("Country", "Region", "x", "y", one_decimal(F.col("x")).alias("x_label"),
-                    one_decimal(F.col("y")).alias("y_label"), "_e.*"))
+    # one row a country: the whole slice is small, so its extents are one window over it
+    whole = Window.partitionBy(F.lit(1))
+    ext = [fn(c).over(whole).alias(f"{c}_{n}") for c in ("x", "y") for n, fn in (("min", F.min), ("max", F.max))]
+    return s.select("Country", "Region", "x", "y", one_decimal(F.col("x")).alias("x_label"),
+                    one_decimal(F.col("y")).alias("y_label"), *ext)
 
 
 def indicator_domains(df: DataFrame) -> DataFrame:
