@@ -32,8 +32,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, and a digest of what they decode to."""
-    path = sentence_pieces.model_path()
-    return sentence_pieces.digests(sentence_pieces.encode(docs, path), path)
+    return sentence_pieces.encode(docs, sentence_pieces.model_path())
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("benchmark_decontamination", benchmark), ("sentencepiece", pieces)]

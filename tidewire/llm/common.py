@@ -15,7 +15,7 @@ TO_SPACE = {ord(c): " " for c in SPACES}
 #: Stands for a null id within Python.
 NULL_ID = -(1 << 63)
 #: Bytes of one Arrow batch handed to a Python worker, so long texts can't fill it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

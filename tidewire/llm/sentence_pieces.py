@@ -41,7 +41,7 @@ GIANT = 1 << 15
 CHUNK = 1 << 13
 #: Chunks whose matrices are multiplied in one task.
 BLOCK = 64
-KEEP_WORDS = 700_000
+KEEP_WORDS = 400_000
 KEEP_PAIRS = 400_000
 #: Words up to this length are merged; the work grows with the square of the length.
 SHORT = 48
@@ -258,6 +258,7 @@ class Codec:
         self.bytes_of = {i: sp.id_to_piece(i).replace(MARK, " ").encode() for i in plain}
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of |= {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.table = [self.bytes_of.get(i, b"") for i in range(sp.get_piece_size())]
         self.pieces = Pieces({sp.id_to_piece(i): i for i in plain}, {i: sp.get_score(i) for i in plain}, byte_ids)
 
     def normal(self, text: str | None) -> str:
@@ -267,7 +268,7 @@ class Codec:
         return self.pieces.encode(self.normal(text))
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join([self.bytes_of.get(i, b"") for i in ids])
+        return b"".join(map(self.table.__getitem__, ids))
 
     def decode(self, ids) -> str:
         text = self.decode_bytes(ids).decode("utf-8", "replace")
@@ -291,16 +292,24 @@ def chunks_of(c: Codec, text: str, size: int) -> Iterator[tuple[int, str, int, i
         yield k, x[left : b + far], a - left, b - left, b == len(x)
 
 
-ROW = "doc_id long, ids array<long>"
+DIGEST = "n_tokens long, ids_crc32 long, text_crc32 long"
+
+
+def digest(c: Codec, ids: np.ndarray) -> tuple[int, int, int]:
+    """Number of ids, crc32 of the ids (little-endian, 32 bits), crc32 of the text they decode to."""
+    return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(c.decode(ids.tolist()).encode())
 
 
 def encode_short(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and their digest, in one pass."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [c.encode(t).astype(np.int64) for t in pdf["text"]]})
+            ids = [c.encode(t).astype(np.int32) for t in pdf["text"]]
+            out = pd.DataFrame([digest(c, i) for i in ids], columns=["n_tokens", "ids_crc32", "text_crc32"])
+            yield out.assign(doc_id=pdf["doc_id"].array, ids=ids)
 
-    return rows.mapInPandas(run, ROW)
+    return rows.mapInPandas(run, f"doc_id long, ids array<int>, {DIGEST}")
 
 
 def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
@@ -355,42 +364,40 @@ def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            own = [c.pieces.backtrace(x, s, e, (a["o"], a["t"]), (z["o"], z["t"])).astype(np.int64) for x, s, e, a, z in zip(pdf["x"], pdf["s"], pdf["e"], pdf["a"], pdf["z"], strict=True)]
+            own = [c.pieces.backtrace(x, s, e, (a["o"], a["t"]), (z["o"], z["t"])).astype(np.int32) for x, s, e, a, z in zip(pdf["x"], pdf["s"], pdf["e"], pdf["a"], pdf["z"], strict=True)]
             yield pdf[["doc_id", "h", "copy", "chunk"]].assign(doc_id=pdf["doc_id"], ids=own)
 
     traced = cuts.join(states, [*key, "chunk"]).select(*key, "chunk", "x", "s", "e", "a", "z")
-    traced = traced.mapInPandas(trace, "doc_id long, h long, copy int, chunk int, ids array<long>")
+    traced = traced.mapInPandas(trace, "doc_id long, h long, copy int, chunk int, ids array<int>")
     parts = traced.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     return parts.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
-    """(doc_id, ids) of every row."""
+    """doc_id, ids, n_tokens, ids_crc32, text_crc32 of every row."""
     bounded_batches(docs.sparkSession)
     rows = sealed(id_text(docs))
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
-    return unsealed(encode_short(rows.where(~long), path).unionByName(encode_giant(rows.where(long), path, size)))
-
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [c.decode(i.tolist()) for i in pdf["ids"]]})
+            out = pd.DataFrame([digest(c, np.asarray(i)) for i in pdf["ids"]], columns=["n_tokens", "ids_crc32", "text_crc32"])
+            yield out.assign(doc_id=pdf["doc_id"].array, ids=pdf["ids"].array)
 
-    return unsealed(sealed(encoded).mapInPandas(run, "doc_id long, text string"))
+    joined = encode_giant(rows.where(long), path, size).mapInPandas(check, f"doc_id long, ids array<int>, {DIGEST}")
+    out = unsealed(encode_short(rows.where(~long), path).unionByName(joined))
+    return out.select("doc_id", "n_tokens", "ids_crc32", "text_crc32", "ids")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, crc32 of the ids (little-endian, 32 bits) and of the decoded text."""
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(i) for i in pdf["ids"]], "ids_crc32": [zlib.crc32(np.asarray(i).astype("<u4").tobytes()) for i in pdf["ids"]],
-                                "text_crc32": [zlib.crc32(c.decode(i.tolist()).encode()) for i in pdf["ids"]], "ids": list(pdf["ids"])})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [c.decode(i.tolist()) for i in pdf["ids"]]})
 
-    return unsealed(sealed(encoded).mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, ids array<long>"))
+    return unsealed(sealed(encoded.select("doc_id", "ids")).mapInPandas(run, "doc_id long, text string"))
 
 
 def model_path() -> str:
@@ -401,4 +408,4 @@ def model_path() -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: ids of every whole text of ``documents``, and a digest of what they decode to."""
-    return digests(encode(documents(spark, sf_dir), model_path()), model_path())
+    return encode(documents(spark, sf_dir), model_path())
