@@ -10,13 +10,14 @@ always stay and match nothing.
    the join exact; a rarer prefix only makes it cheaper.
 2. Of equal sets all but the first line go.
 3. Prefix filter: similar sets of sizes n share a token among their first
-   n - ceil(t n) + 1.  In each token's group, in the order of the lines, every later line meets the
-   first ``LEADERS`` lines; pairs that pass the length, positional and bitmap filters are
-   verified on whole sets.  (Bitmap: each token flips one of 64 bits; two sets differ in no fewer
-   tokens than their bitmaps do in bits.)
-4. Lines that no leader removed, and that stand behind more than LEADERS lines of a
-   group, meet the rest of that group in the same way.  So a large group of near copies costs a
-   few pairs a line, and no pair is left out for the lines that stay.
+   n - ceil(t n) + 1.  In each token's group, in the order of the lines, a line meets the first
+   ``LEADERS`` lines, and, where none of them passes the filters, all other earlier lines
+   of the group.  Pairs that pass the length, positional and bitmap filters are verified on
+   whole sets.  (Bitmap: each token flips one of 64 bits; two sets differ in no fewer tokens than
+   their bitmaps do in bits.)
+4. Lines for which a leader passed the filters, but no pair the verification, then meet
+   their whole groups.  So a large group of near copies costs a few pairs a line, and no
+   pair is left out for a line that stays.
 
 Nulls: a null text stays null; a null doc_id comes first.  Rows that repeat a doc_id are rows
 of their own; lines at the same place of such rows don't remove each other, and both go where an
@@ -115,22 +116,36 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     return both.where(F.exists("x_sets", lambda a: F.exists("y_sets", lambda b: similar(a, b)))).select("x", "y")
 
 
+def postings(firsts: DataFrame) -> DataFrame:
+    """(token, p: place, size, position, bitmap) of the prefix tokens."""
+    at = F.struct("doc_id", "line_no")
+    rows = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits")
+    return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits").alias("p"))
+
+
 def similar_firsts(firsts: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     """(y, x): places of lines and of the first of the earlier lines that are similar to them.
     ``firsts``: keyed lines, one for each distinct set."""
-    at = F.struct("doc_id", "line_no")
-    posts = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits").repartition("token").select("token", F.struct(at.alias("at"), "n", "i", "bits").alias("p"))
-    group = Window.partitionBy("token").orderBy("p.at").rowsBetween(Window.unboundedPreceding, 0)
-    leaders = F.array(*(F.nth_value("p", k + 1).over(group) for k in range(LEADERS)))
-    ranked = posts.select("token", "p", F.row_number().over(Window.partitionBy("token").orderBy("p.at")).alias("rank"), leaders.alias("leaders"))
+    posts = postings(firsts).repartition("token")
+    group = Window.partitionBy("token").orderBy("p.at")
+    leaders = F.array(*(F.nth_value("p", k + 1).over(group.rowsBetween(Window.unboundedPreceding, 0)) for k in range(LEADERS)))
+    ranked = posts.select("token", "p", F.row_number().over(group).alias("rank"), leaders.alias("leaders"))
     met = F.transform(F.filter("leaders", lambda x: F.coalesce(may_match(x, F.col("p")), F.lit(False))), lambda x: x["at"])
-    met = materialize(ranked.select("token", "p", "rank", met.alias("met")).where((F.size("met") > 0) | (F.col("rank") > LEADERS)), "line-postings")
-    one = materialize(verified(met.select(F.explode("met").alias("x"), F.col("p.at").alias("y")).distinct(), docs, classes), "line-matches")
-    # the rest: behind the leaders of a token's group, against the others there
-    rest = met.where(F.col("rank") > LEADERS).select("token", "p", "rank")
-    gone = one.select("y").distinct()
-    left = rest.where(F.col("rank") > LEADERS + 1).join(bounded_broadcast(gone), F.col("p.at") == F.col("y"), "left_anti")
-    pairs = rest.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
+    ranked = ranked.select("token", "p", "rank", met.alias("met"))
+    # all three reads of ``ranked`` share one exchange
+    led = ranked.where(F.size("met") > 0).select(F.explode("met").alias("x"), F.col("p.at").alias("y"), (F.col("rank") > LEADERS + 1).alias("partly"))
+    alone = ranked.where((F.size("met") == 0) & (F.col("rank") > LEADERS + 1)).alias("y")
+    others = ranked.where(F.col("rank") > LEADERS).select("token", "p", "rank").alias("x")
+    rest = others.join(alone, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
+    rest = rest.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y"), F.lit(False).alias("partly"))
+    met = materialize(led.unionByName(rest).groupBy("x", "y").agg(F.max("partly").alias("partly")), "line-candidates")
+    one = materialize(verified(met.select("x", "y"), docs, classes), "line-matches")
+    # lines that met leaders of a larger group, and were similar to nothing after all: against the whole group
+    open_lines = met.where("partly").select("y").distinct().join(one.select("y").distinct(), "y", "left_anti").select("y.*")
+    open_lines = materialize(open_lines, "open-lines")
+    theirs = materialize(postings(firsts.join(bounded_broadcast(open_lines), ["doc_id", "line_no"])), "open-postings")
+    tokens = bounded_broadcast(materialize(theirs.select("token").distinct(), "open-tokens"))
+    pairs = postings(firsts).join(tokens, "token").alias("x").join(theirs.alias("y"), (F.col("x.token") == F.col("y.token")) & may_match(F.col("x.p"), F.col("y.p")))
     two = verified(pairs.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs, classes)
     return one.unionByName(two).groupBy("y").agg(F.min("x").alias("x"))
 
