@@ -119,7 +119,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
 def postings(firsts: DataFrame) -> DataFrame:
     """(token, p: place, size, position, bitmap) of the prefix tokens."""
     at = F.struct("doc_id", "line_no")
-    rows = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits")
+    rows = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits").where("token IS NOT NULL")  # joins ask for it: said here, all reads share one plan
     return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits").alias("p"))
 
 
