@@ -305,9 +305,10 @@ def test_tree_equals_all_pairs():
 def test_lines_equal_brute_force(spark, texts, monkeypatch, leaders):
     monkeypatch.setattr(line_dedup, "LEADERS", leaders)
     r, own = random.Random(9), dict(texts)
-    base = [f"w{k}" for k in range(30)]
+    base, wide = [f"w{k}" for k in range(30)], [f"u{k}" for k in range(95)]
     for d in range(60):
         lines = [" ".join(x if r.random() > 0.08 else f"v{r.randrange(50)}" for x in base) for _ in range(2)] + [" ".join(r.sample("abcdefgh", r.randint(1, 5)))]
+        lines += [" ".join(x if r.random() > 0.08 else f"v{r.randrange(50)}" for x in wide[: r.choice((58, 61, 64, 95))]) for _ in range(2)]  # around the size of a second bitmap
         own[20_000 + d] = "\n".join(lines)
     docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     got = {(x.doc_id, n) for x in line_dedup.per_document(docs).collect() for n in x.gone}

@@ -13,8 +13,8 @@ always stay and match nothing.
    n - ceil(t n) + 1.  In each token's group, in the order of the lines, a line meets the first
    ``LEADERS`` lines, and, where none of them passes the filters, all other earlier lines
    of the group.  Pairs that pass the length, positional and bitmap filters are verified on
-   whole sets.  (Bitmap: each token flips one of 64 bits; two sets differ in no fewer tokens than
-   their bitmaps do in bits.)
+   whole sets.  (Bitmap: each token flips one of 64 bits, of 128 in large sets; two sets differ in
+   no fewer tokens than their bitmaps do in bits.)
 4. Lines for which a leader passed the filters, but no pair the verification, then meet
    their whole groups.  So a large group of near copies costs a few pairs a line, and no
    pair is left out for a line that stays.
@@ -35,6 +35,8 @@ from tidewire.session import materialize
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
 LEADERS = 3
+#: Sets of so many tokens have a bitmap of 128 bits; smaller ones tell apart by 64.
+LONG = 60
 #: Rows up to which a table of line places is broadcast (about 40 bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 MIN_ID = -(1 << 63)
@@ -78,10 +80,12 @@ def parity(keys: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, classes: Column) -> DataFrame:
-    """(doc_id, line_no, n, h1, h2, bits, prefix) of every line with a word."""
+    """(doc_id, line_no, n, h1, h2, bits, high, prefix) of every line with a word; from LONG
+    tokens on, half of the tokens flip bits of ``high`` instead of ``bits``."""
     lines = explode_lines(docs).withColumn("keys", token_set(F.col("line"), classes)).drop("line").where(F.size("keys") > 0).withColumn("n", F.size("keys"))
     prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int") + 1)
-    return lines.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), parity(F.col("keys")).alias("bits"), prefix.alias("prefix"))
+    high = F.when(F.col("n") >= LONG, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    return lines.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), parity(F.col("keys")).bitwiseXOR(high).alias("bits"), high.alias("high"), prefix.alias("prefix"))
 
 
 def needed_overlap(n: Column, m: Column) -> Column:
@@ -93,8 +97,11 @@ def may_match(x: Column, y: Column) -> Column:
     """Length, positional and bitmap filters of postings x and y that share a token, x at
     an earlier place."""
     need = needed_overlap(x["n"], y["n"])
+    bits, high = x["bits"].bitwiseXOR(y["bits"]), x["high"].bitwiseXOR(y["high"])
+    long = F.least(x["n"], y["n"]) >= LONG  # else one of them has a single bitmap
+    differ = F.when(long, F.bit_count(bits) + F.bit_count(high)).otherwise(F.bit_count(bits.bitwiseXOR(high)))
     return ((x["at"] < y["at"]) & (F.least(x["n"], y["n"]) >= THRESHOLD * F.greatest(x["n"], y["n"]) - 1e-9)
-            & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= need) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need))
+            & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= need) & (differ <= x["n"] + y["n"] - 2 * need))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
@@ -119,8 +126,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
 def postings(firsts: DataFrame) -> DataFrame:
     """(token, p: place, size, position, bitmap) of the prefix tokens."""
     at = F.struct("doc_id", "line_no")
-    rows = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits").where("token IS NOT NULL")  # joins ask for it: said here, all reads share one plan
-    return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits").alias("p"))
+    rows = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits", "high").where("token IS NOT NULL")  # joins ask for it: said here, all reads share one plan
+    return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits", "high").alias("p"))
 
 
 def similar_firsts(firsts: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
