@@ -322,6 +322,30 @@ def test_lines_equal_brute_force(spark, texts, monkeypatch, leaders):
     assert kept == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in want) for d, t in own.items()}
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: each row loses its own lines only, and every set of words keeps its first line."""
+    r = random.Random(12)
+    shared = [" ".join(f"s{k}x{i}" for i in range(6)) for k in range(12)]
+    own = []
+    for d in range(90):
+        lines = [f"line {d} alone has {' '.join(f'q{d}x{i}x{k}' for i in range(4))}" for k in range(4)]
+        lines[r.randrange(4)] = r.choice(shared)  # shared lines stand at different heights
+        own.append((None if d % 3 == 0 else 7 if d % 3 == 1 else d, "\n".join(lines)))
+    own += [own[0], own[1], own[1], (None, " \n"), (None, " \n"), (None, None)]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    ordered = [(x.doc_id, x.text) for x in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    seen, want = set(), []
+    for d, t in ordered:
+        left = []
+        for line in t.split("\n") if t is not None else ():
+            s = frozenset(words(line))
+            left += [line] if s not in seen else []
+            seen |= {s} if s else set()
+        want.append((d, t if t is None else "\n".join(left)))
+    got = [(x.doc_id, x.text) for x in line_dedup.dedup_lines(docs, drop_emptied=False).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # ---- 9 benchmark
 
 def test_contamination(spark):

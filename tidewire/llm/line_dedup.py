@@ -1,7 +1,7 @@
 """Line dedup (operator 8): exact set-similarity join of lines, in DataFrame functions.
 
 A line's tokens are its distinct lowered words.  A line goes when an earlier line
-(by doc_id, then line number) has a Jaccard similarity of THRESHOLD or more with it;
+(by document, see below, then line number) has a Jaccard similarity of THRESHOLD or more with it;
 an earlier line counts whether or not it stays itself.  Lines without a word
 always stay and match nothing.
 
@@ -19,9 +19,9 @@ always stay and match nothing.
    their whole groups.  So a large group of near copies costs a few pairs a line, and no
    pair is left out for a line that stays.
 
-Nulls: a null text stays null; a null doc_id comes first.  Rows that repeat a doc_id are rows
-of their own; lines at the same place of such rows don't remove each other, and both go where an
-earlier line matches.  Empty tables give empty results.  ``dedup_lines`` keeps other columns.
+Nulls: a null text stays null; a null doc_id comes first.  Rows that share a doc_id, or have none, are
+rows of their own, ordered by a hash of their text; of rows with the same doc_id and text all but one
+lose every line with a word.  Empty tables give empty results.  ``dedup_lines`` keeps other columns.
 """
 
 from __future__ import annotations
@@ -158,7 +158,8 @@ def similar_firsts(firsts: DataFrame, docs: DataFrame, classes: Column) -> DataF
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the lines that go; ``docs``: (doc_id not null, text)."""
+    """(doc_id, line_no) of the lines that go; ``docs``: (doc_id, text), where doc_id is a key
+    that no two rows share: a long, or the struct of ``keyed_rows``."""
     classes = rarity(docs)
     lines = materialize(keyed_lines(docs, classes), "keyed-lines")
     at = F.struct("doc_id", "line_no")
@@ -170,10 +171,44 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return again.union(best).distinct()
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(_row: the row itself, _key, text, _again) of every row of ``docs``.  _key: the doc_id, or,
+    where ids repeat, (doc_id, hash of the text); _again: an earlier row has this _key."""
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)), F.col("text").cast("string")
+    repeats = not docs.groupBy(key.alias("id")).count().where("count > 1").isEmpty()
+    if repeats:
+        key = F.struct(key.alias("id"), F.xxhash64(text).alias("h"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), key.alias("_key"), text.alias("text"))
+    once = rows.withColumn("_again", F.lit(False))
+    if not repeats:
+        return once
+    pairs = materialize(rows.groupBy("_key").count().where("count > 1").select("_key"), "line-pairs-of-rows")
+    if pairs.isEmpty():
+        return once
+    pairs = bounded_broadcast(pairs)
+    # numbered in a written table, so every read sees the same row first
+    twins = materialize(rows.join(pairs, "_key", "left_semi").withColumn("_n", F.monotonically_increasing_id()), "line-twins")
+    first = materialize(twins.groupBy("_key").agg(F.min("_n").alias("_first")), "line-first-twins")
+    twins = twins.join(bounded_broadcast(first), "_key").withColumn("_again", F.col("_n") > F.col("_first"))
+    return once.join(pairs, "_key", "left_anti").unionByName(twins.select("_row", "_key", "text", "_again"))
+
+
+def gone_lists(rows: DataFrame) -> DataFrame:
+    """(doc_id: _key, gone: line numbers, ascending) of the keys of ``keyed_rows`` that lose a line."""
+    docs = rows.where("NOT _again").select(F.col("_key").alias("doc_id"), "text")
+    return materialize(removed_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "removed-lines")
+
+
 def per_document(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone: line numbers, ascending) of the documents that lose a line."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(removed_lines(rows).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "removed-lines")
+    """(doc_id: key of the row, gone: line numbers, ascending) of the documents that lose a line."""
+    return gone_lists(keyed_rows(docs))
+
+
+def worded_lines(text: Column) -> Column:
+    """Numbers of the lines with a word; null without any."""
+    at = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.size(split_words(x)) > 0, i))
+    at = F.filter(at, lambda i: i.isNotNull())
+    return F.when(F.size(at) > 0, at)
 
 
 def keep_lines(text: Column, gone: Column) -> Column:
@@ -183,9 +218,10 @@ def keep_lines(text: Column, gone: Column) -> Column:
 
 def with_gone(docs: DataFrame) -> DataFrame:
     """(_row: the row itself, text, gone) of every row of ``docs``."""
-    gone = per_document(docs).withColumnRenamed("doc_id", "_key")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("_key"), F.col("text").cast("string").alias("text"))
-    return rows.join(bounded_broadcast(gone), "_key", "left").select("_row", "text", "gone")
+    rows = keyed_rows(docs)
+    gone = gone_lists(rows).withColumnRenamed("doc_id", "_key")
+    mine = F.when(F.col("_again"), worded_lines(F.col("text"))).otherwise(F.col("gone"))
+    return rows.join(bounded_broadcast(gone), "_key", "left").select("_row", "text", mine.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
