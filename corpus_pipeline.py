@@ -8,6 +8,8 @@ from tidewire.llm import decontaminate, line_dedup, ngram_join, quality_rules, s
 from tidewire.llm.common import documents
 from tidewire.session import materialize
 
+#: Words of a shingle and similarity, per cent, of the near-copy stage (op7's query has its own).
+SHINGLE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the least doc_id stays."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, SHINGLE, PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

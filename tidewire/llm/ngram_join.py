@@ -2,7 +2,8 @@
 
 A text's set holds its distinct 4-word shingles (64-bit hashes; A-Z lowered); a text of fewer words has
 the whole sequence as its only element, one without words an empty set that links with
-nothing.  Two texts link when 100 * intersection >= 85 * union.
+nothing.  Two texts link when 100 * intersection >= 85 * union.  4 and 85 are op7's; ``components``
+and ``keep_one`` take others.
 
 1. Equal sets become one node, so exact copies cost one row each and no pair.
 2. Candidates by the prefix filter: under one global order of shingles, linked sets
@@ -41,7 +42,7 @@ from tidewire.llm.line_dedup import bounded_broadcast
 from tidewire.session import materialize
 
 SHINGLE = 4
-#: Similarity, per cent.
+#: Similarity, per cent, of op7.
 PERCENT = 85
 QUARTER = np.uint64(3)
 BLOCK_NODES = 3000
@@ -67,7 +68,7 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, h, n, node, first, extra): a hash of the text, then the shingles that come
     first in the global order, and, where they are fewer than the prefix, those after them."""
     bounded_batches(docs.sparkSession)
@@ -76,9 +77,9 @@ def sets(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                s = shingles(text)
+                s = shingles(text, size)
                 in_first = (s & QUARTER) == 0
-                first, missing = s[in_first], max(0, prefix_length(len(s)) - int(in_first.sum())) if len(s) else 0
+                first, missing = s[in_first], max(0, prefix_length(len(s), percent) - int(in_first.sum())) if len(s) else 0
                 rows.append((len(s), node_of(s), first.view(np.int64), s[~in_first][:missing].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "node", "first", "extra"])
             yield out.assign(doc_id=pdf["doc_id"].array, h=pdf["h"].array)
@@ -88,7 +89,7 @@ def sets(docs: DataFrame) -> DataFrame:
     return unsealed(made).withColumn("node", F.when(F.col("n") > 0, F.col("node")))
 
 
-def prefix_postings(nodes: DataFrame) -> DataFrame:
+def prefix_postings(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(token, node) of prefix shingles that two nodes or more hold; ``nodes``: node, n, first, extra."""
     held = nodes.select("node", F.explode("first").alias("token")).repartition("token")
     shared = held.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
@@ -96,7 +97,7 @@ def prefix_postings(nodes: DataFrame) -> DataFrame:
     sizes = nodes.select("node", "n", F.size("first").alias("k"), "extra")
     both = sizes.join(lists, "node", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<df:bigint,token:bigint>>")))
     # the shingles that only this node holds come first and match nothing
-    room = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100).cast("long") + 1 - (F.col("k") - F.size("shared"))
+    room = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") + 1 - (F.col("k") - F.size("shared"))
     both = both.withColumn("room", F.greatest(room, F.lit(0)).cast("int"))
     tokens = F.concat(F.transform(F.slice("shared", 1, F.col("room")), lambda x: x["token"]), F.col("extra"))
     posts = both.select("node", F.explode(tokens).alias("token"))
@@ -174,7 +175,7 @@ class Trie:
             node.ends.append(x)
 
 
-def join_block(all_sets: list[np.ndarray]) -> list[int]:
+def join_block(all_sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """For each set of a block the number of the first set that it is connected with."""
     if not all_sets:
         return []
@@ -187,32 +188,32 @@ def join_block(all_sets: list[np.ndarray]) -> list[int]:
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         r = np.sort(rank[where[a:b]])
         ranks.append(r[r < shared])
-    trie = Trie(ranks, [len(s) for s in all_sets], shared)
+    trie = Trie(ranks, [len(s) for s in all_sets], shared, percent)
     for x in range(len(all_sets)):
         trie.probe(x)
         trie.add(x)
     return [trie.find(x) for x in range(len(all_sets))]
 
 
-def link_blocks(texts: DataFrame) -> DataFrame:
+def link_blocks(texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) that connect the linked nodes of each task; ``texts``: task columns, node, text."""
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         own = {}
         for n, t in zip(pdf["node"], pdf["text"], strict=True):
-            if n not in own and node_of(s := shingles(t)) == n:  # rows that repeat a doc_id bring other texts along
+            if n not in own and node_of(s := shingles(t, size)) == n:  # rows that repeat a doc_id bring other texts along
                 own[n] = s
         node = np.array(sorted(own), np.int64)
-        first = join_block([own[n] for n in node.tolist()])
+        first = join_block([own[n] for n in node.tolist()], percent)
         return pd.DataFrame({"u": node, "v": node[first]})[lambda e: e["u"] != e["v"]]
 
     return texts.groupBy("block", "i", "j").applyInPandas(link, "u long, v long")
 
 
-def rooted_rows(docs: DataFrame) -> DataFrame:
+def rooted_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, h, n, root) of every row: root names its component; null without words."""
-    made = materialize(sets(docs), "ngram-sets")
+    made = materialize(sets(docs, size, percent), "ngram-sets")
     nodes = made.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("extra").alias("extra"))
-    posts = materialize(prefix_postings(nodes), "ngram-postings")
+    posts = materialize(prefix_postings(nodes, percent), "ngram-postings")
     least = posts.groupBy("token").agg(F.min("node").alias("v"))
     blocks = connected_components(posts.join(least, "token").select(F.col("node").alias("u"), "v"), "ngram-blocks")
     blocks = materialize(blocks.select("node", F.col("root").alias("block")), "ngram-block-nodes")
@@ -222,23 +223,23 @@ def rooted_rows(docs: DataFrame) -> DataFrame:
     mine = mine.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")))
     dealt = materialize(mine.select("doc_id", "node", "block", pairs.alias("tasks")), "ngram-tasks")
-    roots = connected_components(link_blocks(fetch(docs, dealt)), "ngram-links")
+    roots = connected_components(link_blocks(fetch(docs, dealt), size, percent), "ngram-links")
     rooted = made.select("doc_id", "h", "n", "node").join(roots, "node", "left")
     return materialize(rooted.select("doc_id", "h", "n", F.coalesce("root", "node").alias("root")), "ngram-rooted")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rooted = rooted_rows(docs)
+    rooted = rooted_rows(docs, size, percent)
     names = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(names, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that have the least doc_id (then text hash) of their component, with
     their own columns; of rows with the same doc_id and text, one."""
-    rooted = rooted_rows(docs)
+    rooted = rooted_rows(docs, size, percent)
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
     first = rooted.where("n > 0").groupBy("root").agg(F.min(order).alias("first"))
     marked = rooted.where("n > 0").join(first, "root").groupBy("doc_id", "h").agg(F.max(order != F.col("first")).alias("go"), F.count("*").alias("times"))
