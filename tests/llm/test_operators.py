@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -387,6 +388,19 @@ def test_contamination(spark):
     decontaminate_blocks.undo()
 
 
+@pytest.mark.parametrize("span", range(1, 21))
+def test_every_allowed_substitution_is_found(span):
+    """Lone items of each length, with all substitutions that the rule allows."""
+    item = [f"w{k}" for k in range(span)]
+    block = decontaminate.Benchmark([(1, item), (2, [f"o{k}" for k in range(40)])])
+    core = min(span, decontaminate.SPAN)
+    for differ in itertools.combinations(range(core), core - math.ceil(0.75 * core)):
+        text = " ".join("zz" if k in differ or k >= core else w for k, w in enumerate(item))
+        assert block.overlaps(f"before {text} after") == {1: math.ceil(0.75 * core)}, differ
+    too_many = range(core - math.ceil(0.75 * core) + 1)
+    assert block.overlaps(" ".join("zz" if k in too_many or k >= core else w for k, w in enumerate(item))) == {}
+
+
 # ---- 10 token store
 
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500))

@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 9): spaced-seed hashing.
 
-Words are lowered runs of letters and digits.  Each mask of ``MASKS`` looks at some positions
+Words are lowered runs of letters and digits.  Each mask looks at some positions
 of a window and ignores the others, so a window hashes alike whatever stands at
-the ignored places.  Hashes of all benchmark windows are joined with those of every training
+the ignored places.  An item's masks (``seeds``) are those of its span length: every set of places where
+a span may differ leaves one of them whole, so no overlap is without a hit.  Hashes of all benchmark windows are joined with those of every training
 window (a table of the benchmark's words and hashes goes to the tasks, ``BLOCK_WORDS``
 at a time; a larger benchmark takes several passes).  Each hit fixes an alignment of an
 item with the text; along it, an overlap counts where some ``SPAN`` words in a row (the
@@ -16,9 +17,11 @@ passed over.  Repeated items or rows count once each; empty tables give clean or
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import bounded_batches, documents, id_text, windows
 
-#: Positions that count within a window; shorter items use the contiguous mask of their length.
+#: Positions that count within a window; ``seeds`` adds what these leave open.
 MASKS = ("110110011", "1101011001", "11110001", "1010101011", "10011011")
 SPAN = 13
 SHARE = 0.75
+#: Positions that an added mask looks at, at least; all that must agree where those are fewer.
+WEIGHT = 5
 #: Words of benchmark items that one pass broadcasts (about 100 bytes each with their hashes).
 BLOCK_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
@@ -40,6 +45,28 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+@lru_cache
+def seeds(span: int) -> frozenset[tuple[int, ...]]:
+    """Masks for spans of so many words: whichever places differ, as many as SHARE allows, some
+    mask finds all its positions elsewhere.  MASKS, then the fewest others that a greedy cover needs."""
+    agree = math.ceil(SHARE * span)
+
+    def hits(mask: tuple[int, ...], differ: tuple[int, ...]) -> bool:
+        return any(not {k + p for p in mask}.intersection(differ) for k in range(span - mask[-1]))
+
+    given = [m for m in (tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS) if m[-1] < span]
+    differ = [d for d in combinations(range(span), span - agree) if not any(hits(m, d) for m in given)]
+    best = None
+    for weight in range(agree, min(WEIGHT, agree) - 1, -1):
+        masks = ((0, *rest) for rest in combinations(range(1, span), weight - 1))
+        covers, left, more = {m: {d for d in differ if hits(m, d)} for m in masks}, set(differ), []
+        while left:
+            more.append(max(covers, key=lambda m: len(covers[m] & left)))
+            left -= covers[more[-1]]
+        best = more if best is None or len(more) < len(best) else best
+    return frozenset([*given, *best])
+
+
 class Benchmark:
     """Word numbers, items and sorted window hashes of a block of items."""
 
@@ -48,11 +75,14 @@ class Benchmark:
         self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64)) for i, ws in items]
         r = np.random.default_rng(5)
         self.value = r.integers(1, 1 << 63, len(self.vocab) + 1, np.int64).astype(np.uint64)
-        self.masks = sorted({tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS} | {tuple(range(len(ws))) for _, ws in items if 0 < len(ws) < max(map(len, MASKS))})
+        own = [seeds(min(SPAN, len(ws))) if ws else frozenset() for _, ws in items]
+        self.masks = sorted(frozenset().union(*own))
         self.tables = []
         for mask in self.masks:
             h, item, at = [], [], []
             for k, (_, ids) in enumerate(self.items):
+                if mask not in own[k]:
+                    continue
                 got = windows(self.value[ids], mask[-1] + 1, mask)
                 h.append(got)
                 item.append(np.full(len(got), k))
