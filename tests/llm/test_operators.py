@@ -163,6 +163,22 @@ def test_plain_texts_hold_nothing(text):
     assert pii.all_spans(text)[1] == []
 
 
+@pytest.mark.parametrize("kind,secret", [
+    ("ip", "192.168.O.1l"), ("ip", "172.l6.254.1"), ("ip", "1O.0.0.1"), ("ip", "l.O.0.1"), ("phone", "+1 2O2 555 01l7"), ("phone", "+I 2o2 555 Oll7"),
+    ("card", "4lll llll 1111 1111"), ("card", "4l11 llll llll l1lI"), ("card", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 l"),
+])
+@pytest.mark.parametrize("around", [("", ""), ("I call ", "."), ("I ", " o 1l"), ("(", ")"), ("9 8 7 6 5 4 3 2 1 0 9 8 7 6 5 4 3 2 1 0; ", ", I")])
+def test_letters_for_digits_in_any_run(kind, secret, around):
+    text = around[0] + secret + around[1]
+    if kind == "ip" or around[1] != " o 1l":  # else the number after a card or phone belongs to its run
+        assert (kind, len(around[0]), len(around[0]) + len(secret)) in pii.all_spans(text)[1]
+
+
+@pytest.mark.parametrize("text", ["Il 2 giugno, 1O di loro", "l. 1O.2.3", "I.O.l.I", "+1 2O2 lol", "3OO.1.1.l"])
+def test_letters_for_digits_need_a_rule(text):
+    assert pii.all_spans(text)[1] == []
+
+
 # ---- 4 sharding
 
 def test_only_changed_subtrees_move(spark):

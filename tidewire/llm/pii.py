@@ -100,7 +100,10 @@ DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _ITEM = rf"(?:(?:{WORD})(?![^\W\d_])|[0-9]+)"
 DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:plus[\x20-]+)?{_ITEM}(?:(?:[\x20,-]{{1,3}}|{_DOT}){_ITEM}){{3,}}", re.I)
 SPELLED_ITEM = re.compile(rf"(?P<word>{WORD})(?![^\W\d_])|(?P<num>[0-9]+)|(?P<plus>plus[\x20-]+)|(?P<dot>{_DOT})|(?P<sep>[\x20,-]+)", re.I)
-MIXED_NUMBER = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OoIl][0-9OoIl().\x20-]{8,40}[0-9OoIl](?![A-Za-z0-9])")
+#: Runs of digits and letters like digits; a single letter at an end, apart by a space, may be a digit or a word.
+MIXED_NUMBER = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OoIl][0-9OoIl().\x20-]*[0-9OoIl](?![A-Za-z0-9])")
+MIXED_BETWEEN = re.compile(r"(?<![A-Za-z0-9])(?![OoIl]\x20)[+]?[0-9OoIl][0-9OoIl().\x20-]*[0-9OoIl](?<!\x20[OoIl])(?![A-Za-z0-9])")
+MIXED_IP = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]+(?:\.[0-9OoIl]+){3}(?![A-Za-z0-9])")
 ANY_DIGIT = re.compile("[0-9]")
 #: Cheap tests that come first: without them the costly patterns find nothing to do.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -204,9 +207,15 @@ def _spelled(run: str) -> str | None:
     return "".join(out) if words >= 3 else None
 
 
-def deobfuscate(text: str) -> tuple[Rewrite, list[tuple[int, int, bool]]] | None:
-    """The rewritten text and its source spans of (bare) at/dot disguises; None if
-    nothing was rewritten."""
+def letters_in(text: str, numbers: re.Pattern) -> list[int]:
+    """Places of letters for digits; the rules decide on the copy what the runs are."""
+    runs = (m for pattern in (numbers, MIXED_IP) for m in pattern.finditer(text) if ANY_DIGIT.search(m.group()))
+    return sorted({m.start() + k for m in runs for k, c in enumerate(m.group()) if c in "OoIl"})
+
+
+def deobfuscate(text: str) -> list[tuple[Rewrite, list[tuple[int, int, bool]]]]:
+    """Rewritten texts, each with its source spans of (bare) at/dot disguises: two where letters
+    may be digits or words, none if nothing was rewritten."""
     r = Rewrite(text)
     if not text.isascii():
         table, odd = fold()
@@ -214,29 +223,32 @@ def deobfuscate(text: str) -> tuple[Rewrite, list[tuple[int, int, bool]]] | None
             r.apply([(m.start(), m.end(), table.get(ord(m.group()), "")) for m in re.finditer("[" + "".join(map(re.escape, seen)) + "]", text)])
     if may_spell(r.text):
         r.apply([(m.start(), m.end(), new) for m in DIGIT_RUN.finditer(r.text) if (new := _spelled(m.group()))])
-    edits = []
-    for m in MIXED_NUMBER.finditer(r.text) if ANY_DIGIT.search(r.text) else ():
-        if (bad := sum(c in "OoIl" for c in m.group())) and sum(c.isdigit() for c in m.group()) >= 8 + bad:
-            edits += [(m.start() + k, m.start() + k + 1, c.translate(AS_DIGIT)) for k, c in enumerate(m.group()) if c in "OoIl"]
-    r.apply(edits)
-    edits, marks = [], []
-    for m in DISGUISE.finditer(r.text) if BRACKETED.search(r.text) or BARE_DOT.search(r.text.lower()) else ():
-        edits.append((m.start(), m.end(), "@" if m["at"] else "."))
-        marks.append((*r.source(m.start(), m.end()), m.group().strip()[0] not in "[({<", bool(m["at"])))
-    r.apply(edits)
-    return (r, marks) if r.text != text else None
+    readings = [[]]
+    if ANY_DIGIT.search(r.text):
+        readings = [letters_in(r.text, MIXED_NUMBER)]
+        if readings[0] and (other := letters_in(r.text, MIXED_BETWEEN)) != readings[0]:
+            readings.append(other)
+    out = []
+    for letters in readings:
+        copy = Rewrite(r.text)
+        copy.pieces = r.pieces
+        copy.apply([(k, k + 1, copy.text[k].translate(AS_DIGIT)) for k in letters])
+        edits, marks = [], []
+        for m in DISGUISE.finditer(copy.text) if BRACKETED.search(copy.text) or BARE_DOT.search(copy.text.lower()) else ():
+            edits.append((m.start(), m.end(), "@" if m["at"] else "."))
+            marks.append((*copy.source(m.start(), m.end()), m.group().strip()[0] not in "[({<", bool(m["at"])))
+        copy.apply(edits)
+        if copy.text != text:
+            out.append((copy, marks))
+    return out
 
 
 def all_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans), each by start, then kind."""
     text = text or ""
     base = rules(text)
-    got = deobfuscate(text)
-    if got is None:
-        return base, base
-    r, marks = got
     more = set()
-    for kind, a, b in rules(r.text):
+    for kind, a, b, r, marks in ((*span, *copy) for copy in deobfuscate(text) for span in rules(copy[0].text)):
         s, e = r.source(a, b)
         if any(k == kind and x <= s and e <= y for k, x, y in base):
             continue
