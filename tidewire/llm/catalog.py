@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, quality_rules, secret_scan, sentence_pieces, sharding, token_store
+from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, prefix_trie, quality_rules, recompression, secret_scan, sentence_pieces, sharding, spelling_variants, token_store
 
 QUERIES = {
     "op1_secret_scan": (secret_scan.query, None),
@@ -15,4 +15,7 @@ QUERIES = {
     "op8_line_dedup": (line_dedup.query, None),
     "op9_decontaminate": (decontaminate.query, None),
     "op10_token_store": (token_store.query, None),
+    "op11_recompression": (recompression.query, recompression.SQL),
+    "op12_prefix_trie": (prefix_trie.query, prefix_trie.SQL),
+    "op13_spelling_variants": (spelling_variants.query, None),
 }
