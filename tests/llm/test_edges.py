@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, quality_rules, secret_scan, sentence_pieces, sharding, token_store
+from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, prefix_trie, quality_rules, recompression, secret_scan, sentence_pieces, sharding, spelling_variants, token_store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, gone int, line_no int, token long, _q string"
 PROSE = "the quick brown fox jumps over a lazy dog while seven wizards quietly box with five jumping onyx cats near old mills"
@@ -40,7 +40,7 @@ def tables(spark, docs, tmp_path_factory):
     return out
 
 
-QUERIES = [secret_scan.query, quality_rules.query, pii.query, sharding.query, sentence_pieces.query, language_id.query, ngram_join.query, line_dedup.query, decontaminate.query, token_store.query]
+QUERIES = [secret_scan.query, quality_rules.query, pii.query, sharding.query, sentence_pieces.query, language_id.query, ngram_join.query, line_dedup.query, decontaminate.query, token_store.query, recompression.query]
 
 
 @pytest.mark.parametrize("query", QUERIES, ids=lambda q: q.__module__.rsplit(".", 1)[-1])

@@ -228,15 +228,16 @@ def shared_postings(made: DataFrame) -> DataFrame:
     """(doc_id, h, start, size, times, open): postings that are repeats (times > 1), and those whose symbol
     has other contexts (open: to be looked at window by window; one posting of each context)."""
     posts = made.select("doc_id", "h", F.explode(F.arrays_zip("symbol", "context", "start", "size")).alias("p")).select("doc_id", "h", "p.*")
-    often = posts.groupBy("symbol").count().where("count > 1").select("symbol")
+    # written first: a join of two plain exchanges lets Spark split a symbol that many postings hold
+    often = materialize(posts.groupBy("symbol").count().where("count > 1").select("symbol"), "repeat-symbols")
     shared = materialize(posts.join(often, "symbol", "left_semi"), "repeat-shared")
     me = F.xxhash64("doc_id", "h", "start")
-    contexts = shared.groupBy("symbol", "context").agg(F.count("*").alias("times"), F.max(me).alias("one"))
-    several = contexts.groupBy("symbol").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    contexts = contexts.join(several, "symbol", "left").where("times > 1 OR contexts > 1")
-    rows = shared.join(contexts, ["symbol", "context"]).withColumn("open", F.col("contexts").isNotNull() & (F.col("one") == me)).where("times > 1 OR open")
+    contexts = materialize(shared.groupBy("symbol", "context").agg(F.count("*").alias("times"), F.max(me).alias("one")), "repeat-contexts")
+    several = materialize(contexts.groupBy("symbol").agg(F.count("*").alias("contexts")).where("contexts > 1"), "repeat-several")
+    seen = materialize(contexts.join(several, "symbol", "left").where("times > 1 OR contexts > 1"), "repeat-seen")
+    rows = shared.join(seen, ["symbol", "context"]).withColumn("open", F.col("contexts").isNotNull() & (F.col("one") == me)).where("times > 1 OR open")
     out = materialize(rows.select("doc_id", "h", "start", "size", F.least("times", F.lit(2)).cast("int").alias("times"), "open"), "repeat-postings")
-    dematerialize(shared)
+    dematerialize(often, shared, contexts, several, seen)
     return out
 
 
