@@ -135,3 +135,35 @@ def write_drops(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/drops/{uuid.uuid4().hex}"
     drop_lines(spark, sf_dir).repartition(files).write.text(path)
     return path
+
+
+def relabelled(lines: DataFrame, suffix: str, source: str) -> DataFrame:
+    """Raw lines with ``suffix`` behind the record id and another source."""
+    f = F.split("value", "\t", -1)
+    return lines.select(F.concat_ws("\t", F.concat(f[0], F.lit(suffix)), F.slice(f, 2, 2), F.lit(source), F.slice(f, 5, len(S.RAW_COLUMNS))).alias("value"))
+
+
+def write_zip_drops(lines: DataFrame, folder: str) -> str:
+    """Write raw lines as zipped drops, one per stamp (the first 14 characters), into a shared folder."""
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def write(pdf):
+        import io
+        import zipfile
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+        fs, inner = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        stamp = pdf["stamp"].iloc[0]
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"{stamp}.gkg.csv", "\n".join(pdf["value"]) + "\n")
+        with fs.open_output_stream(f"{inner}/{stamp}.gkg.csv.zip") as f:
+            f.write(buf.getvalue())
+        return pd.DataFrame({"stamp": [stamp]})
+
+    lines.select(F.substring("value", 1, 14).alias("stamp"), "value").groupBy("stamp").applyInPandas(write, "stamp string").agg(F.count("*")).collect()
+    return folder

@@ -1049,3 +1049,6 @@ def q_coerce_text_numbers(spark, d):
 def q_headline_summary_sorted(spark, d):
     """O1 over the flagship's rows."""
     return SU.sort_summary(QUERIES["headline_summary"][0](spark, d))
+
+
+from . import catalog_incremental  # noqa: E402, F401

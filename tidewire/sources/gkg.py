@@ -175,7 +175,8 @@ def scan_range(spark: SparkSession, path: str, start, end, date: str = S.DATE,
     partitions before any file is opened.  An unreadable file fails the read
     unless ``skip_corrupt`` asks to pass over it (``files.corrupt_file_report``
     then says which files those were)."""
-    df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
+    from . import landing
+    df = landing.read_landed(spark, path, skip_corrupt)
     return (df.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
             .where(F.col(date).between(F.lit(start), F.lit(end))))
 
@@ -183,22 +184,27 @@ def scan_range(spark: SparkSession, path: str, start, end, date: str = S.DATE,
 def ingest_missing(spark: SparkSession, drops: str, landed: str, start, end,
                    glob: str = "*.zip") -> list[str]:
     """S16/T4 (batch form): land only the drops of ``[start, end]`` whose
-    15-minute stamp has no landed rows yet; returns the drop files read.
+    15-minute stamp has no published rows yet; returns the drop files read.
 
-    The grid minus landed stamps is a Spark anti join (J8); the drop folder
+    The grid minus the stamps of the manifest is a Spark anti join (J8); the drop folder
     is listed without reading content, and the paths of missing stamps reach
-    the driver one day after the other to name the read.
+    the driver one day after the other to name the read.  Each day is a run of its own
+    (``landing``): written, then published by one manifest file.  A run that fails
+    halfway leaves nothing that counts, so it can be repeated at any time.
     A drop that yielded no rows (corrupt, empty) stays missing and is tried
     again next time (D13).
     """
     from ..operators import grid as G
+    from . import landing
     from .files import _fs
     bounds = spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("start"),
                                    F.lit(end).cast("timestamp_ntz").alias("end"))
     grid = G.interval_grid(bounds)
     fs, p = _fs(spark, landed)
-    if fs.exists(p):
-        missing = G.missing_intervals(grid, spark.read.parquet(landed), landed_ts=S.DATE)
+    if landing.has_manifest(spark, landed):
+        missing = grid.join(landing.published(spark, landed).select(F.col("drop").alias("stamp")), "stamp", "left_anti")
+    elif fs.exists(p) and any(s.getPath().getName().startswith("day=") for s in fs.listStatus(p)):
+        raise ValueError(f"{landed} holds records without a manifest: land new drops in a folder of their own")
     else:
         missing = grid
     listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
@@ -206,15 +212,22 @@ def ingest_missing(spark: SparkSession, drops: str, landed: str, start, end,
     wanted = listing.withColumn("stamp", F.date_format(stamp_from_path(F.col("path")), "yyyyMMddHHmmss"))
     due = wanted.join(missing.select("stamp"), "stamp", "left_semi").select("stamp", "path").orderBy("stamp", "path")
     done: list[str] = []
+
+    def land_day(files: list[str]) -> None:
+        run = landing.new_run()
+        landing.write_run(read_drops(spark, files), landed, run)
+        landing.publish(spark, landed, run)
+        done.extend(files)
+
     day: list[str] = []
     last = None
-    # day by day, at most 96 paths at once; a day's rows replace nothing that is landed
+    # day by day, at most 96 stamps at once
     for stamp, file in due.toLocalIterator():
         if day and stamp[:8] != last:
-            land(read_drops(spark, day), landed)
-            done, day = done + day, []
+            land_day(day)
+            day = []
         last = stamp[:8]
         day.append(file)
     if day:
-        land(read_drops(spark, day), landed)
-    return sorted(done + day)
+        land_day(day)
+    return sorted(done)
