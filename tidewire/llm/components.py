@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import materialize
+from tidewire.session import dematerialize, materialize
 
 
 def _large(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u is tied to the least node among u and its neighbours."""
     both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so the join below has two plain exchanges and Spark can split a hub's edges
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "component-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """u and its smaller neighbours are tied to the least of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "component-least")
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
@@ -31,6 +32,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if state == before or state[0] == 0:
             break
         before = state
-        e = materialize(_small(_large(e)).where("u <> v").distinct(), name)
+        big = materialize(_large(e).distinct(), name)
+        after = materialize(_small(big).where("u <> v").distinct(), name)
+        dematerialize(e, big)
+        e = after
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select("v", "v").distinct())

@@ -10,14 +10,13 @@ always stay and match nothing.
    the join exact; a rarer prefix only makes it cheaper.
 2. Of equal sets all but the first line go.
 3. Prefix filter: similar sets of sizes n share a token among their first
-   n - ceil(t n) + 1.  In each token's group, in the order of the lines, a line meets the first
-   ``LEADERS`` lines, and, where none of them passes the filters, all other earlier lines
-   of the group.  Pairs that pass the length, positional and bitmap filters are verified on
+   n - ceil(t n) + 1.  In each token's group, in the order of the lines, a line first meets the
+   ``LEADERS`` lines that come first.  Pairs that pass the length, positional and bitmap filters are verified on
    whole sets.  (Bitmap: each token flips one of 64 bits, of 128 in large sets; two sets differ in
    no fewer tokens than their bitmaps do in bits.)
-4. Lines for which a leader passed the filters, but no pair the verification, then meet
-   their whole groups.  So a large group of near copies costs a few pairs a line, and no
-   pair is left out for a line that stays.
+4. Lines that are similar to none of them meet all other earlier lines of their groups.  A line that goes needs one
+   similar line and no more, so a family of near copies costs a few pairs a line, in whichever of its
+   groups a member leads, and no pair is left out for a line that stays.
 
 Nulls: a null text stays null; a null doc_id comes first.  Rows that share a doc_id, or have none, are
 rows of their own, ordered by a hash of their text; of rows with the same doc_id and text all but one
@@ -30,21 +29,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import SPACES, documents, split_words
-from tidewire.session import materialize
+from tidewire.session import materialize, written_bytes
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
 LEADERS = 3
 #: Sets of so many tokens have a bitmap of 128 bits; smaller ones tell apart by 64.
 LONG = 60
-#: Rows up to which a table of line places is broadcast (about 40 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of Parquet up to which a written table of line places is broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 16 << 20
 MIN_ID = -(1 << 63)
 
 
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a written table if it is small by count; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def bounded_broadcast(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Broadcast a written table (or ``df``, that is ``table`` under other names) if its files are small; else
+    leave the join to Spark."""
+    return F.broadcast(df) if written_bytes(df if table is None else table) <= BROADCAST_BYTES else df
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -54,11 +54,11 @@ def explode_lines(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> Column:
     """Foldable array: frequency class (binary logarithm) of each bucket's tokens.
-    A token's bucket is its hash's low bits."""
+    A token's bucket is its hash's low bits.  The classes stand in one plan, that of ``keyed_lines``."""
     h = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
     n = docs.select(F.explode(split_words(F.lower("text"))).alias("w")).groupBy(h).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
     classes = [0] * BUCKETS
-    for b, c in n.toPandas().itertuples(index=False):  # at most BUCKETS rows
+    for b, c in n.toLocalIterator():  # at most BUCKETS rows
         classes[b] = c
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
@@ -104,14 +104,14 @@ def may_match(x: Column, y: Column) -> Column:
             & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= need) & (differ <= x["n"] + y["n"] - 2 * need))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (x: place of the earlier line, y: of the later) that are similar, by
     their whole sets.  Lines are fetched by their places."""
     pairs = materialize(pairs, "line-pairs")
     places = materialize(pairs.select("x.*").union(pairs.select("y.*")).distinct(), "line-places")
     wanted = bounded_broadcast(materialize(places.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos")), "line-docs"))
     lines = explode_lines(docs.join(wanted, "doc_id").select("doc_id", "text"))
-    keyed = lines.join(bounded_broadcast(places), ["doc_id", "line_no"]).select("doc_id", "line_no", token_set(F.col("line"), classes).alias("keys"))
+    keyed = lines.join(bounded_broadcast(places), ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(F.transform(split_words(F.lower("line")), lambda w: F.xxhash64(w))).alias("keys"))
     sets = materialize(keyed.groupBy("doc_id", "line_no").agg(F.collect_set("keys").alias("sets")), "line-sets")
     side = lambda s: sets.select(F.struct("doc_id", "line_no").alias(s), F.col("sets").alias(f"{s}_sets"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
@@ -123,37 +123,33 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     return both.where(F.exists("x_sets", lambda a: F.exists("y_sets", lambda b: similar(a, b)))).select("x", "y")
 
 
-def postings(firsts: DataFrame) -> DataFrame:
-    """(token, p: place, size, position, bitmap) of the prefix tokens."""
+def postings(firsts: DataFrame, *marks: str) -> DataFrame:
+    """(token, p: place, size, position, bitmap and ``marks``) of the prefix tokens of lines that a line of other
+    tokens can be similar to."""
     at = F.struct("doc_id", "line_no")
-    rows = firsts.select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits", "high").where("token IS NOT NULL")  # joins ask for it: said here, all reads share one plan
-    return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits", "high").alias("p"))
+    pairable = F.floor(F.col("n") / THRESHOLD + 1e-9) > F.col("n")
+    rows = firsts.where(pairable).select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits", "high", *marks).where("token IS NOT NULL")  # joins ask for it: said here, all reads share one plan
+    return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits", "high", *marks).alias("p"))
 
 
-def similar_firsts(firsts: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
-    """(y, x): places of lines and of the first of the earlier lines that are similar to them.
+def similar_firsts(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(y, x): places of lines and of an earlier line that is similar to them, the first of those found.
     ``firsts``: keyed lines, one for each distinct set."""
     posts = postings(firsts).repartition("token")
     group = Window.partitionBy("token").orderBy("p.at")
     leaders = F.array(*(F.nth_value("p", k + 1).over(group.rowsBetween(Window.unboundedPreceding, 0)) for k in range(LEADERS)))
-    ranked = posts.select("token", "p", F.row_number().over(group).alias("rank"), leaders.alias("leaders"))
     met = F.transform(F.filter("leaders", lambda x: F.coalesce(may_match(x, F.col("p")), F.lit(False))), lambda x: x["at"])
-    ranked = ranked.select("token", "p", "rank", met.alias("met"))
-    # all three reads of ``ranked`` share one exchange
-    led = ranked.where(F.size("met") > 0).select(F.explode("met").alias("x"), F.col("p.at").alias("y"), (F.col("rank") > LEADERS + 1).alias("partly"))
-    alone = ranked.where((F.size("met") == 0) & (F.col("rank") > LEADERS + 1)).alias("y")
-    others = ranked.where(F.col("rank") > LEADERS).select("token", "p", "rank").alias("x")
-    rest = others.join(alone, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
-    rest = rest.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y"), F.lit(False).alias("partly"))
-    met = materialize(led.unionByName(rest).groupBy("x", "y").agg(F.max("partly").alias("partly")), "line-candidates")
-    one = materialize(verified(met.select("x", "y"), docs, classes), "line-matches")
-    # lines that met leaders of a larger group, and were similar to nothing after all: against the whole group
-    open_lines = met.where("partly").select("y").distinct().join(one.select("y").distinct(), "y", "left_anti").select("y.*")
-    open_lines = materialize(open_lines, "open-lines")
-    theirs = materialize(postings(firsts.join(bounded_broadcast(open_lines), ["doc_id", "line_no"])), "open-postings")
-    tokens = bounded_broadcast(materialize(theirs.select("token").distinct(), "open-tokens"))
-    pairs = postings(firsts).join(tokens, "token").alias("x").join(theirs.alias("y"), (F.col("x.token") == F.col("y.token")) & may_match(F.col("x.p"), F.col("y.p")))
-    two = verified(pairs.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs, classes)
+    led = posts.select("p", leaders.alias("leaders")).select(F.explode(met).alias("x"), F.col("p.at").alias("y")).distinct()
+    one = materialize(verified(led, docs), "line-matches")
+    # lines that are similar to no leader: against all other earlier lines
+    gone = materialize(one.select("y.*").distinct().withColumn("gone", F.lit(True)), "line-matched")
+    marked = firsts.join(bounded_broadcast(gone), ["doc_id", "line_no"], "left").withColumn("open", F.col("gone").isNull())
+    ranked = postings(marked, "open").repartition("token").select("token", "p", F.row_number().over(group).alias("rank"))
+    # both reads of ``ranked`` share one exchange
+    x = ranked.where(F.col("rank") > LEADERS).alias("x")
+    y = ranked.where((F.col("rank") > LEADERS + 1) & F.col("p.open")).alias("y")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
+    two = verified(rest.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs)
     return one.unionByName(two).groupBy("y").agg(F.min("x").alias("x"))
 
 
@@ -164,9 +160,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(keyed_lines(docs, classes), "keyed-lines")
     at = F.struct("doc_id", "line_no")
     first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"))
-    again = materialize(lines.select("doc_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "line_no"), "equal-lines")
-    firsts = lines.join(bounded_broadcast(again.distinct()), ["doc_id", "line_no"], "left_anti")
-    best = similar_firsts(firsts, docs, classes).select("y.doc_id", "y.line_no")
+    again = materialize(lines.select("doc_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "line_no").distinct(), "equal-lines")
+    firsts = lines.join(bounded_broadcast(again), ["doc_id", "line_no"], "left_anti")
+    best = similar_firsts(firsts, docs).select("y.doc_id", "y.line_no")
     # lines equal to an earlier line, and first lines of their set that are similar to an earlier line
     return again.union(best).distinct()
 
@@ -219,9 +215,10 @@ def keep_lines(text: Column, gone: Column) -> Column:
 def with_gone(docs: DataFrame) -> DataFrame:
     """(_row: the row itself, text, gone) of every row of ``docs``."""
     rows = keyed_rows(docs)
-    gone = gone_lists(rows).withColumnRenamed("doc_id", "_key")
+    lists = gone_lists(rows)
+    gone = bounded_broadcast(lists.withColumnRenamed("doc_id", "_key"), lists)
     mine = F.when(F.col("_again"), worded_lines(F.col("text"))).otherwise(F.col("gone"))
-    return rows.join(bounded_broadcast(gone), "_key", "left").select("_row", "text", mine.alias("gone"))
+    return rows.join(gone, "_key", "left").select("_row", "text", mine.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:

@@ -217,12 +217,12 @@ def rooted_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     least = posts.groupBy("token").agg(F.min("node").alias("v"))
     blocks = connected_components(posts.join(least, "token").select(F.col("node").alias("u"), "v"), "ngram-blocks")
     blocks = materialize(blocks.select("node", F.col("root").alias("block")), "ngram-block-nodes")
-    owners = made.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("d"), F.first("n").alias("n"))
-    mine = blocks.join(owners, "node").select("node", "block", "n", F.col("d.doc_id").alias("doc_id"))
+    owners = made.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("d"), F.first("n").alias("n"))
+    mine = blocks.join(owners, "node").select("node", "block", "n", F.col("d.doc_id").alias("doc_id"), F.col("d.h").alias("h"))
     sizes = mine.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     mine = mine.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")))
-    dealt = materialize(mine.select("doc_id", "node", "block", pairs.alias("tasks")), "ngram-tasks")
+    dealt = materialize(mine.select("doc_id", "h", "node", "block", pairs.alias("tasks")), "ngram-tasks")
     roots = connected_components(link_blocks(fetch(docs, dealt), size, percent), "ngram-links")
     rooted = made.select("doc_id", "h", "n", "node").join(roots, "node", "left")
     return materialize(rooted.select("doc_id", "h", "n", F.coalesce("root", "node").alias("root")), "ngram-rooted")
@@ -255,9 +255,10 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
 
 
 def fetch(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """The text of each node's owner, once for each of its tasks."""
-    own = dealt.withColumnRenamed("doc_id", "_owner")
-    rows = id_text(docs).join(bounded_broadcast(own), F.col("doc_id").eqNullSafe(F.col("_owner")))
+    """The text of each node's owner, once for each of its tasks.  Owners are known by their id and a hash of
+    their text, so rows without an id meet their own nodes only."""
+    own = dealt.select(F.col("doc_id").alias("_owner"), F.col("h").alias("_h"), "block", "tasks", "node")
+    rows = id_text(docs).withColumn("h", F.xxhash64("text")).join(bounded_broadcast(own, dealt), F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("h") == F.col("_h")))
     return rows.select("block", F.explode("tasks").alias("t"), "node", "text").select("block", "t.i", "t.j", "node", "text")
 
 
