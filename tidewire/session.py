@@ -99,6 +99,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def written_bytes(table) -> int:
+    """Bytes of the files of a table that ``materialize`` wrote."""
+    spark, path = table.sparkSession, table._materialized_at
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def dematerialize(*tables) -> None:
     """Delete the folders of tables that ``materialize`` wrote and nobody reads any more."""
     for t in tables:
