@@ -39,8 +39,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("benchmark_decontamination", benchmark), ("sentencepiece", pieces)]
 
-#: The SentencePiece and risk-control stages have no SQL form; tests/llm holds the
-#: rows against a brute-force version.
+#: The SentencePiece and risk-control stages have no SQL form.  tests/llm holds each operator
+#: against a brute-force version; one of the whole pipeline is still to be written.
 ORACLE_SQL = None
 
 
