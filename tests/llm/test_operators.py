@@ -59,7 +59,7 @@ def test_network_finds_secrets_without_a_keyword():
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     plain = lambda: "".join(rng.choice(["the", "ing", "er", "on", "and", "st"]) for _ in range(6))
     texts, y = [], []
-    for k in range(600):
+    for k in range(1000):
         value = hexes(18) if k % 2 else rng.choice([plain(), str(rng.randrange(10**15, 10**16))])
         text = f"{plain()} {plain()} {'password=' if k % 2 else ''}{value} {plain()}"
         at = text.index(value)
@@ -70,7 +70,7 @@ def test_network_finds_secrets_without_a_keyword():
     net.fit(texts[:400], y[:400])
     net.calibrate(net.logits(texts[400:500]), y[400:500])
     bare = ["\0" * secret_scan.LEFT + t[secret_scan.LEFT:] for t in texts[500:]]
-    net.set_cuts(net.probability(bare), y[500:], np.zeros(100, int), 0.97)
+    net.set_cuts(net.probability(bare), y[500:], np.zeros(500, int), 0.97)
     found = net.probability(bare) >= net.cut[0]
     assert found[y[500:] > 0].mean() >= 0.95 and found[y[500:] == 0].mean() <= 0.05
 
