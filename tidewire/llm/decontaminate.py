@@ -5,7 +5,7 @@ of a window and ignores the others, so a window hashes alike whatever stands at
 the ignored places.  An item's masks (``seeds``) are those of its span length: every set of places where
 a span may differ leaves one of them whole, so no overlap is without a hit.  Hashes of all benchmark windows are joined with those of every training
 window (a table of the benchmark's words and hashes goes to the tasks, ``BLOCK_WORDS``
-at a time; a larger benchmark takes several passes).  Each hit fixes an alignment of an
+at a time; a larger benchmark takes several passes, each written before the next block is sent).  Each hit fixes an alignment of an
 item with the text; along it, an overlap counts where some ``SPAN`` words in a row (the
 whole item if it is shorter) agree in at least ``SHARE`` of the places.  A text with an overlap is
 contaminated.
@@ -25,10 +25,12 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import bounded_batches, documents, id_text, windows
+from tidewire.session import dematerialize, materialize
 
 #: Positions that count within a window; ``seeds`` adds what these leave open.
 MASKS = ("110110011", "1101011001", "11110001", "1010101011", "10011011")
@@ -38,6 +40,8 @@ SHARE = 0.75
 WEIGHT = 5
 #: Words of benchmark items that one pass broadcasts (about 100 bytes each with their hashes).
 BLOCK_WORDS = 500_000
+#: Hits of windows that are held at a time before equal alignments become one.
+PAIRS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -103,8 +107,16 @@ class Benchmark:
             if not len(where):
                 continue
             lo, hi = np.searchsorted(h, got[where], "left"), np.searchsorted(h, got[where], "right")
-            for w, a, b in zip(where[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                out.update(zip(item[a:b].tolist(), (w - at[a:b]).tolist(), strict=True))
+            size = hi - lo
+            ends = np.cumsum(size)
+            a = 0
+            while a < len(where):  # as many windows at a time as make about PAIRS hits
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+                n = size[a:b]
+                of = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hits = np.unique(np.stack([item[of], np.repeat(where[a:b], n) - at[of]]), axis=1)
+                out.update(zip(*hits.tolist(), strict=True))
+                a = b
         return out
 
     def overlaps(self, text: str | None) -> dict[int, int]:
@@ -143,10 +155,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
         yield Benchmark(items)
 
 
-def _scan(rows: DataFrame, block: Benchmark) -> DataFrame:
+def _scan(rows: DataFrame, shared: Broadcast) -> DataFrame:
     """Add ``_hits`` (item, matched) of one block to rows that have ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             yield pd.Series([[{"item": i, "matched": m} for i, m in sorted(shared.value.overlaps(t).items())] for t in series])
@@ -156,11 +166,22 @@ def _scan(rows: DataFrame, block: Benchmark) -> DataFrame:
 
 
 def overlaps(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``rows`` with array ``_hits`` of the benchmark items found in ``text``."""
-    bounded_batches(rows.sparkSession)
+    """``rows`` with array ``_hits`` of the benchmark items found in ``text``.  Only the last block stays
+    in the plan that is returned; after each earlier one the rows are written and the block is given up,
+    so driver and tasks hold one block at a time."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
     rows = rows.withColumn("_hits", F.array().cast("array<struct<item:long,matched:long>>"))
+    shared = written = None
     for block in blocks(benchmark):
-        rows = _scan(rows, block)
+        if shared is not None:
+            rows, before = materialize(rows, "benchmark-pass"), written
+            shared.destroy()
+            written = rows
+            if before is not None:
+                dematerialize(before)
+        shared = spark.sparkContext.broadcast(block)
+        rows = _scan(rows, shared)
     return rows
 
 

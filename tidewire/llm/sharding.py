@@ -11,8 +11,8 @@ region of its own under the root, so no other subtree's weight changes and the n
 shard is the only place that takes rows.
 
 Nulls: a null doc_id is a key like any other; a null text has no bytes (size 16,
-crc 0).  Rows that repeat a doc_id go to the same shard and take neighbouring slots.
-Empty tables give empty results; other columns are ignored.
+crc 0).  Rows that repeat a doc_id go to the same shard; rows alike in doc_id, crc and size
+take neighbouring slots.  Ties between draws go to the smaller child.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SHARDS, REGIONS, RACKS = 40, 4, 2
 ROW_BYTES = 16
 #: Rows that one slot-numbering bucket holds on average.
 BUCKET_ROWS = 50_000
+#: Copies of a row that one array lists when they are written out again.
+RUN = 100_000
 
 #: region -> rack -> shard -> weight
 Tree = dict[int, dict[int, dict[int, float]]]
@@ -85,14 +87,20 @@ def crc32_text(texts: pd.Series) -> pd.Series:
 
 
 def slots(df: DataFrame, shard: str, order: list[str], rows: int) -> DataFrame:
-    """Add ``slot``: gapless from 0 within each shard.  Rows are numbered in hash
-    buckets of bounded size, whose offsets come from the table of bucket counts."""
+    """Add ``slot``: gapless from 0 within each shard.  Equal rows are counted first and
+    written out again at the end in runs of bounded length, so no task holds a hot row's copies;
+    different ones are numbered in hash buckets of bounded size, whose offsets come from the table
+    of bucket counts."""
     buckets = 1 + rows // BUCKET_ROWS
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order[:1]), F.lit(buckets)).cast("int"))
-    counts = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    ahead = counts.select(F.col(shard), "_bucket", (F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("_n")).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order)) - 1
-    return df.withColumn("_inside", inside).join(ahead, [shard, "_bucket"]).withColumn("slot", (F.col("_ahead") + F.col("_inside")).cast("long")).drop("_bucket", "_inside", "_ahead")
+    kept = df.columns
+    df = df.groupBy(*kept).agg(F.count("*").alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = df.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_all"))
+    ahead = counts.select(F.col(shard), "_bucket", (F.sum("_all").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("_all")).alias("_ahead"))
+    inside = F.sum("_n").over(Window.partitionBy(shard, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    df = df.withColumn("_first", inside).join(ahead, [shard, "_bucket"]).withColumn("_first", F.col("_first") + F.col("_ahead"))
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    at = F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN, F.col("_n")) - 1))
+    return runs.withColumn("_at", at).select(*kept, (F.col("_first") + F.col("_at")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, t: Tree, grown: Tree) -> DataFrame:
