@@ -1051,4 +1051,4 @@ def q_headline_summary_sorted(spark, d):
     return SU.sort_summary(QUERIES["headline_summary"][0](spark, d))
 
 
-from . import catalog_incremental  # noqa: E402, F401
+from . import catalog_files, catalog_incremental  # noqa: E402, F401

@@ -75,7 +75,7 @@ def cleaned_articles(enriched: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ batch entry points
 def run_batch(spark, landed: str, start, end, sites, themes, locations, categories: dict,
               pages: DataFrame, cache: DataFrame | None, acronyms, out: str | None = None,
-              cache_out: str | None = None) -> DataFrame:
+              cache_out: str | None = None, cache_store: str | None = None) -> DataFrame:
     """The monthly/yearly batch run as one job (reference ``run_batch``).
 
     Landed records of the inclusive range (partition-pruned scan) -> F7
@@ -84,17 +84,24 @@ def run_batch(spark, landed: str, start, end, sites, themes, locations, categori
     the result is written partitioned by month (T8: one job, no month loop);
     either way the enriched DataFrame is returned.  ``cache_out`` names a folder
     for the headline cache with this run's headlines, slugs and misses added, so
-    the next run extracts only what is new.
+    the next run extracts only what is new.  ``cache_store`` names a bucketed cache
+    (``headline_store``) that is read when no ``cache`` is given and of which only
+    the buckets with new entries are rewritten.
     """
     from ..session import materialize
     from ..operators import headlines as H
     from ..sources import gkg
+    from ..sources import headline_store as HS
+    if cache is None and cache_store and HS.store_buckets(spark, cache_store):
+        cache = HS.read_store(spark, cache_store).drop("bucket")
     recs = gkg.scan_range(spark, landed, start, end)
     f = FL.filter_articles(recs, start, end, sites, themes, locations)
     f = materialize(D.dedup_records(C.drop_columns(f.drop("day"))), "filtered")
     resolved = materialize(H.resolve_headlines(f.select(F.col(S.URL).alias("url")), pages, cache, acronyms), "headlines")
     if cache_out:
         written_back(cache, resolved).write.mode("overwrite").parquet(cache_out)
+    if cache_store:
+        HS.upsert_store(spark, cache_store, written_back(None, resolved))
     enriched = enrich_articles(H.attach_headlines(f, resolved), categories)
     if out:
         (enriched.withColumn("month", F.date_format(S.DATE, "yyyy-MM"))
