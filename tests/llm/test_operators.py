@@ -264,6 +264,47 @@ def test_chunks_have_the_same_features(monkeypatch):
         assert (np.sort(np.concatenate(list(language_id.features(text)))) == whole).all()
 
 
+def plain_buckets(text):
+    """Hashed 1- to 3-grams of a text, letter by letter."""
+    c = [0, *(ord(x) if x.isalpha() else 0 for x in text.lower()), 0]
+    hashes = [x * 0x85EBCA6B for x in c if x]
+    hashes += [(b + a * 0x01000193) % 2**32 * 0xC2B2AE35 + 1 for a, b in itertools.pairwise(c) if a or b]
+    hashes += [(z + b * 0x01000193 + a * 0x9E3779B1) % 2**32 * 0x27D4EB2F + 2 for a, b, z in zip(c, c[1:], c[2:], strict=False) if b]
+    return collections.Counter(((h := x % 2**32) ^ h >> 15) * 0x2C1B3C6D % 2**32 >> 17 for x in hashes)
+
+
+def test_languages_equal_a_plain_multinomial(spark, monkeypatch):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(9001, "zz", "l2"), (9002, "zz", "l1"), (9003, None, None), (9004, "12 !", "l1"), (9005, "q" * 40, None), (None, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for d, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(d).encode()) % 5:
+            seen[lang] += plain_buckets(t)
+            n_docs[lang] += 1
+    logs = {x: (math.log(n_docs[x] / n_docs.total()), c, c.total() + language_id.BUCKETS * 0.5) for x, c in seen.items()}
+    want = {}
+    for d, t, _ in rows:
+        f = plain_buckets(t or "")
+        total = {x: p + sum(n * math.log((c[b] + 0.5) / z) for b, n in f.items()) for x, (p, c, z) in logs.items()}
+        best = max(sorted(total), key=total.get)
+        want[d] = (best, 1 / sum(math.exp(v - total[best]) for v in total.values())) if f else ("und", 0.0)
+    for entries in (1 << 20, 50):  # 50: a text's sparse rows are added in many steps
+        monkeypatch.setattr(language_id, "ENTRIES", entries)
+        model = language_id.train(docs)
+        langs, scores = model.predict([t for _, t, _ in rows])
+        for (d, _, _), lang, score in zip(rows, langs, scores, strict=True):
+            assert lang == want[d][0] and score == pytest.approx(want[d][1], abs=1e-4), d
+    got = language_id.identify(docs, model).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == want[r.doc_id][0] for r in got)
+
+
+def test_language_ties_go_to_the_first(spark):
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5][:4]
+    docs = spark.createDataFrame([(ids[0], "abc", "zz"), (ids[1], "abc", "aa"), (ids[2], "abc", None)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 6)) for r in language_id.identify(docs, language_id.train(docs)).collect()} == {("aa", 0.5)}
+
+
 # ---- 7 n-gram join
 
 def brute_components(texts, percent=85):
@@ -424,6 +465,7 @@ def test_every_allowed_substitution_is_found(span):
 def test_codes_round_trip(ids):
     p = token_store.Packed(token_store.pack(np.array(ids, np.uint32)))
     assert p.all().tolist() == ids and [p[i] for i in range(len(ids))] == ids and len(p) == len(ids)
+    assert p.at(np.arange(len(ids))).tolist() == ids and p.at(np.arange(len(ids))[::-7]).tolist() == ids[::-7]
 
 
 def test_store_equals_the_tokenizer(spark, texts):
@@ -434,9 +476,23 @@ def test_store_equals_the_tokenizer(spark, texts):
     for d, t in sorted(texts.items()):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (got[d].first_id, got[d].last_id, got[d].probe_id) == (ids[0], 2, ids[got[d].probe]) and got[d].probe == got[d].ids_crc32 % len(ids)
         start += len(ids)
 
 
+def test_rows_that_share_an_id_fill_many_parts(spark, tmp_path):
+    """One id, or none, on all rows: still many tasks, and starts without gaps."""
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, null, 7L) doc_id", "concat('word ', id % 50) text")
+    token_store.write_store(docs, f"{tmp_path}/store", public_tokenizers.path("word_bpe_49k.json"))
+    assert spark.read.parquet(f"{tmp_path}/store").select("part").distinct().count() > 4
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_store.read_store(spark, f"{tmp_path}/store").collect())
+    at = 0
+    for start, n, _ in got:
+        assert start == at
+        at += n
+    assert len(got) == 3000 and [d for _, _, d in got] == [None] * 1000 + [7] * 2000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["the", "Don't", "we'll", "É", "é", "İstanbul", "ΟΔΟΣ", "<|endoftext|>", "<|EndOfText|>", "12a", "foo).", "...", " ", "\n", "\t", "\x1c", "　", "中文", "ﬁ", "ǅ"]), max_size=12).map("".join))
 def test_words_are_encoded_like_texts(text):

@@ -5,7 +5,7 @@ code points that hold a letter are hashed into ``BUCKETS``.  Counts of
 (language, bucket) cover every labelled document that is not held out (the remainder
 of crc32 of its id by ``FOLDS`` is not 0).  The table of log probabilities has
 languages x BUCKETS entries, whatever the size of the corpus, and is broadcast; the
-texts are scored in numpy.
+texts of an Arrow batch are scored together in numpy, as sparse rows of (bucket, count).
 
 Nulls: a text that is null or has no letter is ``und`` with score 0; rows without lang
 or doc_id teach nothing (a null doc_id isn't held out).  With no rows to learn from,
@@ -16,7 +16,7 @@ rows each count and each give a row; other columns are ignored.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ FOLDS = 5
 SMOOTHING = 0.5
 #: Code points that are turned into features at once.
 CHUNK = 1 << 18
+#: Sparse entries that are multiplied at once.
+ENTRIES = 1 << 20
 
 _LETTER: list[np.ndarray] = []
 
@@ -87,15 +89,41 @@ class Model:
         self.prior = np.log(prior / prior.sum()) if len(self.langs) else prior
         self.logs = np.log(c / c.sum(axis=0)).astype(np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        total, any_letter = self.prior.copy(), False
-        for f in features(text) if text and self.langs else ():
-            any_letter |= len(f) > 0
-            total += self.logs[f].sum(axis=0, dtype=np.float64)
-        if not any_letter:
-            return "und", 0.0
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+        """Labels and scores of a batch: sparse rows of (bucket, count), multiplied together."""
+        total, some = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts), bool)
+        rows: list[int] = []
+        buckets: list[np.ndarray] = []
+        ns: list[np.ndarray] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for f in features(text) if text and self.langs else ():
+                if not len(f):
+                    continue
+                some[k], c = True, np.bincount(f, minlength=BUCKETS)
+                at = np.flatnonzero(c)
+                rows.append(k)
+                buckets.append(at)
+                ns.append(c[at])
+                size += len(at)
+                if size >= ENTRIES:
+                    self._add(total, rows, buckets, ns)
+                    rows, buckets, ns, size = [], [], [], 0
+        self._add(total, rows, buckets, ns)
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best = total.argmax(axis=1)
+        score = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        return [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0)
+
+    def _add(self, total: np.ndarray, rows: list[int], buckets: list[np.ndarray], ns: list[np.ndarray]) -> None:
+        """Add the product of sparse rows (a text may have several) and the log probabilities."""
+        if not rows:
+            return
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in buckets])[:-1]])
+        at, n = np.concatenate(buckets), np.concatenate(ns).astype(np.float64)
+        for lang in range(len(self.langs)):
+            np.add.at(total[:, lang], rows, np.add.reduceat(self.logs[at, lang] * n, starts))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -111,8 +139,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            got = [m.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"].astype(bool), "lang_pred": [x for x, _ in got], "score": [float(s) for _, s in got]})
+            langs, scores = m.predict(pdf["text"].tolist())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"].astype(bool), "lang_pred": langs, "score": scores})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return unsealed(sealed(rows).mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double"))

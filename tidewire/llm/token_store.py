@@ -11,7 +11,8 @@ format above): ``part, seg, docs, tokens, payload``, where the payload starts wi
 the doc ids and lengths of the segment.  Segments follow ascending doc_id.
 
 Nulls: a null text is empty (only the end id); a null doc_id sorts first and stays
-null.  Rows that repeat a doc_id stay separate rows in the order of their texts.
+null.  Rows that repeat a doc_id stay separate rows, ordered by the hash of their texts, then
+by their texts; so one id (or no id) on many rows fills many tasks.
 Empty tables give an empty store.  Other columns are ignored.
 """
 
@@ -34,6 +35,8 @@ from tidewire.session import ensure_checkpoint_dir
 
 END_ID = 2
 BLOCK = 512
+#: Places that are looked up at once.
+PLACES = 1 << 14
 SEGMENT_TOKENS = 1 << 18
 #: Words a worker remembers; beyond it the memory starts afresh.
 KEEP_WORDS = 800_000
@@ -95,6 +98,25 @@ class Packed:
             i = rank + int(np.bitwise_count(np.uint8(bits[i >> 3] & ((1 << (i & 7)) - 1))))
         return value
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Random access to many places, as ``__getitem__`` does for one."""
+        out = np.zeros(len(places), np.uint32)
+        for a in range(0, len(places), PLACES):
+            i = np.asarray(places[a : a + PLACES], np.int64)
+            value, live = out[a : a + PLACES], np.arange(len(i))
+            for level, (chunks, bits, ones) in enumerate(self.levels):
+                value[live] |= chunks[i].astype(np.uint32) << np.uint32(8 * level)
+                more = (bits[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)
+                live, i = live[more], i[more]
+                if not len(i):
+                    break
+                first = i // BLOCK * (BLOCK // 8)
+                near = first[:, None] + np.arange(BLOCK // 8)
+                full = np.where(near < (i >> 3)[:, None], np.bitwise_count(bits[np.minimum(near, len(bits) - 1)]), 0).sum(axis=1, dtype=np.int64)
+                below = bits[i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8)
+                i = ones[i // BLOCK].astype(np.int64) + full + np.bitwise_count(below)
+        return out
+
     def all(self) -> np.ndarray:
         """Every id, level by level."""
         out = self.levels[0][0].astype(np.uint32)
@@ -235,12 +257,17 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = EN
         if ids:
             yield pd.DataFrame({"part": [part], "seg": [seg], "tokens": [size], "payload": [segment(keys, ids)]})
 
-    rows = sealed(id_text(docs)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = sealed(id_text(docs)).withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     rows.mapInPandas(encode, "part int, seg int, tokens long, payload binary").write.parquet(out)
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document of a store."""
+    """(doc_id, start, n_tokens, ids_crc32, first_id, last_id, probe, probe_id[, ids]) of each document of a store.
+
+    The first and last id and the one at place ``probe`` (``ids_crc32`` modulo ``n_tokens``) are
+    read by rank directories alone."""
+    bounded_batches(spark)
     segs = spark.read.parquet(path)
     # tokens before each part, then before each segment of a part: two small windows
     parts = segs.groupBy("part").agg(F.sum("tokens").alias("n"))
@@ -254,11 +281,15 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
                 keys, lens, packed = read_segment(data)
                 ids, cuts = packed.all().astype("<u4"), np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
                 parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                out = pd.DataFrame({"doc_id": keys, "start": int(start) + cuts[:-1], "n_tokens": lens.astype(np.int64), "ids_crc32": [zlib.crc32(x.tobytes()) for x in parts]})
+                crcs = np.array([zlib.crc32(x.tobytes()) for x in parts], np.int64)
+                probe = crcs % lens
+                first, last, some = (packed.at(x).astype(np.int64) for x in (cuts[:-1], cuts[1:] - 1, cuts[:-1] + probe))
+                out = pd.DataFrame({"doc_id": keys, "start": int(start) + cuts[:-1], "n_tokens": lens.astype(np.int64), "ids_crc32": crcs,
+                                    "first_id": first, "last_id": last, "probe": probe, "probe_id": some})
                 yield out.assign(ids=[x.astype(np.int64) for x in parts]) if with_ids else out
 
     rows = segs.join(starts, ["part", "seg"]).select("seg_start", "payload")
-    return unsealed(rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids))
+    return unsealed(rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long, probe long, probe_id long" + ", ids array<long>" * with_ids))
 
 
 def token_at(payload: bytes, i: int) -> int:
