@@ -185,8 +185,15 @@ class WordTokenizer:
         if len(known) > KEEP_WORDS:
             known.clear()
             known[""] = b""
-        letters, odd, built = {}, {}, []
+        letters, odd, built, capital = {}, {}, [], []
         for w in miss:
+            if w.isascii() and w.isalpha():
+                low = w.lower()
+                if low not in known:
+                    letters[low] = None
+                if low != w:
+                    capital.append((w, low))
+                continue
             if w.isascii():
                 parts = PRE_TOKEN.findall(w.translate(LOWER)) if PLAIN.fullmatch(w) and "<|" not in w else [w]
             else:
@@ -202,6 +209,8 @@ class WordTokenizer:
                 built.append((w, parts))
         self._words(list(letters))
         self._each(list(odd))
+        for w, low in capital:
+            known[w] = known[low]
         for w, parts in built:
             known[w] = b"".join([known[p] for p in parts])
 
