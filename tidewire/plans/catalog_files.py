@@ -1,4 +1,4 @@
-"""Registered queries of file jobs: bucketed headline cache, total order, file health."""
+"""Registered queries of file jobs: bucketed headline cache, total order, file health, files under their own names."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import files as FI
 from ..sources import headline_store as HS
 from ..sources import quarantine as Q
+from ..sources import single_files as SI
 from ..sources import sorted_files as SO
 from . import bindings as B
 from .catalog import register, scratch
@@ -71,3 +72,48 @@ def cut_copy(spark, source: str, target: str) -> None:
     finally:
         reader.close()
         writer.close()
+
+
+@register("csv_file", "SELECT 'efbbbf' AS first_bytes, event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, NULLIF(props, '') AS props FROM events")
+def q_csv_file(spark, d):
+    """One CSV with a byte order mark, JSON texts quoted, read back; the second writer takes a free name."""
+    ev = B.table(spark, d, "events").select("event_id", "event_type", "user_id", "props")
+    wanted = f"{scratch(spark, 'csv-file')}/events.csv"
+    SI.write_csv_file(ev.limit(0), wanted)
+    path = SI.write_csv_file(ev, wanted, F.col("event_id"))
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(F.lit(first_bytes(spark, path, 3)).alias("first_bytes"), F.col("event_id").cast("long"), "event_type", "user_id", "props")
+
+
+@register("json_array", "SELECT event_id, event_type, user_id, value, props, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS ts FROM events")
+def q_json_array(spark, d):
+    """One JSON array of all events, read back as one document."""
+    ev = B.table(spark, d, "events").select("event_id", "event_type", "user_id", "value", "props", "ts")
+    path = SI.write_json_array(ev, f"{scratch(spark, 'json-array')}/events.json", F.col("event_id"))
+    schema = "event_id long, event_type string, user_id long, value double, props string, ts string"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+@register("named_files", """
+SELECT o_orderpriority || '.csv' AS file_name, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS customers,
+       CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) + 2) + length('o_orderkey,o_custkey') + 1 AS BIGINT) AS bytes
+FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL GROUP BY o_orderpriority""")
+def q_named_files(spark, d):
+    """Orders in one CSV per priority, under its name; sizes from the manifest, rows from the files."""
+    o = B.table(spark, d, "orders").where("o_orderkey IS NOT NULL AND o_custkey IS NOT NULL")
+    folder = scratch(spark, "named-files")
+    SI.write_named_csvs(o.select("o_orderkey", "o_custkey", F.concat("o_orderpriority", F.lit(".csv")).alias("source_file")), folder, F.col("o_orderkey"))
+    rows = spark.read.schema("o_orderkey long, o_custkey long").option("header", True).csv(f"{folder}/*.csv").withColumn("file_name", F.url_decode(F.col("_metadata.file_name")))
+    counts = rows.groupBy("file_name").agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("customers"))
+    sizes = FI.dataset_manifest(spark, folder).select(F.url_decode("file_name").alias("file_name"), F.col("length").alias("bytes"))
+    return counts.join(sizes, "file_name")
+
+
+def first_bytes(spark, path: str, n: int) -> str:
+    """The first bytes of a file, as hex."""
+    fs, p = FI._fs(spark, path)
+    f = fs.open(p)
+    try:
+        return bytes(f.read() for _ in range(n)).hex()
+    finally:
+        f.close()
