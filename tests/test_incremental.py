@@ -174,6 +174,30 @@ def test_folder_without_manifest_is_read_but_not_mixed(spark, scratch, drops):
 BAD = {"a-ragged": "x\ty\nz", "b-short": "x\ty", "c-empty": "", "d-bytes": None, "f-inside": _line("1") + "\n\n" + _line("2")}
 
 
+@pytest.mark.parametrize("text", [b"a\tb\n\nc\td\n", b"\n\na\tb\n", b"a\tb\r\nc\td\r\n\r\n\n", b"a\tb\nc\td", b"\n\r\n", b"a\tb\nc\xff\td\n", "é\tü\n".encode() * 9, b"a\tb\nc\n", b""])
+@pytest.mark.parametrize("block", [1, 3, 7, 1 << 20])
+def test_blocks_of_lines_are_judged_like_lines(monkeypatch, text, block):
+    monkeypatch.setattr(Z, "BLOCK", block)
+    monkeypatch.setattr(gkg, "EXPECTED_FIELDS", 2)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("x.csv", text)
+    status, lines = gkg._inflate(packed.getvalue(), False)
+    z = zipfile.ZipFile(packed)
+    assert Z.check(z) == (status, len(lines))
+    if status == "ok":
+        assert [x for b in Z._blocks(z, "x.csv") for x in b][: len(lines)] == lines
+
+
+def test_small_drops_still_occupy_every_core(spark, drops):
+    """All drops together are far under ``bytesPerPartition``."""
+    spark.dataSource.register(Z.ZipDrops)
+    files = Z.listed(drops)
+    assert len(Z.packed(drops, files, Z.spread(files, Z.BYTES_PER_PARTITION, 1))) == 1
+    rows = Z.read_zipped(spark, drops)
+    assert len(files) >= rows.rdd.getNumPartitions() > min(len(files), spark.sparkContext.defaultParallelism) // 2
+
+
 def test_zip_source_keeps_the_rules_of_a_file(spark, scratch, drops):
     for name, text in BAD.items():
         with zipfile.ZipFile(f"{drops}/{name}.zip", "w") as z:
