@@ -143,3 +143,21 @@ def test_ingest_missing_only(spark, scratch):
     got = gkg.ingest_missing(spark, d, landed, "2026-03-01 00:00:00", "2026-03-01 00:45:00")
     assert [os.path.basename(p) for p in got] == ["20260301003000.gkg.csv.zip", "20260301004500.gkg.csv.zip"]
     assert spark.read.parquet(landed).count() == 3
+
+
+def test_a_table_of_one_large_row_group_is_dealt_out(spark, scratch):
+    """Its scan is planned as many splits, of which one holds every row."""
+    from tidewire.plans import bindings as B
+    spark.range(5000).selectExpr("id", "sha2(string(id), 256) AS text").coalesce(1).write.parquet(f"{scratch}/t.parquet")
+    spark.range(5000).selectExpr("id", "sha2(string(id), 256) AS text").repartition(16).write.parquet(f"{scratch}/u.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.parquet(f"{scratch}/t.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        t = B.table(spark, scratch, "t")
+        held = t.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert held < 5000 / 4 and t.selectExpr("sum(id)").first()[0] == 5000 * 4999 // 2
+        # rows that lie evenly are left where they are
+        assert B.spread_over(spark.read.parquet(f"{scratch}/u.parquet"), spark.sparkContext.defaultParallelism) == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -32,19 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     every narrow step after the scan (string building, whole-text regexes)
     would run in one task.  When a scan yields fewer partitions than the
     session's parallelism the rows are dealt round-robin over that many
-    partitions.  Inputs laid out for a cluster (many files / row groups)
+    partitions.  So they are when most rows stand in a few of the scan's
+    partitions: a split without the middle of a row group holds no rows, so a
+    file of few large row groups gives many partitions and little to most of them.
+    Inputs laid out for a cluster (many files / row groups)
     already have enough partitions and are left untouched -- no extra shuffle.
     """
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
     key = (path, spark.sparkContext.applicationId)
-    if key not in _SCAN_PARTITIONS:  # planning the scan once per table
-        _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
-    want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if _SCAN_PARTITIONS[key] < want else df
+    if key not in _SPREAD:  # planning the scan once per table
+        _SPREAD[key] = spread_over(df, spark.sparkContext.defaultParallelism)
+    return df.repartition(_SPREAD[key]) if _SPREAD[key] else df
 
 
-_SCAN_PARTITIONS: dict = {}
+_SPREAD: dict = {}
+
+
+def spread_over(df: DataFrame, want: int) -> int:
+    """The partitions that a scan's rows are to be dealt over; 0 if they lie well as they are: no
+    partition holds more than twice an even share.  Rows are counted by the files' footers."""
+    parts = df.rdd.getNumPartitions()
+    if parts < want:
+        return want
+    held = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"))
+    rows, most = held.agg(F.sum("rows"), F.max("rows")).first()
+    return parts if rows and most * want > 2 * rows else 0
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
