@@ -60,3 +60,30 @@ def test_a_file_per_input_under_its_name(spark, scratch):
     assert open(f"{folder}/hot.csv", "rb").read() == SI.BOM + b"id,t\n4,4\n" and len(pd.read_csv(f"{folder}/unnamed.csv")) == 600
     with pytest.raises(ValueError):
         SI.write_named_csvs(rows.withColumn("source_file", F.lit("../x.csv")), folder)
+
+
+def test_many_tasks_write_one_file_and_read_it(spark, scratch, monkeypatch):
+    """No task holds more than a piece or a split of the array."""
+    monkeypatch.setattr(SI, "PIECE", 10_000)
+    pieces = SI._pieces({"x": [("a", 25_000), ("b", 3)]}, b"[\n", b"\n]\n", 2)
+    assert [(p[1], p[2], p[3], p[4]) for p in pieces] == [(None, 0, 2, 0), ("a", 0, 10_000, 2), ("a", 10_000, 10_000, 10_002), ("a", 20_000, 5_000, 20_002), ("b", 0, 1, 25_002), (None, 0, 3, 25_003)]
+    path = SI.write_json_array(table(spark), f"{scratch}/o/x.json", F.col("id"))
+    assert [r["id"] for r in json.load(open(path))] == list(range(3000)) and not left_over(f"{scratch}/o")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = SI.read_json_array(spark, path, "id long, t string")
+        assert got.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table(spark).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    empty = SI.write_json_array(table(spark).limit(0), f"{scratch}/o/y.json")
+    assert SI.read_json_array(spark, empty, "id long, t string").count() == 0
+
+
+@pytest.mark.parametrize("text", ['[\n{"id":1}\n{"id":2}\n]\n', '[\n{"id":1},\n{"id":2},\n]\n', '[\n{"id":1},\n{"id":2}\n', '{"id":1},\n{"id":2}\n]\n', '[\n{"id":1}\n]\n[\n]\n'])
+def test_what_is_no_array_is_not_read(spark, scratch, text):
+    with open(f"{scratch}/x.json", "w") as f:
+        f.write(text)
+    with pytest.raises(ValueError):
+        SI.read_json_array(spark, f"{scratch}/x.json", "id long")

@@ -91,7 +91,7 @@ def q_json_array(spark, d):
     ev = B.table(spark, d, "events").select("event_id", "event_type", "user_id", "value", "props", "ts")
     path = SI.write_json_array(ev, f"{scratch(spark, 'json-array')}/events.json", F.col("event_id"))
     schema = "event_id long, event_type string, user_id long, value double, props string, ts string"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return SI.read_json_array(spark, path, schema)
 
 
 @register("named_files", """
