@@ -161,3 +161,14 @@ def test_a_table_of_one_large_row_group_is_dealt_out(spark, scratch):
         assert B.spread_over(spark.read.parquet(f"{scratch}/u.parquet"), spark.sparkContext.defaultParallelism) == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_stamp_is_cut_from_a_long_path_at_once(spark):
+    """The path is not tried at every place: 300 rows took minutes."""
+    import time
+    paths = ["/".join(["x" * 20_000] * 3) + f"/20260228{h:02d}1500.gkg.csv.zip" for h in range(24)] + ["20260228001500.zip", "a/20260228001500/b.zip", "a/", "", None]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k int, p string")
+    began = time.monotonic()
+    got = [r.s for r in rows.select("k", gkg.stamp_from_path(F.col("p")).alias("s")).orderBy("k").collect()]
+    assert time.monotonic() - began < 15
+    assert [f"{s:%Y%m%d%H%M%S}" if s else None for s in got] == [f"20260228{h:02d}1500" for h in range(24)] + ["20260228001500", None, None, None, None]

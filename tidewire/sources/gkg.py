@@ -100,19 +100,20 @@ def read_drop_lines(spark: SparkSession, path, drop_first_line: bool = False,
 
 def split_fields(lines: DataFrame, line: str = "line") -> DataFrame:
     """Line -> the 27 named string columns (extra fields cut, null tokens)."""
-    parts = F.split(F.col(line), "\t", -1)
-    nulls = F.array(*[F.lit(t) for t in NULL_TOKENS])
+    keep = [c for c in lines.columns if c != line]
+    # a projection of its own: the line is split once, not twice for each column
+    parts = lines.select(*keep, F.split(F.col(line), "\t", -1).alias("_parts"))
     cols = []
     for i, name in enumerate(S.RAW_COLUMNS):
-        v = F.get(parts, i)
-        cols.append(F.when(F.array_contains(nulls, v), F.lit(None)).otherwise(v).alias(name))
-    keep = [c for c in lines.columns if c != line]
-    return lines.select(*keep, *cols)
+        v = F.get("_parts", F.lit(i))
+        cols.append(F.when(v.isin(*NULL_TOKENS), F.lit(None)).otherwise(v).alias(name))
+    return parts.select(*keep, *cols)
 
 
 def stamp_from_path(path_col) -> "F.Column":
     """``YYYYMMDDHHMMSS`` in a file name -> timestamp (NTZ), else null."""
-    name = F.regexp_extract(path_col, r"([^/]*)$", 1)
+    # cut at the last slash: a pattern held to the end tries every place of a long path, for each line
+    name = F.substring_index(path_col, "/", -1)
     digits = F.regexp_extract(name, r"(\d{14})", 1)
     return X.stamp_time(digits)
 
