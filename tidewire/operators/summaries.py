@@ -62,8 +62,37 @@ def _top_k(counts: DataFrame, part: list[str], k: int, rank: str, top: str) -> D
             .withColumn(top, F.lit(True)))
 
 
+def headline_counts_by_day(f: DataFrame) -> DataFrame:
+    """Distinct records (``_rid``) of each (Day, Month, headline) and, with ``_m`` 1 and no Day, of each
+    (Month, headline).
+
+    A record's days of a month are the bits of one number, so both counts come from one hash
+    aggregation of the rows, without a copy of each row for either of them."""
+    bit = F.expr("shiftleft(1L, dayofmonth(Day) - 1)")
+    per_record = f.groupBy("Month", S.HEADLINE, "_rid").agg(F.bit_or(bit).alias("_days"))
+    days = [F.sum(F.when(F.col("_rid").isNotNull(), F.getbit("_days", F.lit(d)).cast("long")).otherwise(0)).alias(f"_{d}") for d in range(31)]
+    # a day whose records have no id counts 0 but is a day all the same
+    seen = F.bit_or("_days").alias("_seen")
+    g = per_record.groupBy("Month", S.HEADLINE).agg(F.count("_rid").alias("_all"), seen, *days)
+    def row(day, count, m, there):
+        return F.struct(day.alias("Day"), count.alias("count"), F.lit(m).alias("_m"), there.alias("_is"))
+
+    each = F.array(row(F.lit(None).cast("date"), F.col("_all"), 1, F.lit(True)),
+                   *(row(F.date_add(F.to_date("Month"), d), F.col(f"_{d}"), 0, F.getbit("_seen", F.lit(d)) == 1) for d in range(31)))
+    return g.select("Month", S.HEADLINE, F.inline(F.filter(each, lambda r: r["_is"]))).drop("_is")
+
+
+def earliest_sources(f: DataFrame) -> DataFrame:
+    """headline, Headline_Source: the url of the least (date, record id, url) of each headline, of rows with a url.
+    The dates are reduced first, by hash; only rows of a headline's first date are compared in whole."""
+    known = f.where(F.col("_url").isNotNull())
+    first = known.groupBy(F.col(S.HEADLINE).alias("_h")).agg(F.min("_date").alias("_first"))
+    early = known.join(first, (F.col(S.HEADLINE) == F.col("_h")) & (F.col("_date") == F.col("_first")))
+    return early.groupBy("_h").agg(F.min(F.struct("_rid", "_url"))["_url"].alias("Headline_Source"))
+
+
 def headline_summary(df: DataFrame, k: int = 3, rid: str = S.RID, url: str = S.URL,
-                     date: str = S.DATE) -> DataFrame:
+                     date: str = S.DATE, materialize: bool = True) -> DataFrame:
     """Daily and monthly top-k duplicated headlines, merged (the flagship).
 
     Input: cleaned article rows (possibly exploded by crime type, hence the
@@ -77,35 +106,32 @@ def headline_summary(df: DataFrame, k: int = 3, rid: str = S.RID, url: str = S.U
     ``Headline_Source`` is the url of the headline's earliest record
     (date, record id) with a url.
 
-    Plan: the input is read once.  One grouping-sets aggregation yields the
-    (day, headline) and (month, headline) distinct-record counts together
-    with the earliest source; everything after runs on those grouped rows,
+    Plan: the rows that count are written once to the checkpoint folder, with the
+    five columns that are needed.  From there one hash aggregation yields the
+    (day, headline) and (month, headline) distinct-record counts, another
+    the earliest sources; everything after runs on those grouped rows,
     whose windows are bounded by the calendar (days or months of one
     headline) or are top-k windows planned as ``WindowGroupLimit``.  The
     reference's full outer join of the daily and monthly lists becomes a
     window over (month, headline): each daily row gets its month's values,
     and a monthly row without daily rows is kept on its own.
     """
-    f = known_duplicates(df)
-    base = f.select(X.day(F.col(date)).alias("Day"), X.month_start(F.col(date)).alias("Month"),
-                    S.HEADLINE, F.col(rid).alias("_rid"),
-                    F.when(F.col(url).isNotNull(),
-                           F.struct(F.col(date).alias("d"), F.col(rid).alias("r"),
-                                    F.col(url).alias("u"))).alias("_src"))
-    g = (base.groupingSets([["Day", "Month", S.HEADLINE], ["Month", S.HEADLINE]], "Day", "Month", S.HEADLINE)
-         .agg(F.count_distinct("_rid").alias("count"), F.min("_src").alias("_src"),
-              F.grouping("Day").alias("_m")))
+    from ..session import materialize as _mat
+    base = known_duplicates(df).select(X.day(F.col(date)).alias("Day"), X.month_start(F.col(date)).alias("Month"), S.HEADLINE,
+                                       F.col(rid).alias("_rid"), F.col(date).alias("_date"), F.col(url).alias("_url"))
+    if materialize:
+        base = _mat(base, "known_duplicates")
+    g = headline_counts_by_day(base)
     monthly = F.col("_m") == 1
-    # earliest source over the headline's monthly rows (months partition rows)
-    g = g.withColumn("Headline_Source",
-                     F.min(F.when(monthly, F.col("_src"))).over(Window.partitionBy(S.HEADLINE))["u"])
     w_rank = Window.partitionBy("_m", "Day", "Month").orderBy(F.col("count").desc(), F.col(S.HEADLINE).asc())
     top = g.withColumn("_rank", F.row_number().over(w_rank)).where(F.col("_rank") <= k)
     w_mh = Window.partitionBy("Month", S.HEADLINE)
     top = (top.withColumn("count_month", F.max(F.when(monthly, F.col("count"))).over(w_mh))
               .withColumn("Rank_Month", F.max(F.when(monthly, F.col("_rank"))).over(w_mh))
               .withColumn("_days", F.count(F.when(~monthly, F.lit(1))).over(w_mh)))
-    j = top.where(~monthly | (F.col("_days") == 0)).select(
+    sources = earliest_sources(base)
+    top = top.where(~monthly | (F.col("_days") == 0)).join(sources, F.col(S.HEADLINE) == F.col("_h"), "left")
+    j = top.select(
         "Day", "Month", S.HEADLINE,
         F.when(monthly, F.lit(0).cast("bigint")).otherwise(F.col("count")).alias("count_day"),
         F.when(~monthly, F.col("_rank")).alias("Rank_Day"),
@@ -139,7 +165,7 @@ def sort_summary(df: DataFrame) -> DataFrame:
 
 def restrict_to_known(top: DataFrame, rows: DataFrame, headline: str = S.HEADLINE) -> DataFrame:
     """Keep top-list rows whose headline occurs in ``rows`` (semi join)."""
-    return top.join(rows.select(headline), headline, "left_semi")
+    return top.join(rows.select(headline).distinct(), headline, "left_semi")
 
 
 def headline_timeline(df: DataFrame, date: str = S.DATE, source: str = S.SOURCE,
