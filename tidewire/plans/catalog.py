@@ -22,6 +22,7 @@ from ..operators import duplicates as D
 from ..operators import filters as FL
 from ..operators import summaries as SU
 from ..operators import tone as TN
+from ..session import materialize
 from . import bindings as B
 from . import oracle as O
 from . import flows as P
@@ -352,7 +353,8 @@ m3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Month ORDER BY c
 SELECT Month, headline, count, CAST(rk AS INTEGER) AS Rank_Month FROM m3
 WHERE headline IN (SELECT headline FROM f)""")
 def q_headline_semi(spark, d):
-    f = SU.known_duplicates(cleaned(spark, d)).withColumn("Month", X.month_start(F.col(S.DATE)))
+    f = SU.known_duplicates(cleaned(spark, d)).select(X.month_start(F.col(S.DATE)).alias("Month"), S.HEADLINE, S.RID)
+    f = materialize(f, "known_duplicates")  # read for the counts and for the semi join
     mc = f.groupBy("Month", S.HEADLINE).agg(F.count_distinct(S.RID).alias("count"))
     m3 = SU._top_k(mc, ["Month"], 3, "Rank_Month", "Top_Month").drop("Top_Month")
     return SU.restrict_to_known(m3, f)
