@@ -141,10 +141,12 @@ def read_drop(fs, path: str, shown: str) -> Iterator[pa.RecordBatch]:
             z = zipfile.ZipFile(f)
             status, n = check(z)
             if status == "ok":
+                held: list[str] = []
                 done = 0
                 for lines in _blocks(z, z.namelist()[0]):
-                    for at in range(0, min(len(lines), n - done), gkg.LINES_PER_BATCH):
-                        part = lines[at : at + min(gkg.LINES_PER_BATCH, n - done)]
+                    held += lines[: n - done - len(held)]
+                    while len(held) >= gkg.LINES_PER_BATCH or held and done + len(held) == n:
+                        part, held = held[: gkg.LINES_PER_BATCH], held[gkg.LINES_PER_BATCH :]
                         k = len(part)
                         yield pa.RecordBatch.from_arrays([pa.array([shown] * k), pa.array(["ok"] * k), pa.array(range(done, done + k), pa.int64()), pa.array(part, pa.string())], schema=ARROW)
                         done += k
