@@ -130,3 +130,28 @@ def test_quarantine_moves_faulty_files_and_settles_an_ended_run(spark, scratch,
     assert Q.quarantine(spark, f"{scratch}/in", f"{scratch}/pen", f"{scratch}/audit").count() == 0
     audit = spark.read.parquet(f"{scratch}/audit").collect()
     assert {os.path.basename(r.path)[:-8]: r.reason for r in audit} == {n: want[n] for n in faulty}
+
+
+def test_a_large_monthly_csv_is_read_by_many_tasks(spark, scratch, monkeypatch):
+    """Quoted line breaks, doubled quotes, empty fields, short and empty lines lie across the pieces' bounds; files
+    that aren't plain go to Spark's own reader.  Rows are those of whole files."""
+    import random
+    from tidewire.sources import files as FS
+    rng = random.Random(4)
+    fields = ['"a ""b"", c\nd"', '""', "", " x ", '"\n\n"', '"é,\n""\n"', "plain", '"""q"""']
+    body = lambda n: "".join(rng.choice(["\n", "only\n"]) if k % 17 == 3 else f"{k},{rng.choice(fields)},{rng.choice(fields)}\n" for k in range(n))
+    texts = {"a b+c": body(400), "two": body(300)[:-1], "bare": body(50) + 'x,5" pipe,y\n' + body(50), "returns": body(100).replace("\n", "\r\n"), "small": "1,2,3\n"}
+    paths = []
+    for name, text in texts.items():
+        paths.append(f"{scratch}/{name}.csv")
+        with open(paths[-1], "w", newline="") as f:
+            f.write("date,headline,crime_types\n" + text)
+    key = lambda df: sorted(map(repr, df.select("date", "headline", "crime_types", "source_file").collect()))
+    want = key(FS.read_monthly_csvs(spark, paths))
+    monkeypatch.setattr(FS, "CSV_BLOCK", 37)
+    for piece in (100, 501):
+        monkeypatch.setattr(FS, "CSV_PIECE", piece)
+        df, whole = FS._read_in_pieces(spark, ["date", "headline", "crime_types"], paths)
+        assert [p.rsplit("/", 1)[1] for p in whole] == ["bare.csv", "returns.csv", "small.csv"]
+        assert df.rdd.getNumPartitions() > 5
+        assert key(FS.read_monthly_csvs(spark, paths)) == want

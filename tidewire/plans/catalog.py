@@ -1008,10 +1008,11 @@ def q_monthly_union(spark, d):
     rows = o.select(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"),
                     text.alias("headline"), types.alias("crime_types"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     out = scratch(spark, "monthly")
+    files = max(2, o.rdd.getNumPartitions())  # a file is written by one task
     for name, part, cols in (("a", F.col("month") < "1993-01", ["id", "date", "month"]),
                              ("b", (F.col("month") >= "1993-01") & (F.col("month") < "1995-01"), ["date", "headline", "id", "month"]),
                              ("c", F.col("month") >= "1995-01", ["id", "date", "headline", "crime_types", "month"])):
-        (rows.where(part).select(*cols).repartition(2).write.option("header", True).option("escape", '"')
+        (rows.where(part).select(*cols).repartition(files).write.option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out}/{name}"))
     paths = [p for name in "abc" for p in FI.list_files(spark, f"{out}/{name}", ".csv")]
     return FI.read_monthly_csvs(spark, paths).select("id", "date", "headline", "crime_types", "month")

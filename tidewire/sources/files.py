@@ -7,8 +7,10 @@ passes through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,13 @@ from .. import schema as S
 from ..functions import text as X
 
 
+#: Bytes of a CSV with line breaks in its fields that one task reads, and that it holds at once.
+CSV_PIECE = 64 << 20
+CSV_BLOCK = 4 << 20
+_CSV_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_CSV_RECORD = re.compile(f"{_CSV_FIELD}(?:,{_CSV_FIELD})*")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,6 +63,106 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([line.lstrip("\ufeff")]), [])
 
 
+def _csv_records(f, start: int, end: int, inside: bool) -> Iterator[list[bytes]]:
+    """Records that begin after the first line end at or behind ``start`` (at 0: with the file), up to the
+    first line end at or behind ``end``.  ``inside``: whether ``start`` lies within quotes.  Line ends
+    within quotes are none."""
+    f.seek(start)
+    held, at, quotes, begun = b"", start, int(inside), start == 0
+    while block := f.read(CSV_BLOCK):
+        codes = np.frombuffer(block, np.uint8)
+        depth = np.cumsum(codes == 34) + quotes
+        quotes = int(depth[-1])
+        cuts = np.flatnonzero((codes == 10) & (depth % 2 == 0))
+        stop = cuts[cuts + at >= end][:1]
+        last, done, out = 0, False, []
+        for c in cuts.tolist():
+            if begun:
+                out.append(held + block[last:c])
+            held, last, begun = b"", c + 1, True
+            if len(stop) and c == stop[0]:
+                done = True
+                break
+        if out:
+            yield out
+        if done:
+            return
+        held = held + block[last:] if begun else b""
+        at += len(block)
+    if held:
+        yield [held]
+
+
+def _read_in_pieces(spark: SparkSession, cols: Sequence[str], files: Sequence[str]) -> tuple[DataFrame | None, list[str]]:
+    """The rows of large files with these columns, many tasks to a file, and the files left for Spark's own
+    reader: small ones, and those that aren't plain (a carriage return, a quote amid a field, no UTF-8).
+
+    Spark can't split a file whose fields hold line breaks.  Here a first job counts the quotes of each piece,
+    which tells whether the next one begins within a field; a second one looks whether all records are plain."""
+    sizes = {p: _fs(spark, p)[0].getFileStatus(_fs(spark, p)[1]).getLen() for p in files}
+    pieces = [(p, a, min(a + CSV_PIECE, n)) for p, n in sizes.items() if n > CSV_PIECE for a in range(0, n, CSV_PIECE)]
+    if not pieces:
+        return None, list(files)
+
+    def opened(path: str):
+        import pyarrow.fs as pafs
+        fs, inner = pafs.FileSystem.from_uri(path)
+        return fs.open_input_file(inner)
+
+    def count(batches):
+        for pdf in batches:
+            for p, a, b in pdf.itertuples(index=False):
+                quotes, returns, left = 0, 0, b - a
+                with opened(p) as f:
+                    f.seek(a)
+                    while left > 0 and (block := f.read(min(CSV_BLOCK, left))):
+                        quotes, returns, left = quotes + block.count(b'"'), returns + block.count(b"\r"), left - len(block)
+                yield pd.DataFrame({"path": [p], "a": [a], "b": [b], "quotes": [quotes], "returns": [returns]})
+
+    def plain(batches):
+        for pdf in batches:
+            for p, a, b, inside in pdf.itertuples(index=False):
+                try:
+                    with opened(p) as f:
+                        ok = all(_CSV_RECORD.fullmatch(r.decode("utf-8")) for rs in _csv_records(f, a, b, bool(inside)) for r in rs)
+                except UnicodeDecodeError:
+                    ok = False
+                yield pd.DataFrame({"path": [p], "ok": [ok]})
+
+    def records(batches):
+        for pdf in batches:
+            for p, a, b, inside in pdf.itertuples(index=False):
+                header = a == 0
+                with opened(p) as f:
+                    for rs in _csv_records(f, a, b, bool(inside)):
+                        text = [r.decode("utf-8") for r in rs[int(header):] if r]
+                        header = False
+                        yield pd.DataFrame({"path": [p] * len(text), "record": pd.Series(text, dtype="object")})
+
+    # one row per CSV_PIECE bytes comes to the driver
+    dealt = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(len(rows))
+    counted = dealt(pieces, "path string, a long, b long").mapInPandas(count, "path string, a long, b long, quotes long, returns long").collect()
+    odd, within, before = set(), [], {}
+    for r in sorted(counted, key=lambda r: (r.path, r.a)):
+        within.append((r.path, r.a, r.b, before.get(r.path, 0) % 2 == 1))
+        before[r.path] = before.get(r.path, 0) + r.quotes
+        odd |= {r.path} if r.returns else set()
+    odd |= {p for p, n in before.items() if n % 2}
+    schema = "path string, a long, b long, inside boolean"
+    if within := [x for x in within if x[0] not in odd]:
+        odd |= {r.path for r in dealt(within, schema).mapInPandas(plain, "path string, ok boolean").where("NOT ok").select("path").distinct().collect()}
+    whole = [p for p in files if p in odd or p not in before]
+    if not (within := [x for x in within if x[0] not in odd]):
+        return None, whole
+    shown = {p: _fs(spark, p)[1].toUri().toString() for p in {x[0] for x in within}}
+    ddl = ", ".join(f"`{c.replace('`', '``')}` string" for c in cols)
+    rows = dealt(within, schema).mapInPandas(records, "path string, record string")
+    rows = rows.join(F.broadcast(spark.createDataFrame(list(shown.items()), "path string, shown string")), "path")
+    parsed = rows.select(F.from_csv("record", ddl, {"escape": '"'}).alias("r"), "shown")
+    name = F.url_decode(F.regexp_extract("shown", r"([^/]*)$", 1))
+    return parsed.select(*(F.col("r")[c].alias(c) for c in cols), name.alias("source_file")), whole
+
+
 def read_monthly_csvs(spark: SparkSession, paths: Iterable[str],
                       required: Sequence[str] = (S.DATE, S.HEADLINE),
                       skipped: list[str] | None = None) -> DataFrame | None:
@@ -63,7 +172,8 @@ def read_monthly_csvs(spark: SparkSession, paths: Iterable[str],
 
     Only header lines are read on the driver (no Spark job per file).  Files with
     equal headers are one read with an explicit all-text schema, so the plan grows
-    with the number of different headers and not of files.  A name that a header
+    with the number of different headers and not of files.  Large plain files are read
+    in pieces by many tasks.  A name that a header
     repeats gets a number behind it (``a``, ``a.1``), as readers of such files do.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
@@ -78,7 +188,12 @@ def read_monthly_csvs(spark: SparkSession, paths: Iterable[str],
         elif skipped is not None:
             skipped.append(p)
     out = None
-    for cols, files in by_header.items():
+    for cols, every in by_header.items():
+        large, files = _read_in_pieces(spark, cols, every)
+        if large is not None:
+            out = large if out is None else out.unionByName(large, allowMissingColumns=True)
+        if not files:
+            continue
         schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
         df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True)
               .option("escape", '"').option("encoding", "UTF-8").csv(files))
