@@ -82,3 +82,15 @@ def test_overlaps_equal_all_alignments(spark, monkeypatch, block_words, pairs):
     plain = [(i, decontaminate.words_of(t)) for i, t in items]
     assert {r.doc_id: {h["item"]: h["matched"] for h in r["_hits"]} for r in got} == {d: all_alignments(t, [x for x in plain if x[1]]) for d, t in rows}
     assert sum(bool(r["_hits"]) for r in got) >= len(bench)
+
+
+@pytest.mark.parametrize("text_words", [1, 40, 10**6])
+def test_texts_hashed_together_keep_apart(monkeypatch, text_words):
+    """Many texts in one go give what each gives alone; an item cut by the end of a text is in neither part."""
+    monkeypatch.setattr(decontaminate, "TEXT_WORDS", text_words)
+    item, other = [f"w{k}" for k in range(16)], [f"o{k}" for k in range(5)]
+    block = decontaminate.Benchmark([(1, item), (2, other)])
+    texts = [" ".join(item[:8]), " ".join(item[8:]), None, "", " ".join(other), "x " + " ".join(item), " ".join(other + item), " ".join(item[:8]), "x y"]
+    got = list(block.of_texts(texts))
+    assert got == [block.overlaps(t) for t in texts]
+    assert got == [{}, {}, {}, {}, {2: 5}, {1: 13}, {1: 13, 2: 5}, {}, {}]

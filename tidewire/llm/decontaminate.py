@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import bounded_batches, documents, id_text, windows
+from tidewire.llm.common import bounded_batches, documents, id_text, mix, windows
 from tidewire.session import dematerialize, materialize
 
 #: Positions that count within a window; ``seeds`` adds what these leave open.
@@ -40,6 +40,8 @@ SHARE = 0.75
 WEIGHT = 5
 #: Words of benchmark items that one pass broadcasts (about 100 bytes each with their hashes).
 BLOCK_WORDS = 500_000
+#: Words of texts that are hashed at a time, a longer text at once.
+TEXT_WORDS = 200_000
 #: Hits of windows that are held at a time before equal alignments become one.
 PAIRS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -97,16 +99,27 @@ class Benchmark:
             near[h & np.uint64((1 << 20) - 1)] = True
             self.tables.append((h[order], item[order], at[order], near))
 
-    def alignments(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's start in the text) of every hit."""
-        out: set[tuple[int, int]] = set()
-        value = self.value[ids]
+    def alignments(self, ids: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, offset of the item's start in ``ids``) of every hit; ``starts`` of the texts in ``ids``, which gaps
+        of unknown words keep apart.  Windows with a word that no item has (0) where the mask looks can't be an item's, and are left out."""
+        out: set[tuple[int, int, int]] = set()
+        known = ids > 0
         for mask, (h, item, at, near) in zip(self.masks, self.tables, strict=True):
-            got = windows(value, mask[-1] + 1, mask)
-            where = np.flatnonzero(near[got & np.uint64((1 << 20) - 1)])
+            m = len(ids) - mask[-1]
+            if m <= 0:
+                continue
+            all_known = known[:m].copy()
+            for k in mask[1:]:
+                all_known &= known[k : k + m]
+            where = np.flatnonzero(all_known)
+            got = np.full(len(where), 0x243F6A8885A308D3, np.uint64)  # the hash of ``windows``
+            for k in mask:
+                got = mix(got + self.value[ids[where + k]] * np.uint64(2 * k + 0x10001))
+            close = near[got & np.uint64((1 << 20) - 1)]
+            where, got = where[close], got[close]
             if not len(where):
                 continue
-            lo, hi = np.searchsorted(h, got[where], "left"), np.searchsorted(h, got[where], "right")
+            lo, hi = np.searchsorted(h, got, "left"), np.searchsorted(h, got, "right")
             size = hi - lo
             ends = np.cumsum(size)
             a = 0
@@ -114,19 +127,36 @@ class Benchmark:
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
                 n = size[a:b]
                 of = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hits = np.unique(np.stack([item[of], np.repeat(where[a:b], n) - at[of]]), axis=1)
+                place = np.repeat(where[a:b], n)
+                hits = np.unique(np.stack([np.searchsorted(starts, place, "right") - 1, item[of], place - at[of]]), axis=1)
                 out.update(zip(*hits.tolist(), strict=True))
                 a = b
         return out
 
+    def of_texts(self, texts: Iterable[str | None]) -> Iterator[dict[int, int]]:
+        """``overlaps`` of each text; about TEXT_WORDS words are hashed in one go."""
+        own, size = [], 0
+        for text in texts:
+            ws = words_of(text)
+            own.append(np.fromiter(map(self.vocab.get, ws, repeat(0)), np.int64, len(ws)))
+            size += len(ws)
+            if size >= TEXT_WORDS:
+                yield from self.of_ids(own)
+                own, size = [], 0
+        yield from self.of_ids(own)
+
     def overlaps(self, text: str | None) -> dict[int, int]:
         """item id -> most agreeing words of SPAN in a row, where there are enough."""
-        ws = words_of(text)
-        if not ws:
-            return {}
-        ids = np.fromiter(map(self.vocab.get, ws, repeat(0)), np.int64, len(ws))
-        found: dict[int, int] = {}
-        for k, start in self.alignments(ids):
+        return next(self.of_texts([text]))
+
+    def of_ids(self, texts: list[np.ndarray]) -> list[dict[int, int]]:
+        found: list[dict[int, int]] = [{} for _ in texts]
+        if not texts:
+            return found
+        gap = np.zeros(SPAN, np.int64)
+        starts = np.cumsum([0, *(len(ids) + SPAN for ids in texts[:-1])])
+        for t, k, at in self.alignments(np.concatenate([x for ids in texts for x in (ids, gap)]), starts):
+            ids, start = texts[t], at - int(starts[t])
             item_id, own = self.items[k]
             a, b = max(0, -start), min(len(own), len(ids) - start)
             span = min(SPAN, len(own))
@@ -135,7 +165,7 @@ class Benchmark:
             same = np.concatenate([[0], np.cumsum(own[a:b] == ids[start + a : start + b])])
             most = int((same[span:] - same[:-span]).max())
             if most >= SHARE * span:
-                found[item_id] = max(most, found.get(item_id, 0))
+                found[t][item_id] = max(most, found[t].get(item_id, 0))
         return found
 
 
@@ -159,7 +189,7 @@ def _scan(rows: DataFrame, shared: Broadcast) -> DataFrame:
     """Add ``_hits`` (item, matched) of one block to rows that have ``text``."""
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield pd.Series([[{"item": i, "matched": m} for i, m in sorted(shared.value.overlaps(t).items())] for t in series])
+            yield pd.Series([[{"item": i, "matched": m} for i, m in sorted(found.items())] for found in shared.value.of_texts(series)])
 
     udf = F.pandas_udf(find, "array<struct<item:long,matched:long>>")
     return rows.withColumn("_hits", F.concat("_hits", udf("text")))
