@@ -230,6 +230,15 @@ def test_giant_texts_in_spark(spark, codec, texts):
     assert {r.doc_id: r.text for r in sentence_pieces.decode(out, sentence_pieces.model_path()).collect()} == dict(enumerate([*joined, joined[1]]))
 
 
+@given(st.lists(st.text("abcdehinorst▁,.é漢\U0001f600", max_size=30), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_new_words_are_merged_together_as_alone(codec, words):
+    p = codec.pieces
+    assert p.new_words(set(words)) == {w: p.word(w) for w in words}
+    p.known.clear()
+    assert [x.tobytes() for x in p.encode_many([codec.normal(w) for w in words])] == [p.encode(codec.normal(w)).tobytes() for w in words]
+
+
 def test_unigram_paths_are_the_heaviest():
     r = random.Random(2)
     ids = {p: k for k, p in enumerate(["a", "b", "ab", "ba", "aab", "bb", "abba", "c"])}

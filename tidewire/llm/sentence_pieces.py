@@ -43,10 +43,14 @@ CHUNK = 1 << 13
 BLOCK = 64
 KEEP_WORDS = 400_000
 KEEP_PAIRS = 400_000
+#: New words up to this length are merged many at a time, and texts whose new words are.
+NARROW, TEXTS = 24, 256
 #: Words up to this length are merged; the work grows with the square of the length.
 SHORT = 48
 MARK = "▁"
 WORDS = re.compile("▁+[^▁]*|[^▁]+")
+#: Of a string that is no piece.
+NO_RANK = 1 << 60
 #: No last piece: start of the text or a barrier.
 FRESH = -1
 STATE = "struct<o:int,t:int>"
@@ -61,26 +65,99 @@ class Pieces:
         self.text = {i: p for p, i in ids.items()}
         self.inside = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
         self.worst = min(scores.values(), default=0.0) - 10
+        # merges go by these: equal scores have equal ranks
+        order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {p: order[scores[i]] for p, i in ids.items()}
         self.known: dict[str, bytes] = {}
+        self.held = set().union(*ids)
+        self.joins: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.pairs: dict[int, bool] = {}
 
     def merges(self, s: str) -> list[str]:
         """Byte-pair merging of a short string: best score first, then leftmost."""
-        parts, ids, scores = list(s), self.ids, self.scores
-        joined = [ids.get(a + b) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        while True:
-            best, at = None, -1
-            for k, i in enumerate(joined):
-                if i is not None and (best is None or scores[i] > best):
-                    best, at = scores[i], k
-            if best is None:
-                return parts
+        parts, rank = list(s), self.rank.get
+        joined = [rank(s[k : k + 2], NO_RANK) for k in range(len(s) - 1)]
+        while joined:
+            best = min(joined)
+            if best == NO_RANK:
+                break
+            at = joined.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del joined[at]
             if at:
-                joined[at - 1] = ids.get(parts[at - 1] + parts[at])
+                joined[at - 1] = rank(parts[at - 1] + parts[at], NO_RANK)
             if at < len(joined):
-                joined[at] = ids.get(parts[at] + parts[at + 1])
+                joined[at] = rank(parts[at] + parts[at + 1], NO_RANK)
+        return parts
+
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys (first id, second id) of all pairs of pieces that make a piece, with its rank and id; a last key for none."""
+        if self.joins is None:
+            ids = self.ids
+            found = [((a << 32) | b, self.rank[p], i) for p, i in ids.items() for k in range(1, len(p))
+                     if (a := ids.get(p[:k])) is not None and (b := ids.get(p[k:])) is not None]
+            self.joins = tuple(np.array(x, np.int64) for x in zip(*sorted([*found, (1 << 62, NO_RANK, -1)]), strict=True))
+        return self.joins
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length whose characters are pieces or part of none: ``merges`` of them all, one merge of
+        each a turn.  A character without a piece is a number below 0 that joins nothing, and is spelled in bytes."""
+        keys, ranks, made = self.pair_table()
+
+        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = (a << 32) | b
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, at, len(keys) - 1)
+
+        width = len(words[0])
+        text = "".join(words)
+        known = {c: self.ids.get(c, ~ord(c)) for c in set(text)}
+        ids = np.fromiter(map(known.__getitem__, text), np.int64, len(text)).reshape(-1, width)
+        pair = look(ids[:, :-1], ids[:, 1:])  # place in the table of each neighbouring pair
+        size, out, live = np.full(len(words), width), ids.copy(), np.arange(len(words))
+        columns = np.arange(width)
+        while len(live):
+            rank = ranks[pair]
+            at = rank.argmin(1)  # the leftmost of the best
+            row = np.arange(len(live))
+            go = rank[row, at] < NO_RANK
+            out[live[~go], : ids.shape[1]] = ids[~go]
+            live, ids, pair, at = live[go], ids[go], pair[go], at[go]
+            if not len(live):
+                break
+            row = np.arange(len(live))
+            size[live] -= 1
+            ids[row, at] = made[pair[row, at]]
+            left = columns[: ids.shape[1] - 1]
+            ids = np.where(left <= at[:, None], ids[:, :-1], ids[:, 1:])
+            pair = np.where(left[:-1] < at[:, None], pair[:, :-1], pair[:, 1:])
+            n = ids.shape[1]
+            if n == 1:
+                out[live, :1] = ids
+                break
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < n - 1)
+            pair[before, at[before] - 1] = look(ids[before, at[before] - 1], ids[before, at[before]])
+            pair[after, at[after]] = look(ids[after, at[after]], ids[after, at[after] + 1])
+        used = columns < size[:, None]
+        flat, ends = out[used].astype("<u4").tobytes(), (np.cumsum(size) * 4).tolist()
+        coded = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.flatnonzero((used & (out < 0)).any(1)).tolist():
+            row = [[i] if i >= 0 else [self.byte_ids[b] for b in chr(~i).encode("utf-8", "surrogatepass")] for i in out[k, : size[k]].tolist()]
+            coded[k] = np.array([i for part in row for i in part], "<u4").tobytes()
+        return coded
+
+    def new_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words between barriers: those of one length together, others one by one."""
+        out, by_length = {}, {}
+        within = {c for c in self.held.intersection(set().union(*words)) if c not in self.ids}  # they may merge, but are no pieces
+        for w in words:
+            if self.bpe and 1 < len(w) <= NARROW and within.isdisjoint(w):
+                by_length.setdefault(len(w), []).append(w)
+            else:
+                out[w] = self.word(w)
+        for own in by_length.values():
+            out.update(zip(own, self.merge_many(own), strict=True))
+        return out
 
     def weight(self, last: int, piece: int) -> float | None:
         """Of adding a piece behind ``last``; None: may not follow."""
@@ -146,27 +223,24 @@ class Pieces:
 
     def encode(self, x: str) -> np.ndarray:
         """Ids of a normalised string between barriers; its words are remembered."""
-        if MARK * 2 in x or "\0" in x:
-            words = WORDS.findall(x)
-        else:
-            words = x.replace(MARK, "\0" + MARK).split("\0")
+        return self.encode_many([x])[0]
+
+    def encode_many(self, xs: list[str]) -> list[np.ndarray]:
+        """``encode`` of each string; words that are new to the task are merged together."""
         known = self.known
         known[""] = b""
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        except KeyError:
-            pass
-        parts = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                if len(w) <= 40:
-                    if len(known) > KEEP_WORDS:
-                        known.clear()
-                    known[w] = got
-            parts.append(got)
-        return np.frombuffer(b"".join(parts), "<u4")
+        texts = [WORDS.findall(x) if MARK * 2 in x or "\0" in x else x.replace(MARK, "\0" + MARK).split("\0") for x in xs]
+        parts = [list(map(known.get, words)) for words in texts]
+        lacking = [(words, p, [k for k, got in enumerate(p) if got is None]) for words, p in zip(texts, parts, strict=True) if None in p]
+        if lacking:
+            new = self.new_words({words[k] for words, _, at in lacking for k in at})
+            for words, p, at in lacking:
+                for k in at:
+                    p[k] = new[words[k]]
+            if len(known) > KEEP_WORDS:
+                known.clear()
+            known.update((w, got) for w, got in new.items() if len(w) <= 40)
+        return [np.frombuffer(b"".join(p), "<u4") for p in parts]
 
     # ---- chunks: x holds the chunk [s, e) with up to ``longest`` characters on both sides
 
@@ -267,6 +341,9 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         return self.pieces.encode(self.normal(text))
 
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.pieces.encode_many([self.normal(t) for t in texts])
+
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
@@ -305,7 +382,8 @@ def encode_short(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            ids = [c.encode(t).astype(np.int32) for t in pdf["text"]]
+            texts = pdf["text"].tolist()
+            ids = [i.astype(np.int32) for k in range(0, len(texts), TEXTS) for i in c.encode_many(texts[k : k + TEXTS])]
             out = pd.DataFrame([digest(c, i) for i in ids], columns=["n_tokens", "ids_crc32", "text_crc32"])
             yield out.assign(doc_id=pdf["doc_id"].array, ids=ids)
 
