@@ -213,6 +213,22 @@ def scan(c, text, size):
     return [i for (_, x, s, e, _), a, z in zip(cuts, at[:-1], at[1:], strict=True) for i in c.pieces.backtrace(x, s, e, a, z).tolist()]
 
 
+def test_chunks_are_traced_together(codec, monkeypatch):
+    """Words between barriers that are new to the task are merged once for all chunks, not chunk by chunk."""
+    text = " ".join(f"w{k}x{k * 7919 % 1000} ünïcode {'ab' * (k % 9)}" for k in range(400)) + "  \u6f22\u5b57 end"
+    cuts = list(sentence_pieces.chunks_of(codec, text, 256))
+    at = sentence_pieces.edge_states([codec.pieces.transfer(x, s, e, f) for _, x, s, e, f in cuts], (0, sentence_pieces.FRESH), None)
+    parts = [(x, s, e, a, z) for (_, x, s, e, _), a, z in zip(cuts, at[:-1], at[1:], strict=True)]
+    codec.pieces.known.clear()
+    calls, plain = [], codec.pieces.new_words
+    monkeypatch.setattr(codec.pieces, "new_words", lambda words: calls.append(len(words)) or plain(words))
+    got = codec.pieces.backtrace_many(parts)
+    assert len(parts) > 20 and len(calls) == 1
+    codec.pieces.known.clear()
+    assert [g.tolist() for g in got] == [codec.pieces.backtrace(*p).tolist() for p in parts]
+    assert [i for g in got for i in g.tolist()] == codec.sp.encode(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "th", "er", " ", "  ", "é", "中", "🙂", "\n", "\0", "aaaaaaaa", "=====", "0123", "function", "ing", "İ", "​"]), max_size=25).map("".join), st.integers(1, 20))
 def test_scan_gives_the_library_ids(codec, text, size):

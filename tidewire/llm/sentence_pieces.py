@@ -44,7 +44,7 @@ BLOCK = 64
 KEEP_WORDS = 400_000
 KEEP_PAIRS = 400_000
 #: New words up to this length are merged many at a time, and texts whose new words are.
-NARROW, TEXTS = 24, 256
+NARROW, TEXTS = 24, 512
 #: Words up to this length are merged; the work grows with the square of the length.
 SHORT = 48
 MARK = "▁"
@@ -279,14 +279,24 @@ class Pieces:
 
     def backtrace(self, x: str, s: int, e: int, into: tuple[int, int], out: tuple[int, int]) -> np.ndarray:
         """Ids of the chunk's pieces between its two edge states."""
-        a, z, b = s + into[0], e + out[0], self.edges(x, s, e)
-        if a >= z:
-            return np.zeros(0, "<u4")
-        if b is None:
-            return np.array(self.spell(x, self.walk(x, a, into[1], e, z), z), "<u4")
-        head = self.spell(x, self.walk(x, a, into[1], b[0], b[0]), b[0])
-        tail = self.spell(x, self.walk(x, b[1], FRESH, e, z), z) if z > b[1] else []
-        return np.concatenate([np.array(head, "<u4"), self.encode(x[b[0] : b[1]]), np.array(tail, "<u4")])
+        return self.backtrace_many([(x, s, e, into, out)])[0]
+
+    def backtrace_many(self, chunks: list[tuple[str, int, int, tuple[int, int], tuple[int, int]]]) -> list[np.ndarray]:
+        """``backtrace`` of each chunk; words between their barriers that are new to the task are merged together."""
+        heads, bodies, tails = [], [], []
+        for x, s, e, into, out in chunks:
+            a, z, b = s + into[0], e + out[0], self.edges(x, s, e)
+            head, body, tail = [], "", []
+            if a < z and b is None:
+                head = self.spell(x, self.walk(x, a, into[1], e, z), z)
+            elif a < z:
+                head, body = self.spell(x, self.walk(x, a, into[1], b[0], b[0]), b[0]), x[b[0] : b[1]]
+                tail = self.spell(x, self.walk(x, b[1], FRESH, e, z), z) if z > b[1] else []
+            heads.append(head)
+            bodies.append(body)
+            tails.append(tail)
+        between = self.encode_many(bodies)
+        return [np.concatenate([np.array(h, "<u4"), ids, np.array(t, "<u4")]) for h, ids, t in zip(heads, between, tails, strict=True)]
 
 
 def product(a: list[tuple], b: list[tuple]) -> list[tuple]:
@@ -442,7 +452,8 @@ def encode_giant(rows: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for pdf in batches:
-            own = [c.pieces.backtrace(x, s, e, (a["o"], a["t"]), (z["o"], z["t"])).astype(np.int32) for x, s, e, a, z in zip(pdf["x"], pdf["s"], pdf["e"], pdf["a"], pdf["z"], strict=True)]
+            parts = [(x, s, e, (a["o"], a["t"]), (z["o"], z["t"])) for x, s, e, a, z in zip(pdf["x"], pdf["s"], pdf["e"], pdf["a"], pdf["z"], strict=True)]
+            own = [i.astype(np.int32) for k in range(0, len(parts), BLOCK) for i in c.pieces.backtrace_many(parts[k : k + BLOCK])]
             yield pdf[["doc_id", "h", "copy", "chunk"]].assign(doc_id=pdf["doc_id"], ids=own)
 
     traced = cuts.join(states, [*key, "chunk"]).select(*key, "chunk", "x", "s", "e", "a", "z")
