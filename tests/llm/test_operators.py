@@ -419,6 +419,31 @@ def test_lines_equal_brute_force(spark, texts, monkeypatch, leaders):
     assert kept == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in want) for d, t in own.items()}
 
 
+def test_lines_written_and_dealt_once(spark, monkeypatch):
+    """Lines that meet no leader meet the others over one exchange, and written lines go once their postings stand."""
+    plans, tables, plain = [], {}, line_dedup.materialize
+    held = lambda name: spark.sparkContext._jvm.java.io.File(tables[name]._materialized_at.removeprefix("file:")).exists()
+
+    def watched(df, name, *by):
+        if name == "line-pairs":
+            plans.append((df._jdf.queryExecution().executedPlan().toString(), held("keyed-lines")))
+        tables[name] = plain(df, name, *by)
+        return tables[name]
+
+    monkeypatch.setattr(line_dedup, "materialize", watched)
+    docs = spark.createDataFrame([(d, f"common {' '.join(f'w{d}x{k}' for k in range(9))}\nsame line here") for d in range(12)], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(x.doc_id, n) for x in line_dedup.per_document(docs).collect() for n in x.gone}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == {(d, 1) for d in range(1, 12)}
+    assert [kept for _, kept in plans] == [False, False]
+    rest = plans[1][0]
+    assert "ReusedExchange" in rest and rest.count("- Exchange hashpartitioning(token") == rest.count("ReusedExchange") == 1
+
+
 def test_rows_without_an_id_of_their_own(spark):
     """Null and repeated ids: each row loses its own lines only, and every set of words keeps its first line."""
     r = random.Random(12)

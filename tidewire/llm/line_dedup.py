@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import SPACES, documents, split_words
-from tidewire.session import materialize, written_bytes
+from tidewire.session import dematerialize, materialize, written_bytes
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 18
@@ -123,33 +123,39 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(F.exists("x_sets", lambda a: F.exists("y_sets", lambda b: similar(a, b)))).select("x", "y")
 
 
-def postings(firsts: DataFrame, *marks: str) -> DataFrame:
-    """(token, p: place, size, position, bitmap and ``marks``) of the prefix tokens of lines that a line of other
-    tokens can be similar to."""
-    at = F.struct("doc_id", "line_no")
+def met_postings(firsts: DataFrame) -> DataFrame:
+    """(token, p: place, size, position and bitmaps, rank, met) of prefix tokens of lines that a line of other tokens can be
+    similar to.  rank: the posting's number in its token's group, in the order of the lines; met: places of the group's
+    leaders that it may match.  Postings among the leaders that meet nothing are left out, so also tokens of one line."""
     pairable = F.floor(F.col("n") / THRESHOLD + 1e-9) > F.col("n")
-    rows = firsts.where(pairable).select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits", "high", *marks).where("token IS NOT NULL")  # joins ask for it: said here, all reads share one plan
-    return rows.select("token", F.struct(at.alias("at"), "n", "i", "bits", "high", *marks).alias("p"))
-
-
-def similar_firsts(firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(y, x): places of lines and of an earlier line that is similar to them, the first of those found.
-    ``firsts``: keyed lines, one for each distinct set."""
-    posts = postings(firsts).repartition("token")
+    rows = firsts.where(pairable).select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits", "high")
+    at = F.struct("doc_id", "line_no")  # made behind the exchange, which carries plain columns
+    posts = rows.repartition("token").select("token", F.struct(at.alias("at"), "n", "i", "bits", "high").alias("p"))
     group = Window.partitionBy("token").orderBy("p.at")
     leaders = F.array(*(F.nth_value("p", k + 1).over(group.rowsBetween(Window.unboundedPreceding, 0)) for k in range(LEADERS)))
     met = F.transform(F.filter("leaders", lambda x: F.coalesce(may_match(x, F.col("p")), F.lit(False))), lambda x: x["at"])
-    led = posts.select("p", leaders.alias("leaders")).select(F.explode(met).alias("x"), F.col("p.at").alias("y")).distinct()
+    ranked = posts.select("token", "p", F.row_number().over(group).alias("rank"), leaders.alias("leaders"))
+    return ranked.select("token", "p", "rank", met.alias("met")).where((F.size("met") > 0) | (F.col("rank") > LEADERS))
+
+
+def similar_firsts(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(y, x): places of lines and of an earlier line that is similar to them, the first of those found.
+    ``posts``: the written ``met_postings`` of keyed lines, one for each distinct set."""
+    led = posts.select(F.explode("met").alias("x"), F.col("p.at").alias("y")).distinct()
     one = materialize(verified(led, docs), "line-matches")
     # lines that are similar to no leader: against all other earlier lines
     gone = materialize(one.select("y.*").distinct().withColumn("gone", F.lit(True)), "line-matched")
-    marked = firsts.join(bounded_broadcast(gone), ["doc_id", "line_no"], "left").withColumn("open", F.col("gone").isNull())
-    ranked = postings(marked, "open").repartition("token").select("token", "p", F.row_number().over(group).alias("rank"))
-    # both reads of ``ranked`` share one exchange
-    x = ranked.where(F.col("rank") > LEADERS).alias("x")
-    y = ranked.where((F.col("rank") > LEADERS + 1) & F.col("p.open")).alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
-    two = verified(rest.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs)
+    rest = posts.where(F.col("rank") > LEADERS).select("token", "p.at.*", "p.n", "p.i", "p.bits", "p.high")
+    marked = rest.join(bounded_broadcast(gone), ["doc_id", "line_no"], "left")
+    # ``n`` tells as well whether a line is open: so both sides of the join read the same columns, and share one exchange
+    marked = marked.select("token", "doc_id", "line_no", (F.col("n") * 2 + F.col("gone").isNull().cast("int")).alias("n"), "i", "bits", "high").repartition("token")
+    order = F.row_number().over(Window.partitionBy("token").orderBy("doc_id", "line_no"))
+    ranked = marked.withColumn("rank", order)
+    p = F.struct(F.struct("doc_id", "line_no").alias("at"), F.shiftright("n", 1).alias("n"), "i", "bits", "high").alias("p")
+    x = ranked.select("token", "rank", p).alias("x")
+    y = ranked.where((F.col("rank") > 1) & (F.col("n") % 2 == 1)).select("token", "rank", p).alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
+    two = verified(pairs.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs)
     return one.unionByName(two).groupBy("y").agg(F.min("x").alias("x"))
 
 
@@ -162,7 +168,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = lines.groupBy("h1", "h2").agg(F.min(at).alias("first"))
     again = materialize(lines.select("doc_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "line_no").distinct(), "equal-lines")
     firsts = lines.join(bounded_broadcast(again), ["doc_id", "line_no"], "left_anti")
-    best = similar_firsts(firsts, docs).select("y.doc_id", "y.line_no")
+    posts = materialize(met_postings(firsts), "line-postings")
+    dematerialize(lines)
+    best = similar_firsts(posts, docs).select("y.doc_id", "y.line_no")
     # lines equal to an earlier line, and first lines of their set that are similar to an earlier line
     return again.union(best).distinct()
 
