@@ -444,6 +444,18 @@ def test_lines_written_and_dealt_once(spark, monkeypatch):
     assert "ReusedExchange" in rest and rest.count("- Exchange hashpartitioning(token") == rest.count("ReusedExchange") == 1
 
 
+def test_line_sets_and_pair_filters_stand_once(spark):
+    """Each line's set is made once, and the filter of pairs is no array function, which would not be compiled."""
+    docs = spark.createDataFrame([(1, "a b\tc\r\x0b\x0cd\n \t\na a")], "doc_id long, text string")
+    classes = F.split(F.lit(",".join(["3"] * line_dedup.BUCKETS)), ",").cast("array<bigint>")
+    lines = line_dedup.keyed_lines(docs, classes)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lines).count("sort_array(") == 1
+    assert [(x.line_no, x.n) for x in lines.orderBy("line_no").collect()] == [(0, 4), (2, 1)]
+    flat = spark.createDataFrame([], lines.schema)
+    assert "lambdafunction" not in plan(line_dedup.met_postings(flat)) and plan(line_dedup.met_postings(flat)).count("bit_count(") <= 3
+
+
 def test_rows_without_an_id_of_their_own(spark):
     """Null and repeated ids: each row loses its own lines only, and every set of words keeps its first line."""
     r = random.Random(12)

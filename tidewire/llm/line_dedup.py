@@ -56,7 +56,7 @@ def rarity(docs: DataFrame) -> Column:
     """Foldable array: frequency class (binary logarithm) of each bucket's tokens.
     A token's bucket is its hash's low bits.  The classes stand in one plan, that of ``keyed_lines``."""
     h = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
-    n = docs.select(F.explode(split_words(F.lower("text"))).alias("w")).groupBy(h).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
+    n = docs.select(F.explode(F.split(F.lower("text"), f"[{SPACES}]", -1)).alias("w")).where("w <> ''").groupBy(h).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
     classes = [0] * BUCKETS
     for b, c in n.toLocalIterator():  # at most BUCKETS rows
         classes[b] = c
@@ -68,7 +68,8 @@ def token_set(line: Column, classes: Column) -> Column:
     hashes = F.transform(split_words(F.lower(line)), lambda w: F.xxhash64(w))
 
     def key(h: Column) -> Column:
-        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        c = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))  # never null: so longs are sorted, not objects
+        return F.shiftleft(c, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     return F.sort_array(F.transform(F.array_distinct(hashes), key))
 
@@ -82,10 +83,12 @@ def parity(keys: Column) -> Column:
 def keyed_lines(docs: DataFrame, classes: Column) -> DataFrame:
     """(doc_id, line_no, n, h1, h2, bits, high, prefix) of every line with a word; from LONG
     tokens on, half of the tokens flip bits of ``high`` instead of ``bits``."""
-    lines = explode_lines(docs).withColumn("keys", token_set(F.col("line"), classes)).drop("line").where(F.size("keys") > 0).withColumn("n", F.size("keys"))
+    # a filter on the set itself would be moved below the columns, and each set made twice
+    worded = explode_lines(docs).where(F.col("line").rlike(f"[^{SPACES}]"))
+    lines = worded.withColumn("keys", token_set(F.col("line"), classes)).drop("line").withColumn("n", F.size("keys"))
+    lines = lines.withColumn("high", F.when(F.col("n") >= LONG, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")))
     prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int") + 1)
-    high = F.when(F.col("n") >= LONG, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    return lines.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), parity(F.col("keys")).bitwiseXOR(high).alias("bits"), high.alias("high"), prefix.alias("prefix"))
+    return lines.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), parity(F.col("keys")).bitwiseXOR(F.col("high")).alias("bits"), "high", prefix.alias("prefix"))
 
 
 def needed_overlap(n: Column, m: Column) -> Column:
@@ -100,8 +103,8 @@ def may_match(x: Column, y: Column) -> Column:
     bits, high = x["bits"].bitwiseXOR(y["bits"]), x["high"].bitwiseXOR(y["high"])
     long = F.least(x["n"], y["n"]) >= LONG  # else one of them has a single bitmap
     differ = F.when(long, F.bit_count(bits) + F.bit_count(high)).otherwise(F.bit_count(bits.bitwiseXOR(high)))
-    return ((x["at"] < y["at"]) & (F.least(x["n"], y["n"]) >= THRESHOLD * F.greatest(x["n"], y["n"]) - 1e-9)
-            & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= need) & (differ <= x["n"] + y["n"] - 2 * need))
+    return ((F.least(x["n"], y["n"]) >= THRESHOLD * F.greatest(x["n"], y["n"]) - 1e-9)
+            & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= need) & (differ <= x["n"] + y["n"] - 2 * need) & (x["at"] < y["at"]))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -124,37 +127,38 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def met_postings(firsts: DataFrame) -> DataFrame:
-    """(token, p: place, size, position and bitmaps, rank, met) of prefix tokens of lines that a line of other tokens can be
-    similar to.  rank: the posting's number in its token's group, in the order of the lines; met: places of the group's
-    leaders that it may match.  Postings among the leaders that meet nothing are left out, so also tokens of one line."""
+    """(token, p: place, size, position and bitmaps, rank, x) of prefix tokens of lines that a line of other tokens can be
+    similar to.  rank: the posting's number in its token's group, in the order of the lines.  A posting has a row for each of the
+    group's leaders that it may match, x: the leader's place, and one without x if it is not among the leaders itself; so
+    tokens of one line have none."""
     pairable = F.floor(F.col("n") / THRESHOLD + 1e-9) > F.col("n")
     rows = firsts.where(pairable).select(F.posexplode("prefix").alias("i", "token"), "doc_id", "line_no", "n", "bits", "high")
     at = F.struct("doc_id", "line_no")  # made behind the exchange, which carries plain columns
     posts = rows.repartition("token").select("token", F.struct(at.alias("at"), "n", "i", "bits", "high").alias("p"))
     group = Window.partitionBy("token").orderBy("p.at")
-    leaders = F.array(*(F.nth_value("p", k + 1).over(group.rowsBetween(Window.unboundedPreceding, 0)) for k in range(LEADERS)))
-    met = F.transform(F.filter("leaders", lambda x: F.coalesce(may_match(x, F.col("p")), F.lit(False))), lambda x: x["at"])
-    ranked = posts.select("token", "p", F.row_number().over(group).alias("rank"), leaders.alias("leaders"))
-    return ranked.select("token", "p", "rank", met.alias("met")).where((F.size("met") > 0) | (F.col("rank") > LEADERS))
+    leaders = (F.nth_value("p", k + 1).over(group.rowsBetween(Window.unboundedPreceding, 0)).alias(f"leader{k}") for k in range(LEADERS))
+    ranked = posts.select("token", "p", F.row_number().over(group).alias("rank"), *leaders)
+    # rows, not array functions: the filters of pairs are compiled once and run once a pair
+    each = ranked.select("token", "p", "rank", F.posexplode(F.array(*(f"leader{k}" for k in range(LEADERS)), F.lit(None))).alias("k", "x"))
+    own = (F.col("k") == LEADERS) & (F.col("rank") > LEADERS)
+    return each.where(own | ((F.col("k") < F.col("rank") - 1) & may_match(F.col("x"), F.col("p")))).select("token", "p", "rank", F.col("x.at").alias("x"))
 
 
 def similar_firsts(posts: DataFrame, docs: DataFrame) -> DataFrame:
     """(y, x): places of lines and of an earlier line that is similar to them, the first of those found.
     ``posts``: the written ``met_postings`` of keyed lines, one for each distinct set."""
-    led = posts.select(F.explode("met").alias("x"), F.col("p.at").alias("y")).distinct()
+    led = posts.where("x IS NOT NULL").select("x", F.col("p.at").alias("y")).distinct()
     one = materialize(verified(led, docs), "line-matches")
     # lines that are similar to no leader: against all other earlier lines
     gone = materialize(one.select("y.*").distinct().withColumn("gone", F.lit(True)), "line-matched")
-    rest = posts.where(F.col("rank") > LEADERS).select("token", "p.at.*", "p.n", "p.i", "p.bits", "p.high")
+    rest = posts.where("x IS NULL").select("token", "rank", "p.at.*", "p.n", "p.i", "p.bits", "p.high")
     marked = rest.join(bounded_broadcast(gone), ["doc_id", "line_no"], "left")
-    # ``n`` tells as well whether a line is open: so both sides of the join read the same columns, and share one exchange
-    marked = marked.select("token", "doc_id", "line_no", (F.col("n") * 2 + F.col("gone").isNull().cast("int")).alias("n"), "i", "bits", "high").repartition("token")
-    order = F.row_number().over(Window.partitionBy("token").orderBy("doc_id", "line_no"))
-    ranked = marked.withColumn("rank", order)
-    p = F.struct(F.struct("doc_id", "line_no").alias("at"), F.shiftright("n", 1).alias("n"), "i", "bits", "high").alias("p")
-    x = ranked.select("token", "rank", p).alias("x")
-    y = ranked.where((F.col("rank") > 1) & (F.col("n") % 2 == 1)).select("token", "rank", p).alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & may_match(F.col("x.p"), F.col("y.p")))
+    # ``rank`` tells as well whether a line is open: so both sides of the join read the same columns, and share one exchange
+    marked = marked.select("token", (F.col("rank") * 2 + F.col("gone").isNull().cast("int")).alias("rank"), "doc_id", "line_no", "n", "i", "bits", "high").repartition("token")
+    p = F.struct(F.struct("doc_id", "line_no").alias("at"), "n", "i", "bits", "high").alias("p")
+    x, y = (marked.select("token", "rank", p).alias(s) for s in "xy")
+    later = F.shiftright("x.rank", 1) < F.shiftright("y.rank", 1) * F.col("y.rank").bitwiseAND(F.lit(1))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & later & may_match(F.col("x.p"), F.col("y.p")))
     two = verified(pairs.select(F.col("x.p.at").alias("x"), F.col("y.p.at").alias("y")).distinct(), docs)
     return one.unionByName(two).groupBy("y").agg(F.min("x").alias("x"))
 
@@ -233,7 +237,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the lines that go; documents that lose their last word go too."""
     out = with_gone(docs).withColumn("text", keep_lines(F.col("text"), F.col("gone")))
     if drop_emptied:
-        out = out.where(F.col("gone").isNull() | (F.length(F.translate("text", SPACES, "")) > 0))
+        out = out.where(F.col("gone").isNull() | F.col("text").rlike(f"[^{SPACES}]"))
     return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
