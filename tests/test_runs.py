@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewire import dictionaries as DI
 from tidewire import schema as S
 from tidewire.plans import flows as P
+from tidewire.session import materialize
 from tidewire.sources import files as FS
 from tidewire.sources import gkg
 
@@ -78,3 +79,10 @@ def test_second_run_extracts_nothing(spark):
     second = {r.url: (r.headline, r.cache_entry) for r in H.resolve_headlines(urls, changed, cache, {"uk"}).collect()}
     assert second["https://b/p"] == ("B", None) and second["https://c/some-slug-1234567"] == ("some slug", None)
     assert second["https://b/none"] == ("changed", "changed")  # a miss is tried again
+
+
+def test_written_tables_have_no_marker_file(spark):
+    table = materialize(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), "marker-test")
+    names = os.listdir(table._materialized_at.removeprefix("file:"))
+    assert [n for n in names if n.startswith("part-")] and not [n for n in names if "_SUCCESS" in n]
+    assert sorted(map(tuple, table.collect())) == [(1, "a"), (2, "b")]
