@@ -368,6 +368,46 @@ def test_components_equal_brute_force(spark, texts, monkeypatch, nodes):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.components(docs).collect()} == brute_components(own)
 
 
+def test_linked_sets_share_buckets():
+    """Any two linked sets are in one group, where so many of their buckets are equal that the prefix filter holds."""
+    r = np.random.default_rng(11)
+    for percent in (80, 85):
+        for _ in range(3000):
+            n = int(r.integers(1, 60)) if r.random() < 0.8 else int(r.integers(60, 900))
+            x, off = r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2), int(r.integers(0, 1 + n // 5))
+            y = np.concatenate([x[: n - int(r.integers(0, off + 1))], r.integers(0, 1 << 63, int(r.integers(0, off + 1)), np.uint64)])
+            x, y = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(x, y))
+            if not len(y) or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            groups = [{g: (keep, b) for g, keep, b in ngram_join.buckets(s, percent)} for s in (x, y)]
+            shared = groups[0].keys() & groups[1].keys()
+            assert shared
+            for g in shared:
+                (keep_x, b_x), (keep_y, b_y) = groups[0][g], groups[1][g]
+                assert len(b_x) == len(b_y) and int((b_x == b_y).sum()) > len(b_x) - min(keep_x, keep_y)
+
+
+def test_short_texts_do_not_join_one_block(spark, monkeypatch):
+    """Short texts of few common words share shingles by chance; only copies meet in a task."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdef") for _ in range(r.randint(20, 30))) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, link = [], ngram_join.link_blocks
+
+    def seen(rows, *a):
+        met.append(rows.groupBy("block", "i", "j").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0)
+        return link(rows, *a)
+
+    monkeypatch.setattr(ngram_join, "link_blocks", seen)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 50)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.components(docs).collect()}
+    assert met[0] < 2000, met
+    assert all(got[1500 + k][1] == k for k in range(20))
+    assert got == brute_components(dict(enumerate(texts)))
+
+
 def test_tree_equals_all_pairs():
     r = random.Random(5)
     for _ in range(40):

@@ -11,8 +11,11 @@ and ``keep_one`` take others.
    one quarter of the hash space first, by the number of nodes that hold them; then the others, by hash.
    Any order keeps the join exact; counting a quarter is enough for a rare prefix.
 3. Nodes that share prefix shingles, directly or through others, form a block; linked nodes
-   are always in the same block.  A block's texts go to one task, or, beyond ``BLOCK_NODES``
-   nodes or ``BLOCK_SHINGLES`` shingles, are dealt to parts, and each pair of parts goes to one.
+   are always in the same block.  In large tables chance joins many short texts to one block, so
+   blocks beyond ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles are split again: sets are cut
+   into buckets by hash, and linked sets have so many equal buckets (``buckets``) that the prefix
+   filter holds for whole buckets, of which unlike texts hardly share any.  A block's texts go to
+   one task, or, if it is still beyond the bounds, are dealt to parts, and each pair of parts goes to one.
 4. There the sets are stored in a prefix tree (common shingles first, so that paths are
    shared).  A set descends it with the overlap so far; a subtree is left when even its
    remaining length can't reach the needed overlap, when its sizes don't fit, or when all its
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACES, WordHash, bounded_batches, documents, id_text, sealed, unsealed, windows
+from tidewire.llm.common import SPACES, WordHash, bounded_batches, documents, id_text, mix, sealed, unsealed, windows
 from tidewire.llm.components import connected_components
 from tidewire.llm.line_dedup import bounded_broadcast
 from tidewire.session import materialize
@@ -64,6 +67,29 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def classes(n: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """The size class of a set of n shingles, the class's largest size and the next one's.  Linked
+    sets are in one class or in neighbouring ones."""
+    c, top = 0, 0
+    while top < n:
+        c, top = c + 1, 100 * (top + 1) // percent
+    return c, top, 100 * (top + 1) // percent
+
+
+def buckets(s: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(group, keep, hashes of whole buckets) of a set of n shingles, for the group of its size class and that
+    of the next.  Linked sets x and y of a group differ in at most k = (100 - p) (n_x + n_y) / (100 + p) shingles and
+    so in at most k of the group's buckets; under any one order of buckets they share one of their first k + 1 (keep)."""
+    n, (c, *tops) = len(s), classes(len(s), percent)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
+    for group, top in zip((c, c + 1), tops, strict=True):
+        k = (100 - percent) * (n + min(100 * n // percent, top)) // (100 + percent)
+        count = 3 * ((100 - percent) * 2 * top // (100 + percent)) // 2 + 1
+        cuts = np.searchsorted(s >> np.uint64(32), (np.arange(count + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(count))
+        number = np.arange(count, dtype=np.uint64) + (np.uint64(group) << np.uint64(32))
+        yield group, k + 1, mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(number))
+
+
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -91,13 +117,19 @@ def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 def prefix_postings(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(token, node) of prefix shingles that two nodes or more hold; ``nodes``: node, n, first, extra."""
+    keep = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") + 1
+    return rare_postings(nodes.select("node", keep.alias("keep"), "first", "extra"))
+
+
+def rare_postings(nodes: DataFrame) -> DataFrame:
+    """(token, node) of the ``keep`` rarest of first, then of extra, that two nodes or more hold."""
     held = nodes.select("node", F.explode("first").alias("token")).repartition("token")
     shared = held.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    sizes = nodes.select("node", "n", F.size("first").alias("k"), "extra")
+    sizes = nodes.select("node", "keep", F.size("first").alias("k"), "extra")
     both = sizes.join(lists, "node", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<df:bigint,token:bigint>>")))
     # the shingles that only this node holds come first and match nothing
-    room = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") + 1 - (F.col("k") - F.size("shared"))
+    room = F.col("keep") - (F.col("k") - F.size("shared"))
     both = both.withColumn("room", F.greatest(room, F.lit(0)).cast("int"))
     tokens = F.concat(F.transform(F.slice("shared", 1, F.col("room")), lambda x: x["token"]), F.col("extra"))
     posts = both.select("node", F.explode(tokens).alias("token"))
@@ -209,18 +241,54 @@ def link_blocks(texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     return texts.groupBy("block", "i", "j").applyInPandas(link, "u long, v long")
 
 
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """(node, block) of the nodes that share tokens, directly or through others."""
+    posts = materialize(postings, "ngram-postings")
+    least = posts.groupBy("token").agg(F.min("node").alias("v"))
+    blocks = connected_components(posts.join(least, "token").select(F.col("node").alias("u"), "v"), "ngram-blocks")
+    return materialize(blocks.select("node", F.col("root").alias("block")), "ngram-block-nodes")
+
+
+def with_parts(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, block, n, ...) and the parts that their block is dealt to."""
+    sizes = nodes.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    return nodes.join(sizes, "block")
+
+
+def bucket_postings(docs: DataFrame, wide: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(token, node) of rare buckets that two nodes or more of a block hold; ``wide``: node, block, doc_id, h."""
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for block, n, t in zip(pdf["block"], pdf["node"], pdf["text"], strict=True):
+                if node_of(s := shingles(t, size)) == n:  # rows that repeat a doc_id bring other texts along
+                    rows += [(block, n, group, keep, b.view(np.int64)) for group, keep, b in buckets(s, percent)]
+            yield pd.DataFrame(rows, columns=["block", "node", "grp", "keep", "first"])
+
+    once = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    asked = materialize(wide.select("doc_id", "h", "node", "block", once.alias("tasks")), "ngram-wide")
+    made = fetch(docs, asked).select("block", "node", "text").mapInPandas(build, "block long, node long, grp long, keep long, first array<long>")
+    made = made.groupBy("node", "grp").agg(*(F.first(c).alias(c) for c in ("block", "keep", "first")))
+    tokens = F.transform("first", lambda t: F.xxhash64("block", t))
+    none = F.array().cast("array<long>")
+    sets = materialize(made.select(F.struct("node", "grp").alias("node"), "keep", tokens.alias("first"), none.alias("extra")), "ngram-buckets")
+    return rare_postings(sets).select("token", F.col("node.node").alias("node"))
+
+
 def rooted_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, h, n, root) of every row: root names its component; null without words."""
     made = materialize(sets(docs, size, percent), "ngram-sets")
     nodes = made.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("extra").alias("extra"))
-    posts = materialize(prefix_postings(nodes, percent), "ngram-postings")
-    least = posts.groupBy("token").agg(F.min("node").alias("v"))
-    blocks = connected_components(posts.join(least, "token").select(F.col("node").alias("u"), "v"), "ngram-blocks")
-    blocks = materialize(blocks.select("node", F.col("root").alias("block")), "ngram-block-nodes")
+    blocks = blocks_of(prefix_postings(nodes, percent))
     owners = made.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("d"), F.first("n").alias("n"))
     mine = blocks.join(owners, "node").select("node", "block", "n", F.col("d.doc_id").alias("doc_id"), F.col("d.h").alias("h"))
-    sizes = mine.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    mine = mine.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mine = materialize(with_parts(mine), "ngram-members")
+    wide = mine.where("parts > 1")
+    if not wide.isEmpty():
+        finer = blocks_of(bucket_postings(docs, wide, size, percent))
+        split = wide.drop("block", "parts").join(finer, "node").select("node", "block", "n", "doc_id", "h")
+        mine = mine.where("parts = 1").unionByName(with_parts(split))
+    mine = mine.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")))
     dealt = materialize(mine.select("doc_id", "h", "node", "block", pairs.alias("tasks")), "ngram-tasks")
     roots = connected_components(link_blocks(fetch(docs, dealt), size, percent), "ngram-links")
