@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, language_id, line_dedup, ngram_join, pii, quality_rules, secret_scan, sentence_pieces, sharding, token_store
-from tidewire.llm.common import words
+from tidewire.llm.common import word_hashes, words
 
 SF = "/root/testdata/sf0.001"
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -368,6 +368,17 @@ def test_components_equal_brute_force(spark, texts, monkeypatch, nodes):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.components(docs).collect()} == brute_components(own)
 
 
+def test_words_of_shingles():
+    """Only A-Z are lowered and only SPACES separate; equal words have equal hashes, others don't, however long."""
+    text = "\x0b\x0cAb\u00c9 \u0130\u1e9e\x1cx\x85y\xa0z\t\nq\rR\u2028S ab\u00c9 "
+    want = ["ab\u00c9", "\u0130\u1e9e\x1cx\x85y\xa0z", "q", "r\u2028s"]
+    assert ngram_join.shingles(text, 1).tolist() == ngram_join.shingles(" ".join(want), 1).tolist()
+    assert len(ngram_join.shingles(text, 1)) == 4 and not len(ngram_join.shingles(" \t", 1)) and not len(ngram_join.shingles(None))
+    odd = ["a", "b", "aa", "ab", "ba", "\0", "\0\0", "a" * 64, "a" * 65, "b" + "a" * 64, "a" * 64 + "b", "b" + "a" * 128, "a" * 64 + "b" + "a" * 64, "a" * 128 + "b"]
+    got = word_hashes(" ".join([*odd, *odd]).encode())
+    assert got[: len(odd)].tolist() == got[len(odd) :].tolist() and len(set(got.tolist())) == len(odd)
+
+
 def test_linked_sets_share_buckets():
     """Any two linked sets are in one group, where so many of their buckets are equal that the prefix filter holds."""
     r = np.random.default_rng(11)

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACES, WordHash, bounded_batches, documents, id_text, mix, sealed, unsealed, windows
+from tidewire.llm.common import bounded_batches, documents, id_text, mix, sealed, unsealed, windows, word_hashes
 from tidewire.llm.components import connected_components
 from tidewire.llm.line_dedup import bounded_broadcast
 from tidewire.session import materialize
@@ -50,17 +50,15 @@ PERCENT = 85
 QUARTER = np.uint64(3)
 BLOCK_NODES = 3000
 BLOCK_SHINGLES = 3_000_000
-FLAT = {ord(c): " " for c in SPACES} | {c: c + 32 for c in range(65, 91)}
-
-_HASH = WordHash()
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    ws = [w for w in text.translate(FLAT).split(" ") if w] if text else []
-    if not ws:
+    # of bytes, lower() knows A-Z only
+    ws = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else ()
+    if not len(ws):
         return np.zeros(0, np.uint64)
-    return np.unique(windows(_HASH(ws), min(size, len(ws))))
+    return np.unique(windows(ws, min(size, len(ws))))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
