@@ -12,10 +12,10 @@ and ``keep_one`` take others.
    Any order keeps the join exact; counting a quarter is enough for a rare prefix.
 3. Nodes that share prefix shingles, directly or through others, form a block; linked nodes
    are always in the same block.  In large tables chance joins many short texts to one block, so
-   blocks beyond ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles are split again: sets are cut
+   blocks beyond ``WHOLE_PARTS`` times ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES`` shingles are split again: sets are cut
    into buckets by hash, and linked sets have so many equal buckets (``buckets``) that the prefix
    filter holds for whole buckets, of which unlike texts hardly share any.  A block's texts go to
-   one task, or, if it is still beyond the bounds, are dealt to parts, and each pair of parts goes to one.
+   one task, or, beyond one of the bounds, are dealt to parts, and each pair of parts goes to one.
 4. There the sets are stored in a prefix tree (common shingles first, so that paths are
    shared).  A set descends it with the overlap so far; a subtree is left when even its
    remaining length can't reach the needed overlap, when its sizes don't fit, or when all its
@@ -50,6 +50,8 @@ PERCENT = 85
 QUARTER = np.uint64(3)
 BLOCK_NODES = 3000
 BLOCK_SHINGLES = 3_000_000
+#: Parts up to which a block is dealt as it is: a split is many short jobs.
+WHOLE_PARTS = 4
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -281,11 +283,11 @@ def rooted_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     owners = made.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("d"), F.first("n").alias("n"))
     mine = blocks.join(owners, "node").select("node", "block", "n", F.col("d.doc_id").alias("doc_id"), F.col("d.h").alias("h"))
     mine = materialize(with_parts(mine), "ngram-members")
-    wide = mine.where("parts > 1")
+    wide = mine.where(F.col("parts") > WHOLE_PARTS)
     if not wide.isEmpty():
         finer = blocks_of(bucket_postings(docs, wide, size, percent))
         split = wide.drop("block", "parts").join(finer, "node").select("node", "block", "n", "doc_id", "h")
-        mine = mine.where("parts = 1").unionByName(with_parts(split))
+        mine = mine.where(F.col("parts") <= WHOLE_PARTS).unionByName(with_parts(split))
     mine = mine.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("i"), F.greatest(q, F.col("part")).alias("j")))
     dealt = materialize(mine.select("doc_id", "h", "node", "block", pairs.alias("tasks")), "ngram-tasks")
